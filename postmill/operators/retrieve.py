@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from postmill import lexicon as lx
 from postmill.functions import profile as pf
 from postmill.functions import text as tx
+from postmill.session import cut
 
 
 def newest(df: DataFrame, key: str, limit: int) -> DataFrame:
@@ -62,27 +63,32 @@ def containing_texts(texts: DataFrame, terms: DataFrame) -> DataFrame:
             .when(F.col("pos") == F.col("n") - 1, "start").otherwise("whole"),
         )
     )
-    grams = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.array(*[F.lit(g) for g in (1, 2, 3)]),
-                lambda g: F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.length("token") - g + 1, F.lit(1))),
-                    lambda i: F.substring(F.col("token"), i, g),
-                ),
-            )
-        )
+    # a whole word is looked up as it is, a first or last word by its end or start, and a word
+    # that may stand anywhere inside a token by its first three letters
+    lengths = F.array(*[F.lit(g) for g in (1, 2, 3)])
+    inside = F.array_distinct(
+        F.concat(*[F.regexp_extract_all("token", F.lit(f"(?=(.{{{g}}}))"), F.lit(1)) for g in (1, 2, 3)])
+    )
+    keys = F.concat(
+        F.array(F.concat(F.lit("whole "), "token")),
+        F.array_distinct(F.transform(lengths, lambda g: F.concat(F.lit("start "), F.left(F.col("token"), g)))),
+        F.array_distinct(F.transform(lengths, lambda g: F.concat(F.lit("end "), F.right(F.col("token"), g)))),
+        F.transform(inside, lambda g: F.concat(F.lit("inside "), g)),
+    )
+    lookup = vocabulary.select("token", "texts", F.explode(keys).alias("key"))
+    word = F.col("word")
+    key = F.concat_ws(
+        " ", "kind",
+        F.when(F.col("kind") == "whole", word).when(F.col("kind") == "end", F.right(word, F.lit(3))).otherwise(F.left(word, F.lit(3))),
     )
-    lookup = vocabulary.select("token", "texts", F.explode(grams).alias("gram"))
     found = (
-        parts.select("word", "kind").distinct()
-        .withColumn("gram", F.substring("word", 1, 3))
-        .join(lookup, "gram")
+        parts.select("word", "kind").distinct().withColumn("key", key)
+        .join(lookup, "key")
         .filter(
             F.when(F.col("kind") == "inside", F.contains("token", "word"))
             .when(F.col("kind") == "end", F.endswith("token", "word"))
             .when(F.col("kind") == "start", F.startswith("token", "word"))
-            .otherwise(F.col("token") == F.col("word"))
+            .otherwise(F.lit(True))
         )
         .select("word", "kind", "token", "texts")
     )
@@ -123,10 +129,10 @@ def retrieve(profiles: DataFrame, listings: DataFrame, limit: int = lx.RETRIEVAL
     query = fulltext_query(c("target_role"), c("titles"), c("query_variations"), c("skills"), c("keywords"))
     wanted = profiles.select("profile_id", F.explode(fulltext_tokens(query)).alias("token"))
     hits = wanted.join(postings, "token").select("profile_id", "listing_id", "last_seen").distinct()
-    first = newest(hits, "profile_id", limit).withColumn("tier", F.lit(1))
+    first = cut(newest(hits, "profile_id", limit).select("profile_id", "listing_id", F.lit(1).alias("tier"), "last_seen"))
 
     counts = first.groupBy("profile_id").agg(F.count("*").alias("have"))
-    short = (
+    short = cut(
         profiles.join(counts, "profile_id", "left")
         .filter(F.coalesce("have", F.lit(0)) < limit)
         .select(
@@ -135,6 +141,10 @@ def retrieve(profiles: DataFrame, listings: DataFrame, limit: int = lx.RETRIEVAL
         )
         .select("profile_id", tx.normalize(c("raw")).alias("term"))
     )
+    lacking = profiles.join(counts.filter(c("have") >= limit), "profile_id", "left_anti").select("profile_id")
+    if lacking.isEmpty():
+        return first
+
     texts = active.select("listing_id", tx.normalize(text).alias("text"))
     matches = newest(
         containing_texts(texts, short).join(active.select("listing_id", "last_seen"), "listing_id"), "term", limit
@@ -147,17 +157,20 @@ def retrieve(profiles: DataFrame, listings: DataFrame, limit: int = lx.RETRIEVAL
         first.unionByName(second).groupBy("profile_id", "listing_id").agg(F.min("tier").alias("tier"), F.max("last_seen").alias("last_seen"))
     )
     order = Window.partitionBy("profile_id").orderBy("tier", F.desc("last_seen"), F.desc("listing_id"))
-    kept = merged.withColumn("_rank", F.row_number().over(order)).filter(c("_rank") <= limit).drop("_rank")
+    kept = cut(merged.withColumn("_rank", F.row_number().over(order)).filter(c("_rank") <= limit).drop("_rank"))
+    empty = profiles.select("profile_id").join(kept.select("profile_id").distinct(), "profile_id", "left_anti")
+    result = kept.select("profile_id", "listing_id", "tier", "last_seen")
+    if empty.isEmpty():
+        return result
 
     # the top-up pool is one short array, read as a scalar subquery
     pool = active.orderBy(F.desc("last_seen"), F.desc("listing_id")).limit(top_up).agg(
         F.collect_list(F.struct("listing_id", "last_seen"))
     )
-    empty = profiles.select("profile_id").join(kept.select("profile_id").distinct(), "profile_id", "left_anti")
     third = empty.select("profile_id", F.explode(pool.scalar()).alias("p")).select(
         "profile_id", "p.listing_id", F.lit(3).alias("tier"), "p.last_seen"
     )
-    return kept.select("profile_id", "listing_id", "tier", "last_seen").unionByName(third)
+    return result.unionByName(third)
 
 
 def relevance(terms: Column, title: Column, body: Column) -> Column:

@@ -53,9 +53,9 @@ tier2 AS (
     SELECT DISTINCT profile_id, listing_id, last_seen FROM short JOIN active ON contains(t, term))
   QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY last_seen DESC, listing_id DESC) <= {lx.RETRIEVAL_LIMIT}
 ),
+both_tiers AS (SELECT profile_id, listing_id, min(tier) AS tier, max(last_seen) AS last_seen FROM (SELECT * FROM tier1 UNION ALL SELECT * FROM tier2) GROUP BY profile_id, listing_id),
 merged AS (
-  SELECT profile_id, listing_id, min(tier) AS tier, max(last_seen) AS last_seen FROM (SELECT * FROM tier1 UNION ALL SELECT * FROM tier2)
-  GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY tier, last_seen DESC, listing_id DESC) <= {lx.RETRIEVAL_LIMIT}
+  SELECT * FROM both_tiers QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY tier, last_seen DESC, listing_id DESC) <= {lx.RETRIEVAL_LIMIT}
 ),
 pool AS (SELECT listing_id, last_seen FROM active ORDER BY last_seen DESC, listing_id DESC LIMIT {lx.TOP_UP_LIMIT}),
 retrieved AS (
@@ -284,8 +284,8 @@ _SEN = "CASE {0} WHEN 'stajyer' THEN 0 WHEN 'junior' THEN 1 WHEN 'orta' THEN 2 W
 
 def _coverage(hay: str, terms: str, empty: str) -> str:
     return (
-        f"CASE WHEN {empty} OR {hay} = '' OR len({terms}) = 0 THEN 0.0 ELSE least(1.0, len(list_filter({terms}, lambda x: length(x) >= 2 "
-        f"AND contains({hay}, x))) / greatest(3, least(len({terms}), 10))) END"
+        f"CASE WHEN {empty} OR {hay} = '' OR len({terms}) = 0 THEN 0.0 ELSE least(1.0, CAST(len(list_filter({terms}, lambda x: length(x) >= 2 "
+        f"AND contains({hay}, x))) AS DOUBLE) / greatest(3, least(len({terms}), 10))) END"
     )
 
 
@@ -333,10 +333,10 @@ scored AS (
     CASE WHEN work_mode = 'remote' OR role_mode = 'remote' THEN 10.0 WHEN location_mode <> 'cities' OR len(locations) = 0 THEN 8.0
       WHEN location IS NULL THEN 6.0 WHEN city_hit THEN 10.0 ELSE 0.0 END AS p_location,
     CASE WHEN NOT wants_english THEN 4.0 WHEN speaks THEN 5.0 ELSE 0.0 END AS p_language,
-    CASE WHEN len(required) = 0 THEN 10.5 ELSE 15 * {_coverage('req_hay', 'skills', 'false')} END AS t_required,
-    CASE WHEN len(preferred) = 0 THEN 7.0 ELSE 10 * {_coverage('pref_hay', 'skills', 'false')} END AS t_preferred,
-    10 * {_coverage('all_hay', 'keywords', 'false')} AS t_relation,
-    5 * {_coverage('title_hay', 'skills', 'false')} AS t_keywords,
+    CASE WHEN len(required) = 0 THEN CAST(10.5 AS DOUBLE) ELSE CAST(15 AS DOUBLE) * {_coverage('req_hay', 'skills', 'false')} END AS t_required,
+    CASE WHEN len(preferred) = 0 THEN CAST(7.0 AS DOUBLE) ELSE CAST(10 AS DOUBLE) * {_coverage('pref_hay', 'skills', 'false')} END AS t_preferred,
+    CAST(10 AS DOUBLE) * {_coverage('all_hay', 'keywords', 'false')} AS t_relation,
+    CAST(5 AS DOUBLE) * {_coverage('title_hay', 'skills', 'false')} AS t_keywords,
     1 + CASE WHEN education_kind < 2 THEN 1 ELSE 0 END + CASE WHEN wants_english THEN 1 ELSE 0 END + CASE WHEN employment <> 'belirtilmemis' THEN 1 ELSE 0 END
       + CASE WHEN role_seniority <> 'belirtilmemis' THEN 1 ELSE 0 END AS fields
   FROM facts
@@ -344,7 +344,7 @@ scored AS (
 evaluated AS (
   SELECT profile_id, listing_id, len(blockers) = 0 AS eligible, blockers,
     p_experience + p_type + p_education + p_location + p_language AS role_points, t_required + t_preferred + t_relation + t_keywords AS tech_points,
-    CAST(floor(p_experience + p_type + p_education + p_location + p_language + t_required + t_preferred + t_relation + t_keywords + 0.5) AS INTEGER) AS total, fields
+    CAST(floor((p_experience + p_type + p_education + p_location + p_language) + (t_required + t_preferred + t_relation + t_keywords) + 0.5) AS INTEGER) AS total, fields
   FROM scored
 )"""
 _BAND = "CASE WHEN {0} >= 90 THEN 'cok-guclu' WHEN {0} >= 80 THEN 'cok-uygun' WHEN {0} >= 70 THEN 'uygun' WHEN {0} >= 60 THEN 'sinirda' ELSE 'uygun-degil' END"
