@@ -31,12 +31,13 @@ def insert_if_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> Da
 def new_matches(
     profiles: DataFrame, listings: DataFrame, notified: DataFrame, now: Column, thresholds: DataFrame,
     window_hours: int = lx.DIGEST_WINDOW_HOURS, limit: int = lx.DIGEST_LIMIT, with_similarity: bool = True,
-    home_cities: list[str] = lx.CITIES,
+    home_cities: list[str] = lx.CITIES, retrieved: DataFrame | None = None,
 ) -> DataFrame:
     """(profile_id, position, listing_id, canonical_key, total) for every profile.
 
     Duplicates among the new listings are merged once for all profiles; per profile one of each
     group stays. `notified`: profile_id, canonical_key. `thresholds`: profile_id, match_min.
+    `retrieved` takes pairs of `retrieve` that are already there.
     """
     c = F.col
     recent = listings.filter(F.unix_micros(now) - F.unix_micros("first_seen_at") <= window_hours * 3_600_000_000)
@@ -45,7 +46,8 @@ def new_matches(
         "listing_id", "title", canonical_key().alias("canonical_key"), el.listing_role().alias("role"),
         dd.listing_richness().alias("richness"),
     ).join(groups, "listing_id")
-    pairs = rt.retrieve(profiles, listings).select("profile_id", "listing_id").join(roles, "listing_id")
+    retrieved = rt.retrieve(profiles, listings) if retrieved is None else retrieved
+    pairs = retrieved.select("profile_id", "listing_id").join(roles, "listing_id")
     one = Window.partitionBy("profile_id", "group_id").orderBy(F.desc("richness"), "listing_id")
     fresh = (
         pairs.withColumn("_rank", F.row_number().over(one)).filter("_rank = 1").drop("_rank")

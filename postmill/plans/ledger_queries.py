@@ -11,12 +11,14 @@ from postmill.functions import text as tx
 from postmill.operators import analytics as an
 from postmill.operators import applications as ap
 from postmill.operators import digest as dg
+from postmill.operators import retrieve as rt
 from postmill.operators import score as sc
 from postmill.plans import sqltext as s
 from postmill.plans.dedupe_queries import _CONTENT, _GROUPS, _RICH
 from postmill.plans.matching_queries import BASE, _EVAL, _ROLE
 from postmill.plans.registry import query
 from postmill.plans.tables import HOME_CITIES, NOW, now
+from postmill.session import cut
 
 c = F.col
 
@@ -147,7 +149,7 @@ def merged_settings(t):
 
 _PREP = f"""
 results AS (
-  SELECT doc_id % 50 AS user_id, doc_id AS listing_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY n_chars, doc_id) - 1 AS pos, CAST(n_chars % 101 AS INTEGER) AS score,
+  SELECT doc_id // 40 AS user_id, doc_id AS listing_id, doc_id % 40 AS pos, CAST(n_chars % 101 AS INTEGER) AS score,
     CASE WHEN n_chars % 4 = 0 THEN 'low' ELSE 'high' END AS confidence, n_chars % 9 > 0 AS has_file, doc_id % 3 > 0 AS mail, doc_id FROM documents
 ),
 batch AS (SELECT * FROM results WHERE score >= 40 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY pos, listing_id) <= 10),
@@ -163,11 +165,10 @@ prepared AS (SELECT user_id, listing_id, CASE WHEN NOT mail THEN 'manual_require
 
 def _results(t):
     i, n = c("doc_id"), c("n_chars")
-    by = Window.partitionBy(i % 50).orderBy("n_chars", "doc_id")
     mail = F.when(i % 3 > 0, F.concat(F.lit("cv: hr@x"), i.cast("string"), F.lit(".example.com"))).otherwise("no address")
     none = F.array().cast("array<string>")
     return t.read("documents").select(
-        (i % 50).alias("user_id"), i.alias("listing_id"), (F.row_number().over(by) - 1).alias("pos"), (n % 101).cast("int").alias("score"),
+        F.floor(i / 40).alias("user_id"), i.alias("listing_id"), (i % 40).alias("pos"), (n % 101).cast("int").alias("score"),
         F.when(n % 4 == 0, "low").otherwise("high").alias("confidence"), (n % 9 > 0).alias("has_file"), mail.alias("description"),
         none.alias("requirements"), none.alias("candidate_criteria"),
     )
@@ -202,16 +203,15 @@ def preparation_summary(t):
 
 _SAVED = """
 saved AS (
-  SELECT source AS search_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, doc_id, toxic, CASE WHEN quality IS NULL THEN NULL ELSE quality = 1 END AS eligible,
+  SELECT doc_id // 25 AS search_id, doc_id % 25 AS pos, doc_id, toxic, CASE WHEN quality IS NULL THEN NULL ELSE quality = 1 END AS eligible,
     CASE WHEN quality = 0 THEN doc_id % 3 ELSE 0 END AS blocker_count FROM documents LEFT JOIN labels USING (doc_id)
 )"""
 
 
 def _saved(t):
-    by = Window.partitionBy("source").orderBy("doc_id")
-    rows = t.read("documents").select("doc_id", "source", "n_chars").join(t.read("labels"), "doc_id", "left")
+    rows = t.read("documents").select("doc_id", "n_chars").join(t.read("labels"), "doc_id", "left")
     return rows.select(
-        c("source").alias("search_id"), (F.row_number().over(by) - 1).alias("pos"), "doc_id", (c("quality") == 1).alias("eligible"),
+        F.floor(c("doc_id") / 25).alias("search_id"), (c("doc_id") % 25).alias("pos"), "doc_id", (c("quality") == 1).alias("eligible"),
         F.when(c("quality") == 0, c("doc_id") % 3).otherwise(0).alias("blocker_count"), "n_chars",
     )
 
@@ -343,7 +343,8 @@ reduced AS (SELECT profile_id, listing_id, canonical_key FROM retrieved JOIN can
 digest AS (
   SELECT profile_id, listing_id, canonical_key, total, row_number() OVER (PARTITION BY profile_id ORDER BY total DESC, listing_id) AS position
   FROM reduced JOIN evaluated USING (profile_id, listing_id)
-  WHERE eligible AND total >= greatest(profile_id % 70, {lx.DIGEST_FLOOR}) AND NOT EXISTS (SELECT 1 FROM canon k WHERE k.listing_id % 5 = 0 AND k.canonical_key = reduced.canonical_key)
+  WHERE eligible AND total >= greatest(profile_id % 70, {lx.DIGEST_FLOOR}) AND NOT EXISTS (
+    SELECT 1 FROM canon k JOIN retrieved r USING (listing_id) WHERE r.profile_id = reduced.profile_id AND k.listing_id % 5 = 0 AND k.canonical_key = reduced.canonical_key)
 )"""
 _DIGEST_SQL = "WITH RECURSIVE " + ",\n".join(
     v.strip() for v in (*BASE, _ROLE, _EVAL, _RECENT, _CONTENT.replace("FROM base_listings", "FROM recent"), _GROUPS.replace("FROM base_listings", "FROM recent"), _DIGEST)
@@ -355,10 +356,11 @@ def new_match_digest(t):
     listings = t.listings
     usable = listings.filter(F.size("requirements") > 0)
     recent = usable.filter((c("listing_id") % 97) <= 24)
-    seen = recent.filter(c("listing_id") % 5 == 0).select(dg.canonical_key().alias("canonical_key")).distinct()
-    notified = t.profiles.select("profile_id", F.lit(0).alias("k")).join(seen.withColumn("k", F.lit(0)), "k").drop("k")
+    pairs = cut(rt.retrieve(t.profiles, usable))
+    seen = recent.filter(c("listing_id") % 5 == 0).select("listing_id", dg.canonical_key().alias("canonical_key"))
+    notified = pairs.join(seen, "listing_id").select("profile_id", "canonical_key")
     thresholds = t.profiles.select("profile_id", (c("profile_id") % 70).cast("int").alias("match_min"))
-    return dg.new_matches(t.profiles, usable, notified, now(), thresholds, home_cities=HOME_CITIES).select(
+    return dg.new_matches(t.profiles, usable, notified, now(), thresholds, home_cities=HOME_CITIES, retrieved=pairs).select(
         "profile_id", "listing_id", "canonical_key", "total", "position"
     )
 

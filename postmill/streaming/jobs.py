@@ -150,7 +150,7 @@ def expired_listings(stream: DataFrame, days: int = lx.EXPIRE_AFTER_DAYS, late:
             return
         seen = state.get[0] if state.exists else 0
         for batch in batches:
-            seen = max(seen, int(batch["ts"].max().timestamp() * 1000))
+            seen = max(seen, batch["ts"].max().value // 1_000_000)
         state.update((seen,))
         # a timer must lie after the watermark; an overdue listing expires at the next trigger
         state.setTimeoutTimestamp(max(seen + wait_ms, state.getCurrentWatermarkMs() + 1))
