@@ -173,12 +173,22 @@ def similar_pairs(groups: DataFrame, threshold: float = lx.SIMILARITY_THRESHOLD)
 # --- grouping ----------------------------------------------------------------------------
 
 
+def _to_roots(parents: DataFrame) -> DataFrame:
+    """Pointer doubling: (node, parent) with every parent replaced by the root of its tree."""
+    while True:
+        hop = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+        jumped = cut(parents.join(hop, "parent").select("node", "parent", "grand"))
+        parents = jumped.select("node", F.col("grand").alias("parent"))
+        if jumped.filter("parent <> grand").isEmpty():
+            return parents
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Smallest reachable id per node of an undirected edge list (a, b).
 
-    Every round points each node at its smallest neighbour, follows the pointers once more, and
-    contracts the graph to the nodes pointed at. Edges are distinct after every contraction, so
-    the graph shrinks geometrically. Lineage is cut each round.
+    Every round points each node at its smallest neighbour, follows the pointers to their roots,
+    and contracts the graph to those roots. A root stands for at least two nodes and edges are
+    distinct after every contraction, so the graph at least halves. Lineage is cut each round.
     """
     graph = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mapping = None
@@ -191,8 +201,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             .groupBy("node")
             .agg(F.least(F.min("near"), F.col("node")).alias("parent"))
         )
-        hop = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        parents = cut(parents.join(hop, "parent").select("node", F.col("grand").alias("parent")))
+        parents = _to_roots(parents)
         if mapping is None:
             mapping = parents
         else:
