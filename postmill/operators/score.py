@@ -13,7 +13,9 @@ from postmill.operators.eligibility import round_half_up, score_band
 def age_days(posted: Column, now: Column) -> Column:
     """Whole days since posting; the future counts as today, unknown stays NULL."""
     seconds = F.unix_micros(now) - F.unix_micros(posted)
-    return F.greatest(F.lit(0), F.floor(seconds / F.lit(86_400_000_000)))
+    days = F.floor(seconds / F.lit(86_400_000_000))
+    # greatest() would take 0 for an unknown date
+    return F.when(days.isNotNull(), F.greatest(F.lit(0), days))
 
 
 def freshness(posted: Column, now: Column) -> Column:

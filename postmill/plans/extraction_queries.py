@@ -238,7 +238,8 @@ def _cv(t):
 _LANGS = " + ".join(f"CASE WHEN regexp_matches(n, {s.q(p)}) THEN 1 ELSE 0 END" for p, _ in lx.LANGUAGE_NAMES)
 _SKILL_N = " + ".join(f"CASE WHEN contains(n, {s.q(ex.normalize_py(w))}) THEN 1 ELSE 0 END" for w in HEAT_WORDS)
 _EDU = s.first_match("n", lx.PROFILE_EDUCATION_PATTERNS, "NULL")
-_YEARS = "least(40, TRY_CAST(regexp_extract(n, '([0-9]{1,2})\\s*(\\+)?\\s*(yil|year)', 1) AS INTEGER))"
+_FOUND_YEARS = "TRY_CAST(regexp_extract(n, '([0-9]{1,2})\\s*(\\+)?\\s*(yil|year)', 1) AS INTEGER)"
+_YEARS = f"CASE WHEN {_FOUND_YEARS} > 40 THEN 40 ELSE {_FOUND_YEARS} END"
 
 
 @query("heuristic_profile", f"""

@@ -245,59 +245,60 @@ JOB = {
 }
 
 
-def column(x):
-    if isinstance(x, list):
-        return F.array(*[F.lit(i) for i in x]) if x else F.array().cast("array<string>")
-    return F.lit(x) if x is not None else F.lit(None).cast("string")
-
-
-def judge(value, profile=None, job=None, verified=True):
-    from postmill.functions import extract as ex
-
-    who = el.candidate(**{k: column(v) for k, v in {**PROFILE, **(profile or {})}.items()})
-    role = ex.role_requirements(*[column(v) for v in {**JOB, **(job or {})}.values()])
-    return value(el.evaluate(role, who, F.array(F.lit(JOB["title"])), verified))
-
-
-def codes(result):
-    return [b["code"] for b in result["blockers"]]
-
-
-def test_fitting_candidate(value):
-    r = judge(value)
-    assert r["eligible"] and r["band"] in ("cok-uygun", "uygun") and r["confidence"] == "medium"
-    assert r["total"] == int(sum(x["earned"] for x in r["components"]) + 0.5)
-
-
-@pytest.mark.parametrize(("profile", "job", "code"), [
+BLOCKED = [
     ({"education": "Lisans öğrencisi"}, {}, "graduate-required"), ({"education": "lise"}, {}, "education-level"),
     ({"years": 0}, {}, "experience-below-min"), ({}, {"title": "Kıdemli Uzman"}, "seniority-mismatch"),
     ({"desired_seniority": "stajyer", "education": None, "seniority": None}, {"title": "Senior Uzman"}, "employment-mismatch"),
     ({}, {"location": "Ankara"}, "location-mismatch"), ({"location_mode": "all"}, {"location": "Stockholm"}, "abroad-listing"),
     ({}, {"criteria": ["Yabancı Dil İngilizce(Konuşma : İleri)"]}, "language-missing"),
-])
-def test_blockers(value, profile, job, code):
-    r = judge(value, profile, job)
-    assert not r["eligible"] and code in codes(r)
-
-
-@pytest.mark.parametrize(("profile", "job"), [
+]
+FREE = [
     ({"years": None}, {}), ({"education": None}, {}), ({"languages": []}, {"criteria": ["Yabancı Dil İngilizce(Konuşma : İleri)"]}),
     ({}, {"location": None}), ({}, {"location": "Stockholm", "work_mode": "remote"}), ({}, {"criteria": [], "requirements": [], "description": ""}),
-])
-def test_unknown_never_blocks(value, profile, job):
-    assert judge(value, profile, job)["eligible"]
+]
+BANDS = [
+    ({}, {}, 65, 100), ({"skills": ["Garson"], "keywords": ["servis"]}, {}, 45, 85),
+    ({"skills": ["Kaynak"], "keywords": ["tig"], "years": 0, "education": "lise"}, {"title": "Kıdemli Yazılım Mimarı", "location": "Ankara"}, 0, 60),
+]
+
+
+def judged(spark, cases):
+    """Verdicts of (profile change, job change, verified) cases, all in one job."""
+    from postmill.functions import extract as ex
+
+    rows = []
+    for i, (profile, job, verified) in enumerate(cases):
+        rows.append((i, *{**PROFILE, **profile}.values(), *{**JOB, **job}.values(), verified))
+    kinds = {"years": "int", "languages": "array<string>", "locations": "array<string>", "skills": "array<string>", "keywords": "array<string>",
+             "requirements": "array<string>", "criteria": "array<string>"}
+    names = [f"p_{k}" for k in PROFILE] + [f"j_{k}" for k in JOB]
+    schema = ", ".join(["i int"] + [f"{n} {kinds.get(n[2:], 'string')}" for n in names] + ["verified boolean"])
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    who = el.candidate(**{k: c(f"p_{k}") for k in PROFILE})
+    role = ex.role_requirements(*[c(f"j_{k}") for k in JOB])
+    sides = df.select("i", "verified", who.alias("who"), role.alias("role"))
+    verdict = el.evaluate(c("role"), c("who"), F.array(F.lit(JOB["title"])), c("verified"))
+    return [r["v"] for r in sides.select("i", verdict.alias("v")).orderBy("i").collect()]
 
 
-def test_unverified_blocks(value):
-    assert codes(judge(value, verified=False)) == ["listing-invalid"]
+def codes(result):
+    return [b["code"] for b in result["blockers"]]
 
 
-@pytest.mark.parametrize(("profile", "job", "low", "high"), [
-    ({}, {}, 65, 100), ({"skills": ["Garson"], "keywords": ["servis"]}, {}, 45, 85), ({"skills": ["Kaynak"], "keywords": ["tig"], "years": 0, "education": "lise"}, {"title": "Kıdemli Yazılım Mimarı", "location": "Ankara"}, 0, 60),
-])
-def test_golden_bands(value, profile, job, low, high):
-    assert low <= judge(value, profile, job)["total"] <= high
+def test_eligibility(spark):
+    cases = [({}, {}, True), ({}, {}, False)] + [(p, j, True) for p, j, _ in BLOCKED] + [(p, j, True) for p, j in FREE] + [(p, j, True) for p, j, *_ in BANDS]
+    results = judged(spark, cases)
+    fit, unverified = results[:2]
+    assert fit["eligible"] and fit["band"] in ("cok-uygun", "uygun") and fit["confidence"] == "medium"
+    assert fit["total"] == int(sum(x["earned"] for x in fit["components"]) + 0.5)
+    assert codes(unverified) == ["listing-invalid"]
+    blocked = results[2:2 + len(BLOCKED)]
+    for (_, _, code), r in zip(BLOCKED, blocked, strict=True):
+        assert not r["eligible"] and code in codes(r), (code, r)
+    for case, r in zip(FREE, results[2 + len(BLOCKED):], strict=False):
+        assert r["eligible"], (case, r)
+    for (_, _, low, high), r in zip(BANDS, results[-len(BANDS):], strict=True):
+        assert low <= r["total"] <= high, r
 
 
 # --- scores ---------------------------------------------------------------------------------
