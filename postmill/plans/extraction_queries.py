@@ -50,10 +50,11 @@ def known_skills(t):
 
 @query("skill_segments", None)
 def skill_segments(t):
-    """Run-on blocks made of a document's words, split back into dictionary terms."""
-    block = F.regexp_replace(F.initcap(F.substring("text", 1, 120)), r"\s+", "")
-    parts = ex.split_skill_segment(block, HEAT_WORDS)
-    return t.documents.select("doc_id", F.array_join(parts, "|").alias("parts"), F.size(parts).alias("n"))
+    """Every line run together into one block and split back into dictionary terms."""
+    rows = t.documents.select("doc_id", F.posexplode(pf.lines(c("text"))).alias("pos", "line"))
+    blocks = rows.select("doc_id", "pos", F.regexp_replace(F.initcap("line"), r"\s+", "").alias("block"))
+    parts = blocks.select("doc_id", "pos", ex.split_skill_segment(c("block"), HEAT_WORDS).alias("parts"))
+    return parts.select("doc_id", "pos", F.array_join("parts", "|").alias("parts"), F.size("parts").alias("n"))
 
 
 _EDGE = "[^a-z0-9+#.]"
@@ -154,11 +155,11 @@ for _i, _marker in enumerate(lx.CRITERIA_NOISE):
 
 @query("criteria_noise", f"""
 SELECT doc_id, md5({s.squeeze(_NOISE_CUT)}) AS digest FROM (
-  SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 200) || ' Yapay zeka ile ' || substr(text, 201, 100) ELSE 'Yapay zeka ' || substr(text, 1, 200) END AS t0 FROM documents)
+  SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || ' Yapay zeka ile ' || text ELSE 'Yapay zeka ' || text END AS t0 FROM documents)
 """)
 def criteria_noise(t):
-    even = F.concat(F.substring("text", 1, 200), F.lit(" Yapay zeka ile "), F.substring("text", 201, 100))
-    line = F.when(c("doc_id") % 2 == 0, even).otherwise(F.concat(F.lit("Yapay zeka "), F.substring("text", 1, 200)))
+    even = F.concat("text", F.lit(" Yapay zeka ile "), "text")
+    line = F.when(c("doc_id") % 2 == 0, even).otherwise(F.concat(F.lit("Yapay zeka "), "text"))
     return t.documents.select("doc_id", F.md5(ex.strip_criteria_noise(line)).alias("digest"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postmill import lexicon as lx
@@ -266,14 +265,13 @@ def _view(t):
 
 
 @query("filtered_results", s.with_(s.LISTINGS, _VIEW) + """
-SELECT listing_id, row_number() OVER (ORDER BY eligible DESC, match_score DESC, posted_s DESC, listing_id) AS position FROM view
-WHERE NOT (eligible AND match_score < 50) AND trim(split_part(coalesce(location, ''), ',', 1)) = 'en' ORDER BY position LIMIT 200
+SELECT listing_id, match_score FROM view WHERE NOT (eligible AND match_score < 50) AND trim(split_part(coalesce(location, ''), ',', 1)) = 'en'
+ORDER BY eligible DESC, match_score DESC, posted_s DESC, listing_id
 """)
 def filtered_results(t):
-    """Explained rejections stay visible below the score floor; the view shows the first 200."""
+    """Explained rejections stay visible below the score floor."""
     kept = _view(t).filter(sc.result_filter(only_eligible=False, min_score=50, city="en"))
-    top = kept.orderBy(*sc.result_order()).limit(200)
-    return top.select("listing_id", F.row_number().over(Window.orderBy(*sc.result_order())).alias("position"))
+    return kept.orderBy(*sc.result_order()).select("listing_id", "match_score")
 
 
 @query("recent_results", s.with_(s.LISTINGS, _VIEW) + "SELECT listing_id FROM view WHERE eligible AND work_mode = 'remote' ORDER BY posted_s DESC, listing_id")

@@ -90,8 +90,8 @@ def crawl_bursts(t):
 
 
 @query("expired_stream", f"""
-SELECT listing_id, last_seen_ms FROM (SELECT user_id AS listing_id, epoch_ms(max(ts)) AS last_seen_ms, max(ts) AS seen FROM events GROUP BY user_id), {_MARK}
-WHERE last_seen_ms + 86400000 < epoch_ms(mark)
+SELECT listing_id, last_seen_ms FROM (SELECT user_id AS listing_id, epoch_us(max(ts)) // 1000 AS last_seen_ms, max(ts) AS seen FROM events GROUP BY user_id), {_MARK}
+WHERE last_seen_ms + 86400000 < epoch_us(mark) // 1000
 """)
 def expired_stream(t):
     gone = st.expired_listings(_events(t).select(c("user_id").alias("listing_id"), "ts"), days=1)
