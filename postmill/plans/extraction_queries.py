@@ -400,6 +400,44 @@ def profession_expansion(t):
     return rows.select("profile_id", *[F.array_join(n, "|").alias(n) for n in ("equivalents", "related", "canonicals")])
 
 
-@query("search_links", None)
+_PLATFORMS = "platforms AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {s.q(name)}, {s.q(kind)}, {boost}, {str(direct).lower()}, {s.q(url)})" for i, (name, kind, boost, direct, url) in enumerate(lx.SEARCH_PLATFORMS)
+) + ") AS v(no, platform, kind, boost, direct, template))"
+_PLANS = f"""
+base_plans AS (
+  SELECT profile_id, role, s1, s2, work, city, other, location_mode, work_mode, len(sk) AS n_skills, regexp_matches({s.trlower("array_to_string(sk || titles, ' ')")}, {s.q(rt.TECH_PROFILE)}) AS tech,
+    regexp_matches({s.trlower("array_to_string(skills || titles, ' ')")}, {s.q(rt.TECH_PROFILE)}) AS tech_all
+  FROM (SELECT *, target_role AS role, skills[1:4] AS sk, skills[1] AS s1, skills[2] AS s2, CASE work_mode WHEN 'remote' THEN 'remote' WHEN 'hybrid' THEN 'hibrit' END AS work,
+    CASE WHEN location_mode = 'cities' THEN locations[1] END AS city, list_filter(titles, lambda x: x <> target_role)[1] AS other FROM profiles)
+),
+raw_plans AS (
+  SELECT *, 0 AS o, concat_ws(' ', role, s1, s2, work) AS query, 88 AS score, 'recommended' AS category FROM base_plans
+  UNION ALL SELECT *, 1, concat_ws(' ', role, s1), 82, 'recommended' FROM base_plans
+  UNION ALL SELECT *, 2, concat_ws(' ', role, city), 78, 'general' FROM base_plans WHERE city IS NOT NULL
+  UNION ALL SELECT *, 3, concat_ws(' ', other, s1), 76, 'general' FROM base_plans WHERE other IS NOT NULL
+  UNION ALL SELECT *, 4, concat_ws(' ', role, coalesce(s1, 'technology')), 74, 'tech' FROM base_plans WHERE tech
+),
+plans AS (
+  SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY o) - 1 AS plan_no FROM (
+    SELECT * FROM raw_plans WHERE query <> '' QUALIFY row_number() OVER (PARTITION BY profile_id, {s.trlower('query')} ORDER BY o) = 1)
+),
+fitting AS (
+  SELECT p.*, f.no, f.platform, f.boost, f.direct, replace(replace(template, '{{query_slug}}', {s.slug('query')}), '{{query}}', url_encode(query)) AS url,
+    row_number() OVER (PARTITION BY profile_id, plan_no ORDER BY f.no) AS k
+  FROM plans p, platforms f WHERE CASE WHEN f.kind = 'public' THEN plan_no = 0 WHEN f.platform = 'LinkedIn' THEN plan_no <= 1 WHEN f.platform = 'Toptalent' THEN tech_all OR plan_no = 0
+    WHEN plan_no >= 2 AND f.platform = 'Yenibiriş' THEN false ELSE f.kind = 'general' OR p.category = f.kind OR p.category = 'recommended' END
+),
+links AS (
+  SELECT profile_id, plan_no, no, platform, query, url, direct, least(98, greatest(45, score + boost + CASE WHEN n_skills >= 2 THEN 3 ELSE 0 END + CASE WHEN location_mode = 'cities' THEN 2 ELSE 0 END
+    + CASE WHEN work_mode <> 'any' THEN 2 ELSE 0 END)) AS score
+  FROM fitting WHERE k <= CASE WHEN plan_no = 0 THEN 7 ELSE 4 END
+  QUALIFY row_number() OVER (PARTITION BY profile_id, {s.trlower("regexp_replace(url, '/+$', '')")} ORDER BY plan_no, no) = 1
+)"""
+
+
+@query("search_links", s.with_(s.PROFILES, _PLATFORMS, _PLANS) + """
+SELECT profile_id, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, plan_no, no) AS position, platform, query, url, score,
+  CASE WHEN NOT direct THEN 'low' WHEN score >= 86 THEN 'high' ELSE 'medium' END AS confidence FROM links QUALIFY position <= 14
+""")
 def search_links(t):
     return rt.search_links(t.profiles)
