@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import chat, html_main, lines, media, mixing, neighbours, packing, quality
+from postmill.llm import chat, html_main, jaccard, lines, media, mixing, neighbours, packing, quality, windows
 from postmill.llm.common import load, sha_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,30 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END) AS s FROM w
+), n AS (SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS k FROM s),
+x AS (SELECT doc_id, unnest(s) AS g FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (
+  SELECT a, b, na.k AS ka, nb.k AS kb FROM o JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * c >= 85 * (na.n + nb.n - c)
+), r AS (SELECT doc_id, doc_id AS m FROM n UNION SELECT e.b, r.m FROM r JOIN e ON r.doc_id = e.a),
+l AS (SELECT a, count(DISTINCT kb) FILTER (ka <> kb) AS n_links FROM e GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, (SELECT min(m) FROM r WHERE r.doc_id = n.doc_id) AS component_id, coalesce(n_links, 0) AS n_links
+FROM n LEFT JOIN l ON a = n.doc_id
+"""
+
+
+@query("op6_ngram_jaccard", JACCARD_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
@@ -153,6 +177,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract_pages(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return windows.remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", spans.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query("op10_media_columns")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
