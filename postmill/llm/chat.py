@@ -90,10 +90,11 @@ def best_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     path = cut(chosen.select("tree", "branch", F.col("node").alias("leaf"), "length", "node", F.lit(0).alias("above")))
     for r, step in enumerate(hops):
         p, s = path.alias("p"), step.filter("up IS NOT NULL").alias("s")
-        further = p.join(s, F.expr("p.tree <=> s.tree AND p.node = s.node")).select(
-            "p.tree", "p.branch", "p.leaf", "p.length", F.col("s.up").alias("node"), (F.col("p.above") + 2**r).alias("above")
+        own = F.struct("p.node", "p.above")
+        up = F.struct(F.col("s.up").alias("node"), (F.col("p.above") + 2**r).alias("above"))
+        path = p.join(s, F.expr("p.tree <=> s.tree AND p.node = s.node"), "left").select(
+            "p.tree", "p.branch", "p.leaf", "p.length", F.inline(F.when(F.col("s.up").isNull(), F.array(own)).otherwise(F.array(own, up)))
         )
-        path = path.unionByName(further)
     return path.select("tree", "branch", "leaf", (F.col("length") - F.col("above")).alias("place"), "node")
 
 

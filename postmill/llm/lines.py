@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.common import LOWER, UPPER, WHITE, fresh, hash_pair
+from postmill.session import cut
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -48,8 +49,9 @@ def drop_shared_lines(
     if min_docs > 2:
         wide = lines.join(holders, [h1, h2], "left_semi").select(h1, h2, doc).distinct().groupBy(h1, h2).count()
         holders = holders.join(wide.filter(F.col("count") >= min_docs).select(h1, h2), [h1, h2])
+    # cut, so that the join deals both sides out itself and Spark can split a line that very many rows hold
     dropped = (
-        lines.join(holders.select(h1, h2, first), [h1, h2])
+        lines.join(cut(holders.select(h1, h2, first)), [h1, h2])
         .filter(F.col(doc) > F.col(first))
         .groupBy(doc, t1, t2)
         .agg(F.collect_set(pos).alias(drop))

@@ -11,8 +11,8 @@ suffixes mostly share it, so a run of them travels as one byte string.
 3. What is left are repeated windows; their bytes are merged to spans and cut out of the texts.
 
 Every task merges equal digits and equal runs of its own batch before it sends them, so a passage in a third of all
-documents is one witness per batch. Digits that still occur in very many runs are split: their suffixes travel as
-window hashes of their own, each to its own place.
+documents is one witness per batch. Digits that still occur in very many runs, at most HOT_DIGITS of them, are split:
+their suffixes travel as window hashes of their own, each to its own place.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.common import hash_pair
+from postmill.session import cut
 
 LENGTH = 200
 GRAM = 50
@@ -30,7 +31,7 @@ DIGIT = 40
 SEGMENT = 1 << 20
 BATCH = 1 << 20
 FRAGMENT_RUNS = 20_000
-HOT_RUNS = 50_000
+HOT_RUNS, HOT_DIGITS = 50_000, 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MASK = np.uint64((1 << 22) - 1)
@@ -161,8 +162,9 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(pack, "doc_id long, t1 long, t2 long, z binary")
 
 
-def repeated_digits(docs: DataFrame, text_col: str, fragments: int, length: int, gram: int) -> DataFrame:
-    """(t1, t2, start, hot) of the runs whose digit occurs in another run too; hot: in very many."""
+def repeated_digits(docs: DataFrame, text_col: str, fragments: int, length: int, gram: int, hot_runs: int) -> DataFrame:
+    """(t1, t2, start) of the runs whose digit occurs in another run too; digits in hot_runs or more come as
+    rows (digit, 0, -1) besides."""
 
     def first_pass(stream):
         held = Buffer(length)
@@ -196,21 +198,24 @@ def repeated_digits(docs: DataFrame, text_col: str, fragments: int, length: int,
         d = _joined(table, "d", np.uint64)
         t1, t2, place, count = (_joined(table, c, np.int64) for c in ("t1", "t2", "place", "count"))
         settled = count == 0
-        keep, hot = settled.copy(), np.zeros(len(d), bool)
+        keep, hot = settled.copy(), np.zeros(0, np.int64)
         own = np.flatnonzero(~settled)
         own = own[np.argsort(d[own], kind="stable")]
         if len(own):
             starts = np.concatenate([[0], np.flatnonzero(np.diff(d[own])) + 1])
-            total = np.repeat(np.add.reduceat(count[own], starts), np.diff(np.append(starts, len(own))))
-            keep[own], hot[own] = total > 1, total >= HOT_RUNS
-        return pa.table({"t1": t1[keep], "t2": t2[keep], "start": place[keep], "hot": hot[keep]})
+            total = np.add.reduceat(count[own], starts)
+            keep[own] = np.repeat(total > 1, np.diff(np.append(starts, len(own))))
+            hot = d[own[starts[total >= hot_runs]]].view(np.int64)
+        more = np.zeros(len(hot), np.int64)
+        columns = ([t1[keep], hot], [t2[keep], more], [place[keep], more - 1])
+        return pa.table(dict(zip(["t1", "t2", "start"], map(np.concatenate, columns))))
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     t1, t2 = hash_pair(text)
     packed = docs.select(t1.alias("t1"), t2.alias("t2"), text.alias("text")).mapInArrow(
         first_pass, "fragment long, d binary, t1 binary, t2 binary, place binary, count binary"
     )
-    return packed.groupBy("fragment").applyInArrow(meet, "t1 long, t2 long, start long, hot boolean")
+    return packed.groupBy("fragment").applyInArrow(meet, "t1 long, t2 long, start long")
 
 
 def sort_windows(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, weights: np.ndarray, length: int) -> np.ndarray:
@@ -237,10 +242,9 @@ def sort_windows(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, weigh
 
 def repeated_runs(texts: DataFrame, runs: DataFrame, fragments: int, length: int, gram: int) -> DataFrame:
     """(t1, t2, start, end): bytes covered by repeated windows, per text; may overlap."""
-    lists = runs.groupBy("t1", "t2").agg(
-        F.collect_set(F.when(~F.col("hot"), F.col("start"))).alias("plain"), F.collect_set(F.when(F.col("hot"), F.col("start"))).alias("hot")
-    )
-    joined = texts.join(lists, ["t1", "t2"]).select("t1", "t2", "z", "plain", "hot", "doc_id")
+    hot_digits = np.array([r[0] for r in runs.filter("start < 0").select("t1").collect()], np.int64).view(np.uint64)
+    lists = runs.filter("start >= 0").groupBy("t1", "t2").agg(F.collect_set("start").alias("starts"))
+    joined = texts.join(lists, ["t1", "t2"]).select("t1", "t2", "z", "starts", "doc_id")
 
     def cut_out(stream):
         import zstandard
@@ -251,12 +255,13 @@ def repeated_runs(texts: DataFrame, runs: DataFrame, fragments: int, length: int
 
         def flush(full):
             data, owner, first, last, digit, t1, t2, place = full.runs(gram)
-            hot = np.zeros(len(first), bool)
             plain = np.zeros(len(first), bool)
             bounds = np.searchsorted(owner, np.arange(len(full.parts) + 1))
-            for k, (some, many) in enumerate(full.wanted):
+            for k, starts in enumerate(full.wanted):
                 a, b = bounds[k], bounds[k + 1]
-                plain[a:b], hot[a:b] = np.isin(place[a:b], some), np.isin(place[a:b], many)
+                plain[a:b] = np.isin(place[a:b], starts)
+            hot = plain & np.isin(digit, hot_digits)
+            plain &= ~hot
             full.clear()
             rows = []
             sums = Hashes(data)
@@ -307,10 +312,9 @@ def repeated_runs(texts: DataFrame, runs: DataFrame, fragments: int, length: int
             return [(f, b"", *c) for f, c in _dealt(where, [t1, t2, place, one, weight, h])]
 
         for batch in stream:
-            parts = [batch.column(k) for k in range(5)]
-            for t1, t2, z, some, many in zip(parts[0].to_pylist(), parts[1].to_pylist(), parts[2], parts[3], parts[4]):
-                wanted = tuple(np.array(x.as_py() or [], np.int64) for x in (some, many))
-                for full in held.texts(t1, t2, unpack(z.as_py()), wanted):
+            parts = [batch.column(k) for k in range(4)]
+            for t1, t2, z, starts in zip(parts[0].to_pylist(), parts[1].to_pylist(), parts[2], parts[3]):
+                for full in held.texts(t1, t2, unpack(z.as_py()), np.array(starts.as_py(), np.int64)):
                     yield flush(full)
         if held.parts:
             yield flush(held)
@@ -378,9 +382,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     cores = docs.sparkSession.sparkContext.defaultParallelism
     # a run has about (length - gram) / 2 windows; every fragment gets about FRAGMENT_RUNS of them at most
-    fragments = int(max(2 * cores, size // (max(length - gram, 2) // 2) // FRAGMENT_RUNS))
+    total = size // (max(length - gram, 2) // 2)
+    fragments = int(max(2 * cores, total // FRAGMENT_RUNS))
     texts = _texts(docs, id_col, text_col)
-    runs = repeated_digits(docs, text_col, fragments, length, gram)
+    runs = cut(repeated_digits(docs, text_col, fragments, length, gram, max(HOT_RUNS, total // HOT_DIGITS)))
     spans = repeated_runs(texts, runs, fragments, length, gram)
     per_text = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     joined = texts.join(per_text, ["t1", "t2"], "left").select("doc_id", "z", "spans")
