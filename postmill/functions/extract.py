@@ -357,7 +357,7 @@ def listing_terms(
 ) -> Column:
     """struct(skills <=25, requirements <=15)"""
     lines = F.concat(requirements, criteria)
-    text = F.concat_ws("\n", title, F.array_join(lines, "\n"), F.substring(description, 1, 3000))
+    text = F.concat_ws("\n", title, F.array_join(lines, "\n"), description)
     cleaned = F.filter(
         F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"^[\s•\-–—*·]+", ""))),
         lambda x: F.length(x).between(12, 160),

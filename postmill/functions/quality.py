@@ -10,8 +10,7 @@ from postmill.functions import text as tx
 
 
 def is_blocked_page(title: Column, description: Column) -> Column:
-    head = F.concat_ws(" ", title, F.substring(F.coalesce(description, F.lit("")), 1, 300))
-    return tx.fold(head).rlike(lx.BLOCK_PAGE)
+    return tx.fold(F.concat_ws(" ", title, F.coalesce(description, F.lit("")))).rlike(lx.BLOCK_PAGE)
 
 
 def is_non_listing_page(

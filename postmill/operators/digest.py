@@ -16,7 +16,7 @@ from postmill.operators import retrieve as rt
 def canonical_key() -> Column:
     """Listing fingerprint, or its URL when the listing has no usable identity."""
     print_ = tx.fingerprint(F.col("title"), F.col("company"), F.col("location"))
-    return F.substring(F.when(print_ == "", tx.url_key(F.col("url"))).otherwise(print_), 1, 190)
+    return F.when(print_ == "", tx.url_key(F.col("url"))).otherwise(print_)
 
 
 def subscribers(settings: DataFrame, users: DataFrame) -> DataFrame:

@@ -241,7 +241,7 @@ def probed_status(
     access_method: Column, http_status: Column, body: Column, total: Column, successful: Column
 ) -> Column:
     """Status of a probed candidate source: active with a job signal, dead after hopeless scans."""
-    blocked = tx.fold(F.substring(body, 1, 5000)).rlike(lx.PROBE_BLOCK_SIGNAL)
+    blocked = tx.fold(body).rlike(lx.PROBE_BLOCK_SIGNAL)
     signal = F.when(access_method == "json-api", body.rlike("title|jobs")).otherwise(
         tx.fold(body).rlike(lx.JOB_PAGE_SIGNAL)
     )

@@ -34,7 +34,7 @@ def fulltext_query(target_role: Column, titles: Column, variations: Column, skil
         F.slice(keywords, 1, 8),
     )
     usable = F.filter(F.transform(terms, lambda t: F.trim(t)), lambda t: F.length(t) >= 2)
-    return F.substring(F.array_join(tx.distinct_ignore_case(usable), " "), 1, 240)
+    return F.array_join(tx.distinct_ignore_case(usable), " ")
 
 
 def like_terms(target_role: Column, titles: Column, variations: Column, skills: Column) -> Column:

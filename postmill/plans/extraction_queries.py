@@ -67,7 +67,7 @@ _BOUND = " || ".join(
 SELECT listing_id, array_to_string(list_filter(f, lambda x: len(list_filter(f, lambda y: length(y) > length(x) AND contains(y, x))) = 0)[1:25], '|') AS skills,
   array_to_string(list_filter({ordered_distinct('requirements')}, lambda x: length(x) BETWEEN 12 AND 160)[1:15], '|') AS requirements
 FROM (SELECT listing_id, requirements, {_BOUND} AS f FROM (
-  SELECT listing_id, requirements, {s.fold("title || chr(10) || array_to_string(requirements, chr(10)) || chr(10) || substr(description, 1, 3000)")} AS t FROM listings))
+  SELECT listing_id, requirements, {s.fold("title || chr(10) || array_to_string(requirements, chr(10)) || chr(10) || coalesce(description, '')")} AS t FROM listings))
 """)
 def listing_terms(t):
     none = F.array().cast("array<string>")
@@ -86,8 +86,8 @@ def _evidence_sql(term: str) -> str:
 
 
 _EVIDENCE = f"""
-evidence AS (SELECT profile_id, keywords AS terms, skills AS declared, {s.norm('text')} AS hay
-  FROM profiles JOIN (SELECT item_id + 1 AS profile_id, text FROM benchmark) USING (profile_id))"""
+evidence AS (SELECT profile_id, keywords AS terms, skills AS declared, {s.norm("coalesce(text, '')")} AS hay
+  FROM profiles LEFT JOIN (SELECT item_id + 1 AS profile_id, text FROM benchmark) USING (profile_id))"""
 
 
 @query("keyword_alignment", s.with_(s.PROFILES, _EVIDENCE) + f"""
@@ -96,7 +96,7 @@ SELECT profile_id, term, CASE WHEN {_evidence_sql('term')} THEN 'covered' ELSE '
 def keyword_alignment(t):
     """A profile's keywords against the text of another one and its own declared skills."""
     texts = t.read("benchmark").select((c("item_id") + 1).alias("profile_id"), tx.normalize(c("text")).alias("hay"))
-    rows = t.profiles.join(texts, "profile_id")
+    rows = t.profiles.join(texts, "profile_id", "left").withColumn("hay", F.coalesce("hay", F.lit("")))  # the first has no text
     aligned = pf.keyword_alignment(c("keywords"), c("hay"), c("skills"))
     return rows.select("profile_id", F.explode(aligned).alias("x")).select("profile_id", "x.term", "x.status")
 

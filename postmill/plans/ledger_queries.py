@@ -334,7 +334,7 @@ def stage_progress(t):
 
 _RECENT = "recent AS (SELECT * FROM base_listings WHERE (listing_id % 97) <= 24 AND listing_id IN (SELECT listing_id FROM listings WHERE len(requirements) > 0))"
 _DIGEST = f"""
-canon AS (SELECT listing_id, group_id, substr(CASE WHEN f = '' THEN {s.url_key('url')} ELSE f END, 1, 190) AS canonical_key, {_RICH} AS richness
+canon AS (SELECT listing_id, group_id, CASE WHEN f = '' THEN {s.url_key('url')} ELSE f END AS canonical_key, {_RICH} AS richness
   FROM (SELECT *, {s.fingerprint('title', 'company', 'location')} AS f FROM recent) JOIN grouped USING (listing_id)),
 reduced AS (SELECT profile_id, listing_id, canonical_key FROM retrieved JOIN canon USING (listing_id)
   QUALIFY row_number() OVER (PARTITION BY profile_id, group_id ORDER BY richness DESC, listing_id) = 1),

@@ -36,7 +36,7 @@ tokens AS (SELECT listing_id, last_seen, unnest(list_distinct(string_split(t, '
 term_lists AS (SELECT profile_id, {_TERMS} AS a, {_LIKE} AS l FROM profiles),
 wanted AS (
   SELECT DISTINCT profile_id, token FROM (
-    SELECT profile_id, unnest(string_split({s.norm("substr(array_to_string(" + ordered_distinct('a') + ", ' '), 1, 240)")}, ' ')) AS token FROM term_lists)
+    SELECT profile_id, unnest(string_split({s.norm("array_to_string(" + ordered_distinct('a') + ", ' ')")}, ' ')) AS token FROM term_lists)
   WHERE length(token) >= {lx.FULLTEXT_MIN_TOKEN} AND token NOT IN {_STOP}
 ),
 tier1 AS (
@@ -92,10 +92,10 @@ def sparse_retrieval(t):
 
 
 def _phrases(t):
-    return t.profiles.select("profile_id", F.explode(F.array_distinct(F.concat("titles", F.slice("skills", 1, 4)))).alias("term"))
+    return t.profiles.select("profile_id", F.explode(F.array_distinct(F.concat("titles", "skills"))).alias("term"))
 
 
-_PHRASES = "phrases AS (SELECT DISTINCT unnest(titles || skills[1:4]) AS term FROM profiles),\ntexts AS (SELECT listing_id, " + s.norm("description") + " AS t FROM base_listings)"
+_PHRASES = "phrases AS (SELECT DISTINCT unnest(titles || skills) AS term FROM profiles),\ntexts AS (SELECT listing_id, " + s.norm("description") + " AS t FROM base_listings)"
 
 
 @query("phrase_hits", s.with_(s.LISTINGS, s.PROFILES, _PHRASES) + "SELECT term, listing_id FROM phrases JOIN texts ON contains(t, term)")
@@ -142,7 +142,7 @@ def relevance_gate(t):
 
 _ALL_RELEVANT = f"""
 sides AS (SELECT listing_id, {s.norm("title || ' ' || company")} AS ti, {s.norm('description')} AS b FROM base_listings),
-strict AS (SELECT profile_id, list_filter(terms, lambda x: length(x) >= 6) AS terms FROM profile_terms)"""
+strict AS (SELECT profile_id, terms FROM profile_terms)"""
 
 
 @query("relevant_pairs", s.with_(s.LISTINGS, s.PROFILES, _PTERMS, _ALL_RELEVANT) + """
@@ -151,7 +151,7 @@ WHERE len(list_filter(terms, lambda x: contains(ti, x))) > 0 OR len(list_filter(
 """)
 def relevant_pairs(t):
     """The gate as a containment join over everything, with no pair that shares no term."""
-    terms = cut(_terms(t).select("profile_id", F.explode(F.filter("terms", lambda x: F.length(x) >= 6)).alias("term")))
+    terms = cut(_terms(t).select("profile_id", F.explode("terms").alias("term")))
     heads = t.base_listings.select("listing_id", tx.normalize(F.concat_ws(" ", "title", "company")).alias("text"))
     bodies = t.base_listings.select("listing_id", tx.normalize(c("description")).alias("text"))
     hits = [rt.containing_texts(cut(x), terms.select("term").distinct()) for x in (heads, bodies)]

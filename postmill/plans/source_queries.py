@@ -207,7 +207,7 @@ def diversified_sources(t):
 SELECT page_id, CASE WHEN code = 200 AND NOT blocked AND regexp_matches(lower(html), '(is-ilani|is-ilanlari|/jobs?\\b|/careers?\\b|kariyer|acik pozisyon|open position|basvur|apply|jobposting)') THEN 'active'
   WHEN page_id % 3 > 0 THEN 'dead' ELSE 'candidate' END AS status
 FROM (SELECT page_id, html, CASE WHEN page_id % 4 = 0 THEN 500 ELSE 200 END AS code,
-  regexp_matches(lower(substr(html, 1, 5000)), '(just a moment|attention required|access denied|verify you are|captcha)') AS blocked FROM pages)
+  regexp_matches(lower(html), '(just a moment|attention required|access denied|verify you are|captcha)') AS blocked FROM pages)
 """)
 def probe_results(t):
     i = c("page_id")

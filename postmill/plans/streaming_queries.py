@@ -26,7 +26,7 @@ def _table(t, stream, name):
 
 
 @query("streaming_ingest", """
-SELECT user_id, event_type, arg_max(event_id, ts) AS event_id, round(arg_max(value, ts), 6) AS value, epoch_us(min(ts)) AS first_seen_us, epoch_us(max(ts)) AS last_seen_us
+SELECT user_id, event_type, last(event_id ORDER BY ts, event_id) AS event_id, round(last(value ORDER BY ts, event_id), 6) AS value, epoch_us(min(ts)) AS first_seen_us, epoch_us(max(ts)) AS last_seen_us
 FROM events GROUP BY user_id, event_type
 """)
 def streaming_ingest(t):

@@ -152,7 +152,7 @@ _REASON = f"""
 crossed AS (SELECT * REPLACE ({_OTHER_URL} AS url) FROM base_listings),
 reasons AS (
   SELECT *, CASE
-    WHEN regexp_matches({s.fold("title || ' ' || substr(description, 1, 300)")}, {s.q(lx.BLOCK_PAGE)}) THEN 'blocked_page'
+    WHEN regexp_matches({s.fold("title || ' ' || coalesce(description, '')")}, {s.q(lx.BLOCK_PAGE)}) THEN 'blocked_page'
     WHEN regexp_matches({s.fold('title')}, {s.q(lx.NON_LISTING_TITLE)}) OR regexp_matches(lower(url), {s.q(lx.NON_LISTING_URL)}) THEN 'not_a_listing'
     WHEN NOT {_matches('title', 'url')} THEN 'title_url_mismatch' END AS reason
   FROM crossed
@@ -173,7 +173,7 @@ def cleanup_counts(t):
 SELECT total, blocked, crossed, round((blocked + crossed) * 100.0 / total, 6) AS bad_percent,
   CASE WHEN (blocked + crossed) * 100.0 / total < 2 THEN 'ok' WHEN (blocked + crossed) * 100.0 / total < 5 THEN 'warn' ELSE 'fail' END AS verdict
 FROM (SELECT count(*) AS total, count(*) FILTER (b) AS blocked, count(*) FILTER (NOT b AND NOT m) AS crossed FROM (
-  SELECT regexp_matches({s.fold("title || ' ' || substr(description, 1, 300)")}, {s.q(lx.BLOCK_PAGE)}) AS b, {_matches('title', 'url')} AS m FROM crossed))
+  SELECT regexp_matches({s.fold("title || ' ' || coalesce(description, '')")}, {s.q(lx.BLOCK_PAGE)}) AS b, {_matches('title', 'url')} AS m FROM crossed))
 """)
 def bad_listing_rate(t):
     return an.bad_listing_rate(_crossed_listings(t)).withColumn("bad_percent", F.round("bad_percent", 6))

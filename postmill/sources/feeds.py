@@ -87,7 +87,7 @@ def remote_ok(spark: SparkSession, path: str, source: str, tokens: list[str]) ->
         F.try_to_timestamp("date").alias("posted_at"),
         F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ").alias("tags"),
     )
-    return _shape(rows, source, tokens, F.concat_ws(" ", "title", "tags", F.substring("description", 1, 600)))
+    return _shape(rows, source, tokens, F.concat_ws(" ", "title", "tags", "description"))
 
 
 def rss_date(c: Column) -> Column:
@@ -113,7 +113,7 @@ def rss(spark: SparkSession, path: str, source: str, tokens: list[str]) -> DataF
         F.lit("remote").alias("work_mode"), _text(F.col("description")).alias("description"),
         _text(F.col("link")).alias("url"), rss_date(F.col("pubDate")).alias("posted_at"),
     )
-    return _shape(rows, source, tokens, F.concat_ws(" ", "title", F.substring("description", 1, 600)))
+    return _shape(rows, source, tokens, F.concat_ws(" ", "title", "description"))
 
 
 def reader_for(access_method: str, platform_type: str | None):

@@ -79,19 +79,17 @@ def seed_registry(existing: DataFrame, seeds: DataFrame, overwrite: list[str]) -
 
 
 def prepare_rows(crawled: DataFrame, now: Column, checked: bool = True) -> DataFrame:
-    """Crawled rows as table rows: clipped texts, limited lists, content hash, life-cycle columns."""
+    """Crawled rows as table rows: whole texts and lists, content hash, life-cycle columns."""
     def listed(name: str) -> Column:
         items = F.filter(F.coalesce(name, F.array().cast("array<string>")), lambda x: x != "")
-        return F.slice(items, 1, 30).alias(name)
+        return items.alias(name)
 
     c = F.col
     rows = crawled.select(
-        "platform", "category", "external_id", F.substring("title", 1, 255).alias("title"),
-        F.substring("company", 1, 190).alias("company"), F.substring("location", 1, 190).alias("location"),
+        "platform", "category", "external_id", "title", "company", "location",
         tx.known_work_mode(c("work_mode")).alias("work_mode"),
-        F.substring(F.coalesce("description", F.lit("")), 1, 60000).alias("description"),
-        listed("requirements"), listed("candidate_criteria"), F.substring("url", 1, 700).alias("url"),
-        F.substring("source_query", 1, 255).alias("source_query"), "posted_at",
+        F.coalesce("description", F.lit("")).alias("description"),
+        listed("requirements"), listed("candidate_criteria"), "url", "source_query", "posted_at",
     )
     return rows.select(
         "*", tx.content_hash(c("title"), c("company"), c("description"), c("requirements")).alias("content_hash"),

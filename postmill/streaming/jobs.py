@@ -67,14 +67,14 @@ def fresh_listings(stream: DataFrame, horizon: str = "7 days", key: Column | Non
     )
 
 
-def newest_rows(keys: list[str], at: str = "ts"):
-    """Merge for `upsert_batch`: newest row per key, first sighting kept."""
+def newest_rows(keys: list[str], at: str = "ts", tie: str = "event_id"):
+    """Merge for `upsert_batch`: newest row per key by (at, tie), first sighting kept."""
     def merge(before: DataFrame | None, batch: DataFrame) -> DataFrame:
         rows = batch.withColumn("first_seen", F.col(at))
         every = rows if before is None else before.unionByName(rows)
         others = [c for c in rows.columns if c not in [*keys, "first_seen"]]
         merged = every.groupBy(*keys).agg(
-            F.max_by(F.struct(*others), at).alias("_row"), F.min("first_seen").alias("first_seen")
+            F.max_by(F.struct(*others), F.struct(at, tie)).alias("_row"), F.min("first_seen").alias("first_seen")
         )
         return merged.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others], "first_seen")
 
@@ -83,32 +83,46 @@ def newest_rows(keys: list[str], at: str = "ts"):
 
 # --- K2 source health -------------------------------------------------------------------------
 
-HEALTH_COLUMNS = ["source", "total_runs", "empty_runs", "failures", "last_success_at", "last_checked_at", "blocked"]
+def _later(x: Column, mark: Column) -> Column:
+    return mark.isNull() | (x > mark)
 
 
 def merge_health(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Fold one micro-batch into the state per source.
+    """Fold one micro-batch into the state per source, whatever order runs arrive in.
 
-    The batch is reduced per source first (map-side), so a dominant source costs one small row.
+    Places in time are (ts, event_id). Besides counters the state keeps the newest run's values and the places
+    of the failures since the last success, so a success that arrives late still takes back those before
+    it. The batch is reduced per source first (map-side), so a dominant source costs one small row.
     """
-    state = hl.source_health(batch).select(
-        "source", "total_runs", "empty_runs", F.col("consecutive_failures").alias("failures"), "last_success_at",
-        "last_checked_at", "blocked",
+    c = F.col
+    ok, at = c("parsed") > 0, F.struct(*hl.ORDER)
+    new = batch.groupBy("source").agg(
+        F.count("*").alias("total_runs"), F.count_if(~ok).alias("empty_runs"), F.max(F.when(ok, at)).alias("last_ok"), F.max(at).alias("last_at"),
+        F.max_by(
+            F.struct("status", "parsed", "discovered", F.lower(F.coalesce("message", F.lit(""))).rlike(hl.BLOCK_MESSAGE).alias("blocked")), at
+        ).alias("last"),
+        F.bool_or(~ok & (c("discovered") == 0) & (c("searched") > 0)).alias("requires_javascript"),
+        F.collect_list(F.when(~ok, at)).alias("failed"),
     )
+    names = ["total_runs", "empty_runs", "last_ok", "last_at", "last", "requires_javascript", "failed"]
     if before is None:
-        return state
-    old, new = before.alias("o"), state.alias("n")
-
-    def both(name: str) -> Column:
-        return F.coalesce(F.col(f"o.{name}"), F.lit(0)) + F.coalesce(F.col(f"n.{name}"), F.lit(0))
-
-    failures = F.when(F.col("n.last_success_at").isNotNull(), F.col("n.failures")).otherwise(both("failures"))
-    return old.join(new, "source", "full_outer").select(
-        "source", both("total_runs").alias("total_runs"), both("empty_runs").alias("empty_runs"),
-        failures.alias("failures"),
-        F.greatest("o.last_success_at", "n.last_success_at").alias("last_success_at"),
-        F.greatest("o.last_checked_at", "n.last_checked_at").alias("last_checked_at"),
-        F.coalesce("n.blocked", "o.blocked").alias("blocked"),
+        joined = new
+    else:
+        o, n = (lambda x: c(f"o.{x}")), (lambda x: c(f"n.{x}"))
+        none = F.array().cast(new.schema["failed"].dataType)
+        old = before.select("source", *names).alias("o")
+        joined = old.join(new.alias("n"), "source", "full_outer").select(
+            "source", *[(F.coalesce(o(x), F.lit(0)) + F.coalesce(n(x), F.lit(0))).alias(x) for x in names[:2]],
+            F.greatest(o("last_ok"), n("last_ok")).alias("last_ok"), F.greatest(o("last_at"), n("last_at")).alias("last_at"),
+            F.when(n("last_at").isNotNull() & _later(n("last_at"), o("last_at")), n("last")).otherwise(o("last")).alias("last"),
+            (F.coalesce(o("requires_javascript"), F.lit(False)) | F.coalesce(n("requires_javascript"), F.lit(False))).alias("requires_javascript"),
+            F.concat(F.coalesce(o("failed"), none), F.coalesce(n("failed"), none)).alias("failed"),
+        )
+    failed = F.filter("failed", lambda x: _later(x, c("last_ok")))
+    return joined.withColumn("failed", failed).select(
+        "source", *names, F.size("failed").cast("long").alias("failures"), c("last_ok.ts").alias("last_success_at"),
+        c("last_at.ts").alias("last_checked_at"), c("last.status").alias("last_status"), c("last.parsed").alias("last_parsed_count"),
+        c("last.discovered").alias("last_discovered_count"), c("last.blocked").alias("blocked"),
     )
 
 

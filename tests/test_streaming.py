@@ -43,6 +43,36 @@ def test_health_stream_equals_batch(spark, log, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+def test_health_in_any_batch_order(spark, log, tmp_path):
+    """Batches dealt by hash, so runs arrive far out of order; then a late success and a late block."""
+    everything = runs(log[0]).filter("event_id % 3 > 0")
+    path = str(tmp_path / uuid.uuid4().hex)
+    write = st.upsert_batch(path, st.merge_health)
+    for number in range(5):
+        write(everything.filter(F.pmod(F.xxhash64("event_id"), F.lit(5)) == number), number)
+    names = ["source", "total_runs", "empty_runs", "failures", "last_success_at", "last_status", "blocked", "requires_javascript"]
+    got = st.read_version(spark, path, 4).select(*names).collect()
+    want = hl.source_health(everything).withColumnRenamed("consecutive_failures", "failures").select(*names).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_health_takes_late_runs(spark, tmp_path):
+    def batch(*rows):
+        made = [(1, f"2024-01-01 {h:02d}:00:00", k, "x", parsed, 4, 1, message) for h, k, parsed, message in rows]
+        names = "source int, ts string, event_id long, status string, parsed int, discovered int, searched int, message string"
+        return spark.createDataFrame(made, names).withColumn("ts", c("ts").cast("timestamp"))
+
+    parts = [batch((8, 1, 3, None), (9, 2, 0, "HTTP 403"), (10, 3, 0, "HTTP 403")), batch((7, 4, 3, None)), batch((9, 5, 5, None))]
+    path = str(tmp_path / "late")
+    write = st.upsert_batch(path, st.merge_health)
+    seen = []
+    for number, part in enumerate(parts):
+        write(part, number)
+        row = st.read_version(spark, path, number).first()
+        seen.append((row.failures, row.blocked, row.last_success_at.hour))
+    assert seen == [(2, True, 8), (2, True, 8), (1, True, 9)]
+
+
 def test_repeated_batch_changes_nothing(spark, log, tmp_path):
     path = str(tmp_path / uuid.uuid4().hex)
     write = st.upsert_batch(path, st.merge_health)
@@ -62,6 +92,18 @@ def test_ingest_keeps_first_and_newest(spark, log, tmp_path):
     assert got == want
 
 
+def test_ingest_drops_repeated_keys_within_the_horizon(spark, tmp_path):
+    rows = [("u", "2024-01-01 00:00:00"), ("U/", "2024-01-03 00:00:00"), ("v", "2024-01-03 00:00:00"), ("v", "2024-01-03 00:00:00"), ("u", "2024-02-20 00:00:00")]
+    folder = str(tmp_path / "in")
+    for k, (url, ts) in enumerate(rows):
+        made = spark.createDataFrame([(f"https://x.example/{url}", ts, k)], "url string, ts string, event_id long")
+        made.withColumn("ts", c("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema("url string, ts timestamp, event_id long").parquet(folder)
+    out = str(tmp_path / "out")
+    st.run_to_table(st.fresh_listings(source, "7 days", F.lower(F.rtrim("url", F.lit("/")))), out)
+    assert spark.read.parquet(out).count() == 2  # one batch: the horizon runs from the first sighting of a key
+
+
 def test_windows_equal_batch_below_the_watermark(spark, log, tmp_path):
     path = str(tmp_path / "w")
     st.run_to_table(st.windowed_counts(stream(spark, log), "event_type"), path)
