@@ -30,7 +30,7 @@ GRAM = 50
 DIGIT = 40
 SEGMENT = 1 << 20
 BATCH = 1 << 20
-FRAGMENT_RUNS = 20_000
+FRAGMENT_DIGITS, FRAGMENT_RUNS = 500_000, 20_000
 HOT_RUNS, HOT_DIGITS = 50_000, 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -159,7 +159,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     t1, t2 = hash_pair(text)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), text.alias("text"))
-    return rows.mapInArrow(pack, "doc_id long, t1 long, t2 long, z binary")
+    # the inner join would add this filter for itself alone; with it in both joins they share one shuffle of the texts
+    return rows.mapInArrow(pack, "doc_id long, t1 long, t2 long, z binary").filter("t1 IS NOT NULL AND t2 IS NOT NULL")
 
 
 def repeated_digits(docs: DataFrame, text_col: str, fragments: int, length: int, gram: int, hot_runs: int) -> DataFrame:
@@ -381,12 +382,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("gram is at most length")
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    # a run has about (length - gram) / 2 windows; every fragment gets about FRAGMENT_RUNS of them at most
-    total = size // (max(length - gram, 2) // 2)
-    fragments = int(max(2 * cores, total // FRAGMENT_RUNS))
+    total = size // (max(length - gram, 2) // 2)  # a run has about half as many windows as a window has grams
+    fragments = int(max(2 * cores, total // FRAGMENT_DIGITS))
     texts = _texts(docs, id_col, text_col)
     runs = cut(repeated_digits(docs, text_col, fragments, length, gram, max(HOT_RUNS, total // HOT_DIGITS)))
-    spans = repeated_runs(texts, runs, fragments, length, gram)
+    spans = repeated_runs(texts, runs, int(max(2 * cores, runs.count() // FRAGMENT_RUNS)), length, gram)
     per_text = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     joined = texts.join(per_text, ["t1", "t2"], "left").select("doc_id", "z", "spans")
     schema = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
