@@ -75,8 +75,6 @@ def digest_texts(matches: DataFrame, listings: DataFrame, target_roles: DataFram
         .agg(F.sort_array(F.collect_list("l")).alias("lines"), F.count("*").alias("n"))
         .join(target_roles, "profile_id")
     )
-    body = F.concat(
-        F.lit('Merhaba,\n\n"'), c("target_role"), F.lit('" aramana uyan '), c("n").cast("string"),
-        F.lit(" yeni ilan bulundu:\n\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n"),
-    )
+    fields = {"n": c("n"), "target_role": c("target_role"), "lines": F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n")}
+    body = pf.fill(pf.TEMPLATES["digest"], fields)
     return lines.select("profile_id", "n", body.alias("body"))

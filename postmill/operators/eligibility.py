@@ -16,15 +16,15 @@ from postmill.functions import profile as pf
 from postmill.functions import text as tx
 
 BLOCKER_LABELS = {
-    "listing-invalid": "İlan doğrulanamadı",
-    "graduate-required": "Mezuniyet şartı",
-    "education-level": "Eğitim seviyesi",
-    "experience-below-min": "Deneyim şartı",
-    "seniority-mismatch": "Kıdem uyumsuzluğu",
-    "employment-mismatch": "Çalışma türü",
-    "location-mismatch": "Konum",
-    "abroad-listing": "Yurt dışı ilan",
-    "language-missing": "Dil şartı",
+    "listing-invalid": "İlan geçersiz görünüyor",
+    "graduate-required": "Mezun aranıyor",
+    "education-level": "Eğitim yetersiz",
+    "experience-below-min": "Deneyim eksik",
+    "seniority-mismatch": "Kıdem farklı",
+    "employment-mismatch": "İstihdam türü farklı",
+    "location-mismatch": "Yer uymuyor",
+    "abroad-listing": "Ülke dışında",
+    "language-missing": "Dil eksik",
 }
 BAND_LABELS = {
     "cok-guclu": "Çok güçlü", "cok-uygun": "Çok uygun", "uygun": "Uygun", "sinirda": "Sınırda",

@@ -121,7 +121,10 @@ def test_gaps_keep_the_worst(value):
 
 
 def test_texts(value):
+    none = lit(None).cast("string")
     line = pf.digest_line(lit(1), lit("Aşçı"), lit("Lezzet"), lit(""), lit(77), lit("https://x"))
-    assert value(line) == "1. Aşçı — Lezzet | uyum ~%77\n   https://x"
-    assert value(pf.email_subject(lit("Aşçı"), lit(None).cast("string"))) == "Aşçı Başvurusu — Başvuru"
-    assert "Lezzet bünyesinde" in value(pf.cover_letter(lit("D K"), lit("Lezzet"), lit("Aşçı"), lit(None).cast("string"), arr("Excel")))
+    assert value(line) == "#1 77/100: Aşçı, Lezzet\nhttps://x"
+    assert value(pf.email_subject(lit("Aşçı"), none)) == "Aşçı" and value(pf.email_subject(lit("Aşçı"), lit("D K"))) == "Aşçı / D K"
+    letter = value(pf.cover_letter(lit("D K"), lit("Lezzet"), lit("Aşçı"), none, arr("Excel")))
+    assert "(Lezzet)" in letter and "Excel" in letter and "Son görevim" not in letter
+    assert value(pf.profile_summary(none, none, lit("Aşçı"), F.array().cast("array<string>"), none)) == "Hedef: Aşçı."
