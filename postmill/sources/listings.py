@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postmill import lexicon as lx
 from postmill.functions import text as tx
 
 SAMPLE_SCHEMA = T.StructType([
