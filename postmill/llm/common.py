@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,12 +11,22 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 50_000
+BATCH_ROWS = 500
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """`df`, after lowering the session's Arrow batches to BATCH_ROWS rows: long texts by the ten thousand, Spark's
+    default, would fill a worker. A lower setting stays."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def fresh(prefix: str) -> Callable[[str], str]:
     """Column names that no input column can clash with."""
     tag = uuid4().hex[:8]
@@ -58,16 +68,3 @@ def ranked(df: DataFrame, keys: list[str], salt: Column, name: str, salts: int)
     own = Window.partitionBy(*keys, s).orderBy(order)
     placed = salted.withColumn(n, F.row_number().over(own) - 1)
     return placed.join(offsets, [*keys, s]).withColumn(name, F.col(n) + F.col(before)).select(*df.columns, name)
-
-
-def batches(rows: Iterator, limit: int, size: Callable) -> Iterator[list]:
-    """Lists of rows whose sizes sum to about `limit`; a larger row stands alone."""
-    held, total = [], 0
-    for row in rows:
-        held.append(row)
-        total += size(row)
-        if total >= limit:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held

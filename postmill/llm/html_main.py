@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.llm.common import bound_batches
+
 RAW = re.compile(r"<(script|style|noscript|template|iframe|textarea|svg|math|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[/a-zA-Z][^>]*(?:>|\Z)")
@@ -232,4 +234,4 @@ def extract_main_text(html: Column) -> Column:
 
 def extract_pages(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """`pages` plus `text_col`. Repeated rows give repeated rows; a column of that name is replaced."""
-    return pages.withColumn(text_col, extract_main_text(F.col(html_col)))
+    return bound_batches(pages).withColumn(text_col, extract_main_text(F.col(html_col)))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.llm.common import bound_batches
+
 RATE = 8_000
 FRAME, HOP = 256, 192
 BANDS = ((1, 8), (8, 20), (20, 44), (44, 80), (80, 129))
@@ -17,8 +19,6 @@ PAIR_REACH = 3
 UNIT = 576
 CHUNK_FRAMES = 16_384
 
-SCHEMA = "payload binary, media binary, n_samples long, peak_times array<int>, peak_codes array<long>"
-
 
 def to_wav(payload: bytes, rate: int = RATE) -> bytes:
     """Mono 8-bit WAV; an odd number of samples gets the format's pad byte, which isn't a sample."""
@@ -102,5 +102,5 @@ def media_columns(rows: DataFrame, payload_col: str) -> DataFrame:
         return pd.DataFrame(out, columns=["media", "media_payload", "peak_times", "peak_codes"])
 
     new = ["media", "media_payload", "peak_times", "peak_codes"]
-    coded = rows.withColumn("_media", encode(F.col(payload_col)))
+    coded = bound_batches(rows).withColumn("_media", encode(F.col(payload_col)))
     return coded.select(*[c for c in rows.columns if c not in new], *[F.col(f"_media.{c}").alias(c) for c in new])
