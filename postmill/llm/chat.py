@@ -45,10 +45,6 @@ def linear_messages(turns: DataFrame, conv: str = "conv_id", turn: str = "turn")
     )
 
 
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a["tree"].eqNullSafe(b["tree"])
-
-
 def best_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     """(tree, branch, leaf, place, node) of the `branches` best root-to-leaf paths of each tree (None: all).
 
@@ -57,7 +53,7 @@ def best_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     score and length up to there, so depth d takes log2(d) rounds. Only ids travel; texts stay behind.
     Nodes whose parent is null or missing are roots; a cycle has no leaf and so gives no path.
     """
-    nodes = messages.select("tree", "node", "parent", F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
+    nodes = cut(messages.select("tree", "node", "parent", F.coalesce(F.col("score"), F.lit(0.0)).alias("score")))
     known = nodes.select("tree", F.col("node").alias("parent")).distinct()
     n, k = nodes.alias("n"), known.alias("k")
     matched = F.expr("n.tree <=> k.tree AND n.parent = k.parent")
@@ -92,9 +88,9 @@ def best_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
         p, s = path.alias("p"), step.filter("up IS NOT NULL").alias("s")
         own = F.struct("p.node", "p.above")
         up = F.struct(F.col("s.up").alias("node"), (F.col("p.above") + 2**r).alias("above"))
-        path = p.join(s, F.expr("p.tree <=> s.tree AND p.node = s.node"), "left").select(
+        path = cut(p.join(s, F.expr("p.tree <=> s.tree AND p.node = s.node"), "left").select(
             "p.tree", "p.branch", "p.leaf", "p.length", F.inline(F.when(F.col("s.up").isNull(), F.array(own)).otherwise(F.array(own, up)))
-        )
+        ))
     return path.select("tree", "branch", "leaf", (F.col("length") - F.col("above")).alias("place"), "node")
 
 
