@@ -2,47 +2,49 @@
 
 from __future__ import annotations
 
+import math
+from operator import eq
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import fresh, join_small
+from postmill.llm.common import bound_batches, fresh, join_small
 from postmill.session import cut
 
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.5
-FEATURES = 12
+FEATURES = 13
 
 # --- document evidence -----------------------------------------------------------------------
 
 
-def features(text: Column) -> Column:
-    """Array of FEATURES numbers between 0 and about 1 from the whole text; null and empty texts give zeros."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.char_length(t), F.lit(1)).cast("double")
-
-    def count(pattern: str) -> Column:
-        return (F.char_length(t) - F.char_length(F.regexp_replace(t, pattern, ""))).cast("double")
-
-    def kept(chars: str) -> Column:  # characters of a set, by deletion
-        return (F.char_length(t) - F.char_length(F.translate(t, chars, ""))).cast("double")
-
-    words = kept(" \t\n") + 1
-    upper = count("\\p{Lu}+")
-    letters = count("\\p{L}+")
-    ends = kept(".!?")
-    signs = kept("#$%&*+=<>@^_~{}[]\\")
-    bars = kept("|")
-    shout = kept("!")
-    digits = kept("0123456789")
-    lines = kept("\n") + 1
-    commas = kept(",;:")
-    distinct = F.size(F.array_distinct(F.split(t, " "))).cast("double")
-    return F.array(
-        upper / F.greatest(letters, F.lit(1.0)), letters / n, signs / n * 4, bars / words * 2, shout / words, digits / n,
-        F.least(ends / words, F.lit(1.0)), F.least(commas / words, F.lit(1.0)), F.least(n / words / 20, F.lit(2.0)),
-        F.least(words / lines / 100, F.lit(2.0)), distinct / words, F.log1p(words) / 12,
-    )
+UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+DIGITS, SIGNS, ENDS, COMMAS = b"0123456789", b"#$%&*+=<>@^_~{}[]\\", b".!?", b",;:"
+NO_LETTERS = bytes(range(65)) + bytes(range(91, 97)) + bytes(range(123, 128))
+
+
+def features(text: str | None) -> list[float]:
+    """FEATURES numbers between 0 and about 2 from the whole text; null, empty and blank texts give zeros.
+
+    Counts are of UTF-8 bytes, all of a character beyond ASCII as letters.
+    """
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    words = raw.split()
+    if not words:
+        return [0.0] * FEATURES
+    n, w = len(raw), len(words)
+
+    def share(chars: bytes) -> int:
+        return n - len(raw.translate(None, chars))
+
+    letters = len(raw.translate(None, NO_LETTERS))
+    return [
+        share(UPPER) / max(letters, 1), letters / n, share(SIGNS) / n * 4, raw.count(b"|") / w * 2, raw.count(b"!") / w, share(DIGITS) / n,
+        min(share(ENDS) / w, 1.0), min(share(COMMAS) / w, 1.0), min(n / w / 20, 2.0), min(w / (raw.count(b"\n") + 1) / 100, 2.0),
+        len(set(words)) / w, sum(map(eq, words, words[1:])) / w, math.log1p(w) / 12,
+    ]
 
 
 def fit(rows: list[tuple[list[float], int]], penalty: float = 1e-3, rounds: int = 60) -> np.ndarray:
@@ -76,19 +78,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     known = labels.filter("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    @F.pandas_udf("array<double>")
+    def of_texts(texts: pd.Series) -> pd.Series:
+        return pd.Series([features(t) for t in texts])
+
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = join_small(own, cut(known), ["doc_id"], "inner").select(features(F.col("text")).alias("x"), "y")
+    rows = join_small(own, cut(known), ["doc_id"], "inner").select(of_texts("text").alias("x"), "y")
     return fit([(list(r[0]), int(r[1])) for r in rows.limit(train_rows).collect()])
 
 
 def evidence(text: Column, weights: np.ndarray) -> Column:
     """Log-odds of good quality from the document alone, between -12 and 12."""
-    x = features(text)
-    total = F.aggregate(
-        F.zip_with(x, F.array(*[F.lit(float(w)) for w in weights[:FEATURES]]), lambda a, b: a * b),
-        F.lit(float(weights[FEATURES])), lambda acc, v: acc + v,
-    )
-    return F.greatest(F.lit(-12.0), F.least(F.lit(12.0), total))
+    slopes, start = weights[:FEATURES], weights[FEATURES]
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        x = np.array([features(t) for t in texts], dtype=float).reshape(-1, FEATURES)
+        return pd.Series(np.clip(x @ slopes + start, -12, 12))
+
+    return score(text)
 
 
 # --- host and path posteriors ------------------------------------------------------------------
@@ -154,7 +162,7 @@ def classify(
     null and empty texts are judged by their zero features; without labels every score is about one half and
     all is kept. Repeated rows are judged alike. Columns that are named like the new ones are replaced.
     """
-    weights = train(docs, labels, id_col, text_col, train_rows)
+    weights = train(bound_batches(docs), labels, id_col, text_col, train_rows)
     col = fresh("quality")
     host, path, none, e = map(col, "host path none evidence".split())
     scored = docs.withColumn(e, evidence(F.col(text_col), weights))
