@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import hash_pair
+from postmill.llm.common import bound_batches, hash_pair
 from postmill.session import cut
 
 LENGTH = 200
@@ -138,6 +138,8 @@ def _dealt(where: np.ndarray, columns: list[np.ndarray]):
 
 
 def _fragment(h: np.ndarray, fragments: int) -> np.ndarray:
+    """Hashed again, as digits are the smallest of many hashes and so lie close together."""
+    h = _mixed(h + np.uint64(0xA0761D6478BD642F))
     return (((h >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int64)
 
 
@@ -380,7 +382,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not 0 < gram <= length:
         raise ValueError("gram is at most length")
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    size = bound_batches(docs).agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     cores = docs.sparkSession.sparkContext.defaultParallelism
     total = size // (max(length - gram, 2) // 2)  # a run has about half as many windows as a window has grams
     fragments = int(max(2 * cores, total // FRAGMENT_DIGITS))
