@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import fresh
+from postmill.llm.common import bound_batches, fresh, join_small
 from postmill.operators.dedupe import connected_components
 from postmill.session import cut
 
@@ -267,15 +267,17 @@ def _tile_rows(nodes: np.ndarray, linked: np.ndarray, split: int | None) -> list
 
 def block_links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     """(node, hub, links) per pair of chunks of a block; blocks of any size, chunks of bounded size."""
-    sized = sets.select("node", "hashes", (F.octet_length("hashes") / 8).cast("long").alias("n")).join(blocks, "node")
+    # all but the last step handles numbers only; the hashes travel twice, to their tiles' rows and to the tiles
+    sized = sets.select("node", (F.octet_length("hashes") / 8).cast("long").alias("n")).distinct().join(blocks, "node")
     shape = sized.groupBy("block").agg(F.count("*").alias("sets"), F.sum("n").alias("postings"))
     chunks = F.ceil(F.greatest(F.col("sets") / CHUNK_SETS, F.col("postings") / CHUNK_POSTINGS)).cast("int").alias("chunks")
     chunked = sized.join(shape.filter("sets > 1").select("block", chunks), "block").withColumn(
         "chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     )
     tiles = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "hashes"
+        "block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node"
     )
+    tiles = tiles.join(sets, "node").select("block", "i", "j", "chunk", "node", "hashes")
     dealt = tiles.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "node")
 
     def compare(stream):
@@ -302,7 +304,8 @@ def block_links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
                 if (block, i, j) != key:
                     rows += finish(key, held) if held else []
                     key, held = (block, i, j), []
-                held.append((chunk, node, np.frombuffer(blob.as_py(), np.uint64)))
+                if not held or held[-1][1] != node:  # rows of equal id and text bring a set more than once
+                    held.append((chunk, node, np.frombuffer(blob.as_py(), np.uint64)))
             yield batch_of(rows)
         if held:
             yield batch_of(finish(key, held))
@@ -323,7 +326,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("percent is 51 to 100")
     col = fresh("jaccard")
     rid, rtext = col("id"), col("key")
-    own = docs.select(
+    own = bound_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias(rid),
         F.xxhash64(text_col).alias(rtext), F.col(text_col).cast("string").alias("text"),
     )
@@ -349,9 +352,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             blobs = [shingle_hashes(words, text.as_py(), size).tobytes() for text in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(blobs, pa.binary())], names=["node", "hashes"])
 
-    texts = own.join(kept, [rid, rtext]).select("node", "text")
-    # rows with equal id and text, or null ids, may bring a set more than once
-    sets = cut(texts.mapInArrow(sets_of, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes")))
+    texts = join_small(own, kept, [rid, rtext], "inner").select("node", "text")
+    sets = cut(texts.mapInArrow(sets_of, "node long, hashes binary"))
     keys = cut(fragment_keys(sets, fragment_bits(sets, percent), percent))
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
     near = keys.join(hubs.select("key", "hub"), "key").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
