@@ -29,7 +29,7 @@ WORDS = 4
 PERCENT = 85
 CACHED_WORDS = 300_000
 FLUSH = 1_000_000
-FRAGMENT_POSTINGS = 4_000_000
+FRAGMENT_POSTINGS = 1_000_000
 CHUNK_SETS, CHUNK_POSTINGS = 256, 300_000
 COLUMN_BLOCK = 4_096
 
