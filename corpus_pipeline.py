@@ -12,6 +12,8 @@ from postmill.llm.common import load
 from postmill.llm.queries import tokenizer_file
 from postmill.session import ensure_checkpoint_dir
 
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
@@ -29,11 +31,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents, and all that have no id."""
-    groups = jaccard.components(docs).select(F.col("doc_id").alias("_id"), "component_id").distinct()
-    first = groups.filter("_id = component_id").select("_id")
-    known = docs.filter("doc_id IS NOT NULL").join(first, F.col("doc_id") == F.col("_id"), "left_semi")
-    return known.unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each group of documents linked by five-word n-grams, with or without id, and all without words."""
+    return jaccard.one_per_component(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

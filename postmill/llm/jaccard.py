@@ -313,14 +313,11 @@ def block_links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(compare, "node long, hub long, links long")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links), one row per input row.
+def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, str, str]:
+    """Rows without their texts, distinct sets with their component, and the columns that name a row: id and text hash.
 
-    Two documents link when 100 * shared n-grams >= percent * all n-grams of both (percent 51 to 100);
-    component_id is the smallest id reachable by links, its own included. n_links counts the other sets a
-    document's set links with; copies share a set. Null, empty and blank texts have no n-grams and stay
-    alone. Rows with one id are judged apart; a null id never is the smallest, so a component of null ids only
-    has the component_id null. Empty tables give no rows; other columns are ignored.
+    `rep` is the smallest such pair of a set. `component` tells components apart where component_id can't: ids
+    may be null or repeated.
     """
     if not 50 < percent <= 100:  # else D + 1 may exceed the size of a set
         raise ValueError("percent is 51 to 100")
@@ -363,8 +360,22 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     degree = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     labelled = cut(
         numbered.join(merged, "node", "left").join(degree, "node", "left")
-        .select("s1", "s2", "first_id", "n_links", F.coalesce("component", "node").alias("component"))
+        .select("s1", "s2", "rep", "first_id", "n_links", F.coalesce("component", "node").alias("component"))
     )
+    return keyed, labelled, rid, rtext
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links), one row per input row.
+
+    Two documents link when 100 * shared n-grams >= percent * all n-grams of both (percent 51 to 100);
+    component_id is the smallest id reachable by links, its own included. n_links counts the other sets a
+    document's set links with; copies share a set. Null, empty and blank texts have no n-grams and stay
+    alone. Rows with one id are judged apart; a null id never is the smallest, so a component of null ids only
+    has the component_id null. Empty tables give no rows; other columns are ignored.
+    """
+    keyed, labelled, _, _ = _labelled(docs, id_col, text_col, size, percent)
+    n = F.col("n_shingles")
     smallest = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_set = labelled.join(smallest, "component").select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), "component_id", "n_links")
     same = (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")) & (F.col("n_shingles") > 0)
@@ -372,3 +383,20 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", "n_shingles", F.when(n > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
+
+
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each component of linked documents, and every row whose text has no n-grams.
+
+    The row with the smallest id stays, null ids last; of rows with that id and text, the smallest in all columns.
+    Only the names of rows that go or are repeated are looked up, so unique texts aren't shuffled while those are few.
+    """
+    keyed, labelled, rid, rtext = _labelled(docs, id_col, text_col, size, percent)
+    first = labelled.groupBy("component").agg(F.min("rep").alias("rep")).select(f"rep.{rid}", f"rep.{rtext}", F.lit(True).alias("stays"))
+    rows = keyed.filter("n_shingles > 0").groupBy(rid, rtext).agg(F.count("*").alias("n"))
+    special = cut(rows.join(first, [rid, rtext], "left").filter("stays IS NULL OR n > 1").select(rid, rtext, "stays"))
+    named = docs.withColumns({rid: F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), rtext: F.xxhash64(text_col)})
+    plain = join_small(named, special.select(rid, rtext), [rid, rtext], "left_anti").select(*docs.columns)
+    repeated = join_small(named, special.filter("stays").select(rid, rtext), [rid, rtext], "inner")
+    single = repeated.groupBy(rid, rtext).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return plain.unionByName(single)
