@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import defaultdict
@@ -162,9 +163,10 @@ def path_scores(page: Page) -> dict[int, float]:
     return {p: chars[p] / nodes[p] * (1 + marks[p] / nodes[p]) * (1 - links[p] / chars[p]) for p in nodes}
 
 
-def content_flags(page: Page) -> list[bool]:
+def content_flags(page: Page) -> tuple[list[bool], list[bool]]:
     """Smooth the fused path ratios over the page with a Gaussian; paths whose blocks reach the threshold on
-    average, half the mean of all characters' smoothed ratios, are content."""
+    average, half the mean of all characters' smoothed ratios, are content. Of these blocks, the second list leaves
+    out the lone block of a path that reaches it by its neighbours only."""
     score = path_scores(page)
     paths = [page.path[b[0]] for b in page.blocks]
     line = [score[p] for p in paths]
@@ -180,36 +182,66 @@ def content_flags(page: Page) -> list[bool]:
     for s, p in zip(smooth, paths):
         sums[p] += s
         counts[p] += 1
-    return [sums[p] / counts[p] >= threshold and score[p] > 0 for p in paths]
+    flags = [sums[p] / counts[p] >= threshold and score[p] > 0 for p in paths]
+    return flags, [f and (counts[p] > 1 or score[p] >= threshold) for f, p in zip(flags, paths)]
+
+
+def _common(page: Page, elements: set[int]) -> int:
+    """Lowest element that is or lies above each of the elements; a child's number is above its parent's."""
+    elements = set(elements)
+    heap = [-k for k in elements]
+    heapq.heapify(heap)
+    while len(elements) > 1:
+        elements.discard(last := -heapq.heappop(heap))
+        if page.parent[last] not in elements:
+            elements.add(page.parent[last])
+            heapq.heappush(heap, -page.parent[last])
+    return elements.pop()
+
+
+def _outermost(page: Page) -> list[int]:
+    """The outermost article or main element of each element, itself included; 0 for none."""
+    top = [0]
+    for k in range(1, len(page.tag)):
+        top.append(top[page.parent[k]] or (k if page.tag[k] in ("article", "main") else 0))
+    return top
 
 
 def main_text(html: str | None) -> str:
     """Main text of one page: the blocks of the article that the content paths lie in, joined by \\n.
 
-    The article is the nearest article or main element above the smallest element that holds nine tenths of
-    the content paths' text, or else that element with the headings just before it. Blocks in it that are
-    links alone go. Null, empty and text-free pages give ''.
+    The article is the nearest article or main element above the lowest element around all content paths' blocks;
+    where one article or main element holds nine tenths of their text, only its blocks count. Without such an
+    element it is the lowest element itself, or the one below body that also holds the last h1 before it, with the
+    headings just before. Blocks in it that are links alone go. Null, empty and text-free pages give ''.
     """
     page = Page(html or "")
     blocks = page.blocks
     if not blocks:
         return ""
     unlinked = [linked < len(text) for _, text, linked in blocks]
-    flags = content_flags(page)
+    flags, anchors = content_flags(page)
     if not any(flags):
         flags = unlinked if any(unlinked) else [True] * len(blocks)
-    held = [0] * len(page.tag)
-    for (element, text, _), flag in zip(blocks, flags):
-        held[element] += len(text) * flag
-    for k in range(len(held) - 1, 0, -1):
-        held[page.parent[k]] += held[k]
-    # parents come before children, so the last wide enough element is the smallest
-    root = max(k for k, n in enumerate(held) if n >= 0.9 * held[0])
+    if not any(anchors):
+        anchors = flags
+    top, held = _outermost(page), defaultdict(int)
+    for (element, text, _), anchor in zip(blocks, anchors):
+        held[top[element]] += len(text) * anchor
+    marked = [k for k, n in held.items() if k and n]
+    if len(marked) == 1 and held[marked[0]] >= 0.9 * sum(held.values()):
+        anchors = [a and top[b[0]] == marked[0] for a, b in zip(anchors, blocks)]
+    root = _common(page, {b[0] for a, b in zip(anchors, blocks) if a})
     article = root
     while article and page.tag[article] not in ("article", "main"):
         article = page.parent[article]
-    if not article and page.tag[root] in CLOSES_P - {"div", "section", "table"} | {"p", "li"}:
-        root = page.parent[root]
+    if not article:
+        if page.tag[root] in CLOSES_P - {"div", "section", "table"} | {"p", "li"}:
+            root = page.parent[root]
+        title = max((b[0] for b in blocks if page.tag[b[0]] == "h1" and b[0] < root), default=0)
+        above = _common(page, {root, title}) if title else 0
+        if above and page.tag[above] not in ("html", "body"):
+            root = above
     root = article or root
     within = [k == root for k in range(len(page.tag))]
     for k in range(root + 1, len(within)):
