@@ -353,9 +353,9 @@ def boundary_terms(c: Column, dictionary: Sequence[str] = lx.DEFAULT_SKILLS) ->
 
 def listing_terms(
     title: Column, description: Column, requirements: Column, criteria: Column,
-    dictionary: Sequence[str] = lx.DEFAULT_SKILLS,
+    dictionary: Sequence[str] = lx.DEFAULT_SKILLS, max_skills: int | None = None, max_requirements: int | None = None,
 ) -> Column:
-    """struct(skills <=25, requirements <=15)"""
+    """struct(skills, requirements), all of them unless a limit is given"""
     lines = F.concat(requirements, criteria)
     text = F.concat_ws("\n", title, F.array_join(lines, "\n"), description)
     cleaned = F.filter(
@@ -368,8 +368,8 @@ def listing_terms(
         lambda found: F.filter(tx.lit_array(list(dictionary)), lambda t: F.array_contains(found, t)),
     )
     return F.struct(
-        F.slice(tx.let(ordered, drop_subsumed), 1, 25).alias("skills"),
-        F.slice(tx.distinct_ignore_case(cleaned), 1, 15).alias("requirements"),
+        tx.first(tx.let(ordered, drop_subsumed), max_skills).alias("skills"),
+        tx.first(tx.distinct_ignore_case(cleaned), max_requirements).alias("requirements"),
     )
 
 

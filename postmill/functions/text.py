@@ -63,6 +63,11 @@ def distinct_by_key(items: Column, keys: Column) -> Column:
     return F.filter(items, lambda _, i: F.array_position(keys, F.get(keys, i)) == i + 1)
 
 
+def first(items: Column, limit: int | None) -> Column:
+    """The first `limit` items; None is all."""
+    return items if limit is None else F.slice(items, 1, limit)
+
+
 def distinct_ignore_case(items: Column) -> Column:
     kept = F.filter(items, lambda s: s != "")
     return distinct_by_key(kept, F.transform(kept, turkish_lower))

@@ -103,13 +103,17 @@ def keyword_alignment(t):
 
 @query("gap_report", None)
 def gap_report(t):
-    """Missing terms of each listing for the profile with the same number."""
+    """Missing terms of each retrieved listing for its profile; terms are extracted once per listing."""
     none = F.array().cast("array<string>")
+    pairs = cut(rt.retrieve(t.profiles, t.base_listings).select("profile_id", "listing_id"))
     texts = t.read("benchmark").select(c("item_id").alias("profile_id"), tx.normalize(c("text")).alias("hay"))
-    rows = t.profiles.join(texts, "profile_id").join(t.listings, c("profile_id") == c("listing_id"))
+    profiles = t.profiles.select("profile_id", "skills").join(texts, "profile_id")
     terms = ex.listing_terms(c("title"), c("description"), c("requirements"), none, HEAT_WORDS)
-    found = rows.select("profile_id", F.explode(pf.gaps(terms, c("hay"), c("skills"))).alias("g"))
-    return found.select("profile_id", "g.requirement", "g.severity", F.array_join("g.missing", "|").alias("missing"))
+    retrieved = t.listings.join(pairs.select("listing_id").distinct(), "listing_id", "left_semi")
+    listings = cut(retrieved.select("listing_id", terms.alias("terms")))
+    rows = pairs.join(listings, "listing_id").join(profiles, "profile_id")
+    found = rows.select("profile_id", "listing_id", F.explode(pf.gaps(c("terms"), c("hay"), c("skills"))).alias("g"))
+    return found.select("profile_id", "listing_id", "g.requirement", "g.severity", F.array_join("g.missing", "|").alias("missing"))
 
 
 @query("role_criteria", s.with_(s.FULL_LISTINGS) + """
