@@ -211,14 +211,21 @@ def role_requirements(
     )
 
 
-def section_sentences(c: Column, marker: str) -> Column:
-    """Up to eight sentences from the 1,500 characters after a section marker."""
-    start = F.regexp_instr(tx.fold(c), F.lit(marker))
-    block = F.substring(c, start, F.lit(1500))
+def section_sentences(c: Column, marker: str, until: str | None = None, window: int | None = None, limit: int | None = None) -> Column:
+    """Sentences from a section marker to the marker of another section (`until`) or the end.
+
+    A window in characters and a number of sentences limit them if given.
+    """
+    folded = tx.fold(c)
+    start = F.regexp_instr(folded, F.lit(marker))
+    block = F.substring(c, start, F.length(c) if window is None else F.lit(window))
+    if until is not None:
+        other = F.regexp_instr(F.substring(folded, start + 1, F.length(c)), F.lit(until))
+        block = F.when(other > 0, F.substring(block, F.lit(1), other)).otherwise(block)
     pieces = F.filter(
         F.transform(F.split(block, r"[-–•\n]|\.\s+"), tx.clean_html), lambda s: F.length(s) > 12
     )
-    return F.when(start > 0, F.slice(pieces, 1, 8)).otherwise(F.array().cast("array<string>"))
+    return F.when(start > 0, tx.first(pieces, limit)).otherwise(F.array().cast("array<string>"))
 
 
 # --- dictionary terms ----------------------------------------------------------------

@@ -198,7 +198,7 @@ SELECT doc_id, len(p) AS n, md5(array_to_string(p, '|')) AS digest FROM (
       lambda x: {s.clean_html('x')}), lambda x: length(x) > 12)[1:8] ELSE []::VARCHAR[] END AS p FROM documents)
 """)
 def section_sentences(t):
-    p = ex.section_sentences(c("text"), _MARK)
+    p = ex.section_sentences(c("text"), _MARK, window=1500, limit=8)  # the limits of the SQL
     return t.documents.select("doc_id", F.size(p).alias("n"), F.md5(F.array_join(p, "|")).alias("digest"))
 
 

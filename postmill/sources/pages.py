@@ -216,7 +216,7 @@ def pages_to_listings(pages: DataFrame, selectors: dict[str, list[str]] = lx.FIE
     trusted = (own != "") & ql.title_matches_url(own, c("url"))
     title = F.when(trusted, own).otherwise(F.coalesce(tx.cleanup_title(meta_title(c("html"))), own))
     block = tx.clean_html(c("sel_description"))
-    body = tx.truncate(F.when(F.length(block) > 120, block).otherwise(c("page_text")), 5000)
+    body = F.when(F.length(block) > 120, block).otherwise(c("page_text"))
     basis = rows.select(
         *[x for x in ("platform", "category", "source_query") if x in rows.columns], "url",
         F.when(use_ld, ld_title).otherwise(title).alias("title"),
@@ -234,8 +234,8 @@ def pages_to_listings(pages: DataFrame, selectors: dict[str, list[str]] = lx.FIE
     shaped = usable.select(
         *[c(x) if x in basis.columns else F.lit(None).cast("string").alias(x) for x in ("platform", "category")],
         tx.external_id(c("url")).alias("external_id"), "title", "company", "location", "work_mode", "description",
-        ex.section_sentences(c("section_text"), lx.REQUIREMENT_SECTION).alias("requirements"),
-        ex.section_sentences(c("section_text"), lx.CRITERIA_SECTION).alias("candidate_criteria"), "url",
+        ex.section_sentences(c("section_text"), lx.REQUIREMENT_SECTION, lx.CRITERIA_SECTION).alias("requirements"),
+        ex.section_sentences(c("section_text"), lx.CRITERIA_SECTION, lx.REQUIREMENT_SECTION).alias("candidate_criteria"), "url",
         (c("source_query") if "source_query" in basis.columns else F.lit(None).cast("string")).alias("source_query"),
         F.try_to_timestamp("posted_text").alias("posted_at"),
     )
