@@ -37,9 +37,14 @@ def from_wav(media: bytes) -> bytes:
 
 
 def spectral_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Loudest bin of each band in every frame (frames x bands), with its strength; frames go in chunks."""
-    if len(samples) < FRAME:
+    """Loudest bin of each band in every frame (frames x bands), with its strength; frames go in chunks.
+
+    Silence fills the last frame, so every sample lies in a frame.
+    """
+    if not len(samples):
         return np.zeros((0, len(BANDS)), np.int64), np.zeros((0, len(BANDS)))
+    short = -(len(samples) - FRAME) % HOP if len(samples) > FRAME else FRAME - len(samples)
+    samples = np.concatenate([samples, np.full(short, 128, samples.dtype)])
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     window = np.hanning(FRAME).astype(np.float32)
     bins, levels = [], []
@@ -87,8 +92,8 @@ def padded(text: Column, unit: int = UNIT) -> Column:
 def media_columns(rows: DataFrame, payload_col: str) -> DataFrame:
     """`rows` plus media (WAV bytes), media_payload (read back from them), peak_times and peak_codes.
 
-    `payload_col` is binary; null is empty. Equal payloads give equal values. Payloads of fewer than FRAME
-    bytes have no peaks. Other columns are kept, those named like the new ones replaced. No shuffle: a row
+    `payload_col` is binary; null is empty. Equal payloads give equal values. Payloads of up to FRAME
+    bytes have one frame, so no pairs. Other columns are kept, those named like the new ones replaced. No shuffle: a row
     is encoded where it is read.
     """
 
