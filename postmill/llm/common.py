@@ -8,6 +8,8 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from postmill.session import ensure_checkpoint_dir
+
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 50_000
@@ -68,3 +70,16 @@ def ranked(df: DataFrame, keys: list[str], salt: Column, name: str, salts: int)
     own = Window.partitionBy(*keys, s).orderBy(order)
     placed = salted.withColumn(n, F.row_number().over(own) - 1)
     return placed.join(offsets, [*keys, s]).withColumn(name, F.col(n) + F.col(before)).select(*df.columns, name)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read again: its lineage ends there, columns can be read alone."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import chat, html_main, jaccard, lines, media, mixing, neighbours, packing, quality, windows
-from postmill.llm.common import load, sha_hex
+from postmill.llm import alignment, chat, filter_audit, html_main, jaccard, lines, media, mixing, neighbours, packing, quality, token_files, windows
+from postmill.llm.common import load, scratch, sha_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -198,3 +198,57 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"), F.concat_ws("-", F.size("peak_codes"), F.sha2(code.cast("binary"), 256)).alias("feature"),
         F.size("peak_codes").cast("long").alias("n_fingerprints"),
     )
+
+
+def vocabulary_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op11_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, vocabulary_file("byte_bpe_50k.json"), vocabulary_file("piece_bpe_32k.model"))
+
+
+AUDIT_SQL = r"""
+WITH RECURSIVE o AS (
+  SELECT '' AS filter_order UNION ALL SELECT filter_order || l FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS t(l) WHERE NOT contains(filter_order, l)
+), s AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS before
+  FROM o, unnest([1, 2, 3, 4, 5]) AS t(step) WHERE length(filter_order) = 5
+), d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), m AS (
+  SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+    CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN labels l ON d.doc_id = l.doc_id
+), c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, fails
+), x AS (
+  SELECT *, contains(fails, f) AS bad, before = '' OR NOT regexp_matches(fails, '[' || CASE WHEN before = '' THEN '-' ELSE before END || ']') AS there FROM c, s
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(sum(n) FILTER (there AND NOT bad), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (there AND bad), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (bad AND NOT there), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (fails = f), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (there AND bad), 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(sum(toxic) FILTER (there AND bad), 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(n * (120 // length(fails))) FILTER (bad), 0) AS BIGINT) AS shapley
+FROM x GROUP BY part, filter_order, step
+"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = filter_audit.failed_filters(load(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return filter_audit.audit_orders(filter_audit.mask_counts(failed, load(spark, sf_dir, "labels")))
+
+
+@query("op13_token_files")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "token-files")
+    token_files.write_token_files(load(spark, sf_dir, "documents").select("doc_id", "text"), folder, tokenizer_file())
+    return token_files.read_token_files(spark, folder, with_ids=False)
