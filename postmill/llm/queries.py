@@ -236,7 +236,7 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(sum(n) F
   CAST(coalesce(sum(n) FILTER (there AND bad), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (bad AND NOT there), 0) AS BIGINT) AS redundant,
   CAST(coalesce(sum(n) FILTER (fails = f), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (there AND bad), 0) AS BIGINT) AS good_lost,
   CAST(coalesce(sum(toxic) FILTER (there AND bad), 0) AS BIGINT) AS toxic_lost,
-  CAST(coalesce(sum(n * (120 // length(fails))) FILTER (bad), 0) AS BIGINT) AS shapley
+  CAST(coalesce(sum(n * (120 // greatest(length(fails), 1))) FILTER (bad), 0) AS BIGINT) AS shapley
 FROM x GROUP BY part, filter_order, step
 """
 
