@@ -276,13 +276,15 @@ new AS (SELECT platform, {s.url_key('url')} AS url, listing_id, title || ' v2' A
 new_table AS (SELECT platform, url, arg_max(title, listing_id) AS title, max(posted_s) AS posted_s FROM new GROUP BY platform, url)"""
 
 
-@query("listing_upsert", s.with_(s.LISTINGS, _VERSIONS) + f"""
+UPSERT_SQL = s.with_(s.LISTINGS, _VERSIONS) + f"""
 SELECT coalesce(o.platform, n.platform) AS platform, coalesce(o.url, n.url) AS url, coalesce(n.title, o.title) AS title, coalesce(n.posted_s, o.posted_s) AS posted_s,
   coalesce(o.first_seen_s, {NOW}) AS first_seen_s, CASE WHEN n.url IS NOT NULL THEN {NOW} ELSE o.last_seen END AS last_seen_s,
   CASE WHEN n.url IS NOT NULL THEN 0 ELSE 2 END AS error_count
 FROM old_table o FULL JOIN new_table n ON o.platform = n.platform AND o.url = n.url
-""")
-def listing_upsert(t):
+"""
+
+
+def old_and_new_listings(t):
     base = t.base_listings.withColumn("url", tx.url_key(c("url")))
     i = c("listing_id")
     at_id = F.max_by("title", "listing_id").alias("title")
@@ -296,7 +298,12 @@ def listing_upsert(t):
         "*", F.lit(0).alias("error_count"), F.lit("new").alias("content_hash"), F.lit(None).cast("string").alias("source_query"),
         now().alias("first_seen_at"), now().alias("last_seen_at"), now().alias("last_checked_at"),
     )
-    merged = ls.upsert_listings(old, new)
+    return old, new
+
+
+@query("listing_upsert", UPSERT_SQL)
+def listing_upsert(t):
+    merged = ls.upsert_listings(*old_and_new_listings(t))
     return merged.select(
         "platform", "url", "title", F.unix_seconds("posted_at").alias("posted_s"), F.unix_seconds("first_seen_at").alias("first_seen_s"),
         F.unix_seconds("last_seen_at").alias("last_seen_s"), "error_count",

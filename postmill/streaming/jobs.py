@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from postmill import lexicon as lx
 from postmill.functions import text as tx
-from postmill.operators import health as hl
 from postmill.session import ensure_checkpoint_dir
+from postmill.sources.versions import BucketTable, Merge
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -22,35 +21,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-# --- versioned tables for foreachBatch -------------------------------------------------------
+# --- tables behind foreachBatch ---------------------------------------------------------------
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
-def version_path(root: str, batch_id: int) -> str:
-    return f"{root}/version={batch_id}"
-
-
-def read_version(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
-    """Newest complete version before or at `batch_id`."""
-    for version in range(batch_id, -1, -1):
-        if _exists(spark, f"{version_path(root, version)}/_SUCCESS"):
-            return spark.read.parquet(version_path(root, version))
-    return None
-
-
-def upsert_batch(root: str, merge):
-    """foreachBatch function that writes version N from version N-1 and the batch.
-
-    A batch that is run again overwrites its own version only, so retries change nothing.
-    """
+def into_table(table: BucketTable, merge: Merge):
+    """foreachBatch function: batch N is change N of the table, so a batch that is run again changes nothing."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        before = read_version(batch.sparkSession, root, batch_id - 1) if batch_id else None
-        merge(before, batch).write.mode("overwrite").parquet(version_path(root, batch_id))
+        table.change(batch_id, batch, merge)
 
     return run
 
@@ -67,65 +44,24 @@ def fresh_listings(stream: DataFrame, horizon: str = "7 days", key: Column | Non
     )
 
 
-def newest_rows(keys: list[str], at: str = "ts", tie: str = "event_id"):
-    """Merge for `upsert_batch`: newest row per key by (at, tie), first sighting kept."""
-    def merge(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+def newest_rows(keys: list[str], at: str = "ts", tie: str = "event_id", counted: str | None = None) -> Merge:
+    """Newest row per key by (at, tie); first sighting kept as `first_seen`; column `counted` adds up sightings."""
+    def merge(before: DataFrame, batch: DataFrame) -> DataFrame:
         rows = batch.withColumn("first_seen", F.col(at))
-        every = rows if before is None else before.unionByName(rows)
-        others = [c for c in rows.columns if c not in [*keys, "first_seen"]]
+        if counted:
+            rows = rows.withColumn(counted, F.lit(1).cast("long"))
+        every = before.unionByName(rows)
+        folded = ["first_seen", counted] if counted else ["first_seen"]
+        others = [c for c in rows.columns if c not in [*keys, *folded]]
+        total = [F.sum(counted).alias(counted)] if counted else []
         merged = every.groupBy(*keys).agg(
-            F.max_by(F.struct(*others), F.struct(at, tie)).alias("_row"), F.min("first_seen").alias("first_seen")
+            F.max_by(F.struct(*others), F.struct(at, tie)).alias("_row"), F.min("first_seen").alias("first_seen"), *total
         )
-        return merged.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others], "first_seen")
+        return merged.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others], *folded)
 
     return merge
 
 
-# --- K2 source health -------------------------------------------------------------------------
-
-def _later(x: Column, mark: Column) -> Column:
-    return mark.isNull() | (x > mark)
-
-
-def merge_health(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Fold one micro-batch into the state per source, whatever order runs arrive in.
-
-    Places in time are (ts, event_id). Besides counters the state keeps the newest run's values and the places
-    of the failures since the last success, so a success that arrives late still takes back those before
-    it. The batch is reduced per source first (map-side), so a dominant source costs one small row.
-    """
-    c = F.col
-    ok, at = c("parsed") > 0, F.struct(*hl.ORDER)
-    new = batch.groupBy("source").agg(
-        F.count("*").alias("total_runs"), F.count_if(~ok).alias("empty_runs"), F.max(F.when(ok, at)).alias("last_ok"), F.max(at).alias("last_at"),
-        F.max_by(
-            F.struct("status", "parsed", "discovered", F.lower(F.coalesce("message", F.lit(""))).rlike(hl.BLOCK_MESSAGE).alias("blocked")), at
-        ).alias("last"),
-        F.bool_or(~ok & (c("discovered") == 0) & (c("searched") > 0)).alias("requires_javascript"),
-        F.collect_list(F.when(~ok, at)).alias("failed"),
-    )
-    names = ["total_runs", "empty_runs", "last_ok", "last_at", "last", "requires_javascript", "failed"]
-    if before is None:
-        joined = new
-    else:
-        o, n = (lambda x: c(f"o.{x}")), (lambda x: c(f"n.{x}"))
-        none = F.array().cast(new.schema["failed"].dataType)
-        old = before.select("source", *names).alias("o")
-        joined = old.join(new.alias("n"), "source", "full_outer").select(
-            "source", *[(F.coalesce(o(x), F.lit(0)) + F.coalesce(n(x), F.lit(0))).alias(x) for x in names[:2]],
-            F.greatest(o("last_ok"), n("last_ok")).alias("last_ok"), F.greatest(o("last_at"), n("last_at")).alias("last_at"),
-            F.when(n("last_at").isNotNull() & _later(n("last_at"), o("last_at")), n("last")).otherwise(o("last")).alias("last"),
-            (F.coalesce(o("requires_javascript"), F.lit(False)) | F.coalesce(n("requires_javascript"), F.lit(False))).alias("requires_javascript"),
-            F.concat(F.coalesce(o("failed"), none), F.coalesce(n("failed"), none)).alias("failed"),
-        )
-    failed = F.filter("failed", lambda x: _later(x, c("last_ok")))
-    return joined.withColumn("failed", failed).select(
-        "source", *names, F.size("failed").cast("long").alias("failures"), c("last_ok.ts").alias("last_success_at"),
-        c("last_at.ts").alias("last_checked_at"), c("last.status").alias("last_status"), c("last.parsed").alias("last_parsed_count"),
-        c("last.discovered").alias("last_discovered_count"), c("last.blocked").alias("blocked"),
-    )
-
-
 # --- K3, K6 windows ---------------------------------------------------------------------------
 
 
@@ -150,66 +86,75 @@ def crawl_bursts(stream: DataFrame, key: str, gap: str = "30 minutes", late: str
 
 
 def expired_listings(stream: DataFrame, days: int = lx.EXPIRE_AFTER_DAYS, late: str = "1 hour") -> DataFrame:
-    """(listing_id, last_seen) once a listing was not seen for `days` of event time.
+    """(listing_id, last_seen) whenever a listing was not seen for `days` of event time.
 
-    State is one timestamp per listing and ends with the expiry.
+    A listing's sightings with no pause of `days` are one session, which ends `days` after the last of them: its
+    expiry. A listing that comes back expires again later. The result doesn't depend on how rows fall into batches.
+    Sessions are merged within each input partition first, so a listing with very many sightings sends a few rows.
     """
-    wait_ms = days * 86_400_000
-
-    def track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (seen,) = state.get
-            state.remove()
-            yield pd.DataFrame({"listing_id": [key[0]], "last_seen": [pd.Timestamp(seen, unit="ms")]})
-            return
-        seen = state.get[0] if state.exists else 0
-        for batch in batches:
-            seen = max(seen, batch["ts"].max().value // 1_000_000)
-        state.update((seen,))
-        # a timer must lie after the watermark; an overdue listing expires at the next trigger
-        state.setTimeoutTimestamp(max(seen + wait_ms, state.getCurrentWatermarkMs() + 1))
-
-    return stream.withWatermark("ts", late).groupBy("listing_id").applyInPandasWithState(
-        track, "listing_id long, last_seen timestamp", "seen long", "append", GroupStateTimeout.EventTimeTimeout
+    return (
+        stream.withWatermark("ts", late).groupBy(F.session_window("ts", f"{days} days"), "listing_id").agg(F.max("ts").alias("last_seen"))
+        .select("listing_id", "last_seen")
     )
 
 
 # --- K5 reuse ---------------------------------------------------------------------------------
 
 
-def reuse_candidates(pending: DataFrame, completed: DataFrame, ttl: str = "6 hours", late: str = "1 hour") -> DataFrame:
-    """Interval join of new searches with completed originals of the same fingerprint and user."""
-    left = pending.withWatermark("ts", late).alias("p")
-    right = completed.select(
-        F.col("search_id").alias("source_id"), "fingerprint", F.col("user_id").alias("source_user"),
-        F.col("ts").alias("completed_at"),
-    ).withWatermark("completed_at", late).alias("c")
-    return left.join(
-        right,
-        F.expr(
-            "p.fingerprint = c.fingerprint AND p.user_id <=> c.source_user AND c.completed_at < p.ts "
-            f"AND c.completed_at > p.ts - INTERVAL {ttl}"
-        ),
-    ).select("search_id", "source_id", "p.ts", "completed_at")
+def reused_searches(searches: DataFrame, ttl: str = "6 hours", late: str = "1 hour") -> DataFrame:
+    """(search_id, ts, reused_id, completed_at): for each search with one, the newest original whose result it may take.
+
+    Searches as in `operators.reuse.reusable_results`: an original is completed, no copy, has results, the same fingerprint
+    and user (unknown users match each other) and lies before the search, by less than `ttl`. Ties in time go by id.
+    Pairs meet in an interval join and shrink to the newest per search; a search is given out once the watermark
+    shows that nothing newer can come, so it never changes. State lasts for `ttl` and `late`.
+    """
+    c = F.col
+    marked = searches.withWatermark("ts", late).withColumn("_user", F.coalesce(c("user_id").cast("string"), F.lit("-")))
+    asked = marked.select("search_id", "fingerprint", "_user", "ts").alias("p")
+    usable = marked.filter(c("completed") & ~c("is_copy") & (c("result_count") > 0))
+    done = usable.select(c("search_id").alias("original"), c("fingerprint").alias("same"), c("_user").alias("owner"), c("ts").alias("completed_at"))
+    pairs = asked.join(done.alias("c"), F.expr(
+        f"p.fingerprint = c.same AND p._user = c.owner AND c.completed_at <= p.ts AND c.completed_at > p.ts - INTERVAL {ttl} "
+        "AND (c.completed_at < p.ts OR c.original < p.search_id)"
+    ))
+    newest = F.max(F.struct("completed_at", "original")).alias("_newest")
+    return pairs.groupBy("search_id", "ts").agg(newest).select("search_id", "ts", c("_newest.original").alias("reused_id"), c("_newest.completed_at"))
 
 
 # --- running ----------------------------------------------------------------------------------
 
+#: Settings a query takes when it starts: state on disk of the executors, sessions merged before the shuffle.
+QUERY_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+}
+
+
+@contextmanager
+def query_settings(spark: SparkSession) -> Iterator[None]:
+    """QUERY_SETTINGS for the queries started within; the session has its own again afterwards."""
+    before = {k: spark.conf.get(k, None) for k in QUERY_SETTINGS}
+    for k, v in QUERY_SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
 def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> None:
     """Process everything available into a parquet table."""
-    query = (
-        stream.writeStream.outputMode(mode).format("parquet").option("path", path)
-        .option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    with query_settings(stream.sparkSession):
+        stream.writeStream.outputMode(mode).format("parquet").option("path", path).option(
+            "checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
 
 
-def run_batches(stream: DataFrame, path: str, batch_function) -> int:
+def run_batches(stream: DataFrame, path: str, batch_function, mode: str = "append") -> int:
     """Process everything available through foreachBatch; returns the last batch id."""
-    query = (
-        stream.writeStream.foreachBatch(batch_function).option("checkpointLocation", f"{path}-state")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    with query_settings(stream.sparkSession):
+        query = stream.writeStream.outputMode(mode).foreachBatch(batch_function).option(
+            "checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+        query.awaitTermination()
     return query.lastProgress["batchId"] if query.lastProgress else 0

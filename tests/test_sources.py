@@ -66,16 +66,16 @@ def test_feeds(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps([{"legal": "notice"}] + [
         {"id": str(i), "position": "Dev", "company": "C", "tags": ["data"], "url": f"https://r/{i:02d}", "description": "d", "date": "2024-01-01"} for i in range(15)]))
     (tmp_path / "f.xml").write_text(
-        "<rss><channel><item><title>Acme: Data Analyst</title><link>https://f/1</link><description><![CDATA[<b>x</b>]]></description>"
+        "<rss>\n<channel>\n<item>\n<title>Acme: Data Analyst</title><link>https://f/1</link><description><![CDATA[<b>x</b>]]></description>"
         "<pubDate>Mon, 01 Jan 2024 10:00:00 +0000</pubDate></item><item><title>Data only</title><link>https://f/2</link></item></channel></rss>")
+    (tmp_path / "broken.json").write_text("{not json")
+    (tmp_path / "stray.json").write_text("[]")
     feeds = [
-        {"source": "Greenhouse: Acme", "path": str(tmp_path / "g.json"), "access_method": "json-api", "platform_type": "greenhouse"},
-        {"source": "Lever: Beta", "path": str(tmp_path / "l.json"), "access_method": "json-api", "platform_type": "lever"},
-        {"source": "Remote", "path": str(tmp_path / "r.json"), "access_method": "json-api", "platform_type": "remoteok-api", "country": "US"},
-        {"source": "Feed", "path": str(tmp_path / "f.xml"), "access_method": "rss"},
-        {"source": "Odd", "path": "-", "access_method": "json-api", "platform_type": "unknown"},
+        ("Greenhouse: Acme", "g", "json-api", "greenhouse", None), ("Lever: Beta", "l", "json-api", "lever", "TR"), ("Remote", "r", "json-api", "remoteok-api", "US"),
+        ("Feed", "f", "rss", None, None), ("Odd", "stray", "json-api", "unknown", None), ("Broken", "broken", "json-api", "lever", None), ("Gone", "nowhere", "rss", None, None),
     ]
-    rows = fd.read_feeds(spark, feeds, ["data"]).collect()
+    registry = spark.createDataFrame(feeds, "source string, feed string, access_method string, platform_type string, country string")
+    rows = fd.read_feeds(spark, str(tmp_path), registry, ["data"]).collect()
     by = {}
     for r in rows:
         by.setdefault(r["platform"], []).append(r)
@@ -117,3 +117,31 @@ def test_links(spark):
     pages = spark.createDataFrame([("https://x.co/ara?q=1", html)], "url string, html string")
     got = sorted(r["link"] for r in pg.page_links(pages).collect())
     assert got == ["https://x.co/ilan/asci-garson-kurye", "https://x.co/ilan/sef-araniyor-55555"]
+
+
+def test_feeds_keep_order_texts_and_odd_values(spark, tmp_path):
+    (tmp_path / "Übung & Co.json").write_text(json.dumps([{"position": f"Role {k}", "url": f"https://r/{99 - k}", "description": "x" * 5000, "id": k, "tags": "no list"} for k in range(20)], indent=1))
+    (tmp_path / "lever.json").write_text(json.dumps([
+        {"text": "A", "hostedUrl": "https://l/a", "createdAt": "1704067200000", "description": "second", "descriptionPlain": None}, {"text": None, "hostedUrl": "https://l/b"}, 7,
+        {"text": "C", "hostedUrl": "https://l/c", "categories": None, "createdAt": 1704067200000.0}]))
+    (tmp_path / "empty.xml").write_text("")
+    feeds = [("R", "Übung & Co", "json-api", "remoteok-api", "US"), ("LEVER:  Beta ", "lever", "json-api", "lever", None), ("E", "empty", "rss", None, None)]
+    registry = spark.createDataFrame(feeds, "source string, feed string, access_method string, platform_type string, country string")
+    rows = fd.read_feeds(spark, str(tmp_path), registry, []).collect()
+    foreign = [r for r in rows if r.platform == "R"]
+    assert sorted(int(r.external_id) for r in foreign) == list(range(12)) and {len(r.description) for r in foreign} == {5000}
+    lever = {r.url: r for r in rows if r.platform != "R"}
+    assert set(lever) == {"https://l/a", "https://l/c"} and lever["https://l/a"].company == "Beta" and lever["https://l/a"].description == "second"
+    assert lever["https://l/a"].posted_at is None and lever["https://l/c"].posted_at.year == 2024 and lever["https://l/c"].description == "C"
+    assert len([r for r in fd.read_feeds(spark, str(tmp_path), registry, [], None).collect() if r.platform == "R"]) == 20
+
+
+def test_ten_thousand_feeds_are_one_scan(spark, tmp_path):
+    for k in range(10_000):
+        (tmp_path / f"board{k}.json").write_text(f'{{"jobs": [{{"id": {k}, "title": "Job {k}", "absolute_url": "https://g/{k}"}}]}}')
+    registry = spark.range(10_000).select(
+        F.concat(F.lit("Greenhouse: "), "id").alias("source"), F.concat(F.lit("board"), "id").alias("feed"), F.lit("json-api").alias("access_method"),
+        F.lit("greenhouse").alias("platform_type"), F.lit(None).cast("string").alias("country"))
+    found = fd.read_feeds(spark, str(tmp_path), registry, [], None)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
+    assert found.select("external_id", "company").distinct().filter("external_id = company").count() == 10_000

@@ -1,9 +1,13 @@
 import uuid
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from postmill.operators import health as hl
+from postmill.operators import reuse as ru
+from postmill.sources.versions import BucketTable, replacing
+from postmill.streaming import health as sh
 from postmill.streaming import jobs as st
 
 c = F.col
@@ -34,62 +38,83 @@ def runs(df):
     )
 
 
-def test_health_stream_equals_batch(spark, log, tmp_path):
+NAMES = ["source", "total_runs", "empty_runs", "failures", "last_success_at", "last_checked_at", "last_status", "last_parsed_count", "last_discovered_count", "blocked",
+         "requires_javascript"]
+
+
+def fold_health(spark, runs_stream, path, late):
+    table = BucketTable(spark, path, ("source",), sh.health_schema(runs_stream), buckets=4)
+    last = st.run_batches(sh.source_states(runs_stream, late), path, st.into_table(table, replacing(["source"])), "update")
+    return last, table
+
+
+def same_health(table, everything):
+    want = hl.source_health(everything).withColumnRenamed("consecutive_failures", "failures").select(*NAMES).collect()
+    assert sorted(map(str, table.read().select(*NAMES).collect())) == sorted(map(str, want))
+
+
+def test_health_stream_equals_batch_and_settles_old_failures(spark, log, tmp_path):
+    """Files in time order, a watermark of minutes: failures before it are counts only."""
     path = str(tmp_path / uuid.uuid4().hex)
-    last = st.run_batches(runs(stream(spark, log)), path, st.upsert_batch(path, st.merge_health))
+    doomed = lambda df: df.withColumn("event_type", F.when(c("user_id") % 3 == 0, "error").otherwise(c("event_type")))
+    last, table = fold_health(spark, runs(doomed(stream(spark, log))), path, "10 minutes")
     assert last >= 5
-    got = st.read_version(spark, path, last).select("source", "total_runs", "empty_runs", "failures", "blocked").collect()
-    want = hl.source_health(runs(log[0])).select("source", "total_runs", "empty_runs", "consecutive_failures", "blocked").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    same_health(table, runs(doomed(log[0])))
+    state = spark.read.format("statestore").option("path", f"{path}-state")
+    with st.query_settings(spark):
+        kept = state.option("stateVarName", "failed").load().count()
+        settled = state.option("stateVarName", "counters").load().select("value.settled").agg(F.sum("settled")).first()[0]
+    failures = table.read().agg(F.sum("failures")).first()[0]
+    assert kept + settled == failures and kept < failures / 4
 
 
 def test_health_in_any_batch_order(spark, log, tmp_path):
-    """Batches dealt by hash, so runs arrive far out of order; then a late success and a late block."""
-    everything = runs(log[0]).filter("event_id % 3 > 0")
-    path = str(tmp_path / uuid.uuid4().hex)
-    write = st.upsert_batch(path, st.merge_health)
+    """Files dealt by hash, so runs arrive far out of order."""
+    everything, folder = runs(log[0]).filter("event_id % 3 > 0"), str(tmp_path / "in")
     for number in range(5):
-        write(everything.filter(F.pmod(F.xxhash64("event_id"), F.lit(5)) == number), number)
-    names = ["source", "total_runs", "empty_runs", "failures", "last_success_at", "last_status", "blocked", "requires_javascript"]
-    got = st.read_version(spark, path, 4).select(*names).collect()
-    want = hl.source_health(everything).withColumnRenamed("consecutive_failures", "failures").select(*names).collect()
-    assert sorted(map(str, got)) == sorted(map(str, want))
+        everything.filter(F.pmod(F.xxhash64("event_id"), F.lit(5)) == number).coalesce(1).write.mode("append").parquet(folder)
+    shuffled = spark.readStream.schema(everything.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    last, table = fold_health(spark, shuffled, str(tmp_path / "out"), "400 days")
+    assert last >= 4
+    same_health(table, everything)
 
 
 def test_health_takes_late_runs(spark, tmp_path):
-    def batch(*rows):
-        made = [(1, f"2024-01-01 {h:02d}:00:00", k, "x", parsed, 4, 1, message) for h, k, parsed, message in rows]
+    def rows(*given):
+        made = [(1, f"2024-01-01 {h:02d}:00:00", k, "x", parsed, 4, 1, message) for h, k, parsed, message in given]
         names = "source int, ts string, event_id long, status string, parsed int, discovered int, searched int, message string"
         return spark.createDataFrame(made, names).withColumn("ts", c("ts").cast("timestamp"))
 
-    parts = [batch((8, 1, 3, None), (9, 2, 0, "HTTP 403"), (10, 3, 0, "HTTP 403")), batch((7, 4, 3, None)), batch((9, 5, 5, None))]
-    path = str(tmp_path / "late")
-    write = st.upsert_batch(path, st.merge_health)
-    seen = []
-    for number, part in enumerate(parts):
-        write(part, number)
-        row = st.read_version(spark, path, number).first()
+    parts = [rows((8, 1, 3, None), (9, 2, 0, "HTTP 403"), (10, 3, 0, "HTTP 403")), rows((7, 4, 3, None)), rows((9, 5, 5, None)), rows((10, 6, 0, None), (10, 2, 1, None))]
+    folder, seen = str(tmp_path / "in"), []
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(folder)
+        arriving = spark.readStream.schema(part.schema).parquet(folder)
+        _, table = fold_health(spark, arriving, str(tmp_path / "late"), "1 day")
+        row = table.read().first()
         seen.append((row.failures, row.blocked, row.last_success_at.hour))
-    assert seen == [(2, True, 8), (2, True, 8), (1, True, 9)]
+    assert seen == [(2, True, 8), (2, True, 8), (1, True, 9), (2, False, 10)]
 
 
-def test_repeated_batch_changes_nothing(spark, log, tmp_path):
-    path = str(tmp_path / uuid.uuid4().hex)
-    write = st.upsert_batch(path, st.merge_health)
-    batch = runs(log[0])
+def test_repeated_batch_changes_nothing(spark, tmp_path):
+    table = BucketTable(spark, str(tmp_path / "t"), ("k",), "k long, ts timestamp, event_id long, first_seen timestamp, seen long", buckets=4)
+    batch = spark.range(20).select((c("id") % 5).alias("k"), F.timestamp_seconds("id").alias("ts"), c("id").alias("event_id"))
+    write = st.into_table(table, st.newest_rows(["k"], counted="seen"))
     for number in (0, 1, 1, 1):
         write(batch, number)
-    once = st.read_version(spark, path, 1).agg(F.sum("total_runs")).collect()[0][0]
-    assert once == 2 * batch.count()
+    assert sorted((r.k, r.seen, r.event_id, r.first_seen.second) for r in table.read().collect()) == [(k, 8, 15 + k, k) for k in range(5)]
 
 
 def test_ingest_keeps_first_and_newest(spark, log, tmp_path):
     path = str(tmp_path / uuid.uuid4().hex)
-    fresh = st.fresh_listings(stream(spark, log), "40 days", c("event_id").cast("string")).drop("url_key")
-    last = st.run_batches(fresh, path, st.upsert_batch(path, st.newest_rows(["user_id"])))
-    got = {r["user_id"]: (r["first_seen"], r["ts"]) for r in st.read_version(spark, path, last).collect()}
-    want = {r["user_id"]: (r["a"], r["b"]) for r in log[0].groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).collect()}
-    assert got == want
+    twice = stream(spark, log).withColumn("board", F.explode(F.array(F.lit("a"), F.lit("b")))).drop("props")
+    fresh = st.fresh_listings(twice, "40 days", c("event_id").cast("string")).drop("url_key", "board")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fresh.schema) + ", first_seen timestamp, sightings long"
+    table = BucketTable(spark, path, ("user_id",), schema, buckets=4)
+    st.run_batches(fresh, path, st.into_table(table, st.newest_rows(["user_id"], counted="sightings")))
+    got = {r["user_id"]: (r["first_seen"], r["ts"], r["sightings"]) for r in table.read().collect()}
+    want = log[0].groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
+    assert got == {r["user_id"]: (r["a"], r["b"], r["n"]) for r in want.collect()}
 
 
 def test_ingest_drops_repeated_keys_within_the_horizon(spark, tmp_path):
@@ -114,9 +139,45 @@ def test_windows_equal_batch_below_the_watermark(spark, log, tmp_path):
 
 
 def test_expiry_over_batches(spark, log, tmp_path):
+    """Each pause of three days is an expiry, however the rows fall into batches; no Python runs."""
     path = str(tmp_path / "e")
-    st.run_to_table(st.expired_listings(stream(spark, log).select(c("user_id").alias("listing_id"), "ts"), days=3), path)
-    mark = log[0].agg((F.unix_millis(F.max("ts")) - 3_600_000).alias("m")).collect()[0]["m"]
-    last = {r["user_id"]: r["t"] for r in log[0].groupBy("user_id").agg(F.unix_millis(F.max("ts")).alias("t")).collect()}
-    expired = {r["listing_id"] for r in spark.read.parquet(path).collect()}
-    assert {k for k, t in last.items() if t + 3 * 86_400_000 < mark} <= expired
+    gone = st.expired_listings(stream(spark, log).select(c("user_id").alias("listing_id"), "ts"), days=3)
+    st.run_to_table(gone, path)
+    got = {(r["listing_id"], r["last_seen"]) for r in spark.read.parquet(path).collect()}
+    times = {}
+    for r in log[0].select("user_id", "ts").orderBy("ts").collect():
+        times.setdefault(r.user_id, []).append(r.ts)
+    mark, wait = max(t for own in times.values() for t in own) - timedelta(hours=1), timedelta(days=3)
+    want = {(k, a) for k, own in times.items() for a, b in zip(own, [*own[1:], datetime.max]) if b - a > wait and a + wait <= mark}
+    assert got == want and want
+
+
+def test_expiry_merges_sessions_before_the_shuffle(spark, tmp_path):
+    """One listing with very many sightings costs the shuffle a few rows."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(0, 200_000, 1, 4).select(F.lit(1).cast("long").alias("listing_id"), F.timestamp_seconds(c("id") * 60).alias("ts")).write.parquet(folder)
+    gone = st.expired_listings(spark.readStream.schema("listing_id long, ts timestamp").parquet(folder), days=30)
+    with st.query_settings(spark):
+        query = gone.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    plan = query._jsq.explainInternal(True) if hasattr(query._jsq, "explainInternal") else ""
+    assert "Python" not in plan and "Pandas" not in plan
+    assert sum(p["numInputRows"] for p in query.recentProgress) == 200_000
+    assert max(o["numRowsUpdated"] for p in query.recentProgress for o in p["stateOperators"]) <= 4
+
+
+def test_reused_searches_equal_the_batch_job(spark, log, tmp_path):
+    """Over six batches: the newest original of the same fingerprint and user, own and copied results left out."""
+    def searches(df):
+        i = c("user_id")
+        return df.select(
+            c("event_id").alias("search_id"), (i % 4).cast("string").alias("fingerprint"), F.when(i % 7 > 0, i % 2).alias("user_id"), "ts",
+            (c("event_type") != "error").alias("completed"), (c("event_type") == "view").alias("is_copy"), (F.floor("value").cast("int") % 4).alias("result_count"),
+        )
+
+    path = str(tmp_path / "r")
+    st.run_to_table(st.reused_searches(searches(stream(spark, log))), path)
+    mark = log[0].agg(F.max("ts") - F.expr("INTERVAL 7 HOURS")).first()[0]
+    got = {r.search_id: r.reused_id for r in spark.read.parquet(path).filter(c("ts") <= F.lit(mark)).collect()}
+    batch = ru.reusable_results(searches(log[0])).filter(c("reused_id").isNotNull() & (c("ts") <= F.lit(mark)))
+    assert got == {r.search_id: r.reused_id for r in batch.collect()} and len(got) > 100
