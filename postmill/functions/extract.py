@@ -185,6 +185,9 @@ def role_requirements(
             x["seniority"].alias("seniority"),
             x["split"]["required"].alias("required_skills"),
             x["split"]["preferred"].alias("preferred_skills"),
+            # what terms are sought in, once per listing and not per pair
+            tx.normalize(F.array_join(x["split"]["required"], " ")).alias("required_text"),
+            tx.normalize(F.array_join(x["split"]["preferred"], " ")).alias("preferred_text"),
             F.when(F.coalesce(location, F.lit("")) != "", F.array(location)).otherwise(none).alias("locations"),
             F.coalesce(work_mode, F.lit("any")).alias("work_mode"),
             (
@@ -275,14 +278,14 @@ def _labels(terms: Sequence[str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in canonical.items() for x in pair])
 
 
-def known_skills(c: Column, dictionary: Sequence[str] = lx.DEFAULT_SKILLS) -> Column:
+def known_skills(c: Column, dictionary: Sequence[str] = lx.SAMPLE_SKILLS) -> Column:
     """Dictionary terms found reading left to right, longest term first, each once."""
     terms = [t for t in dictionary if len(_fold_py(t)) >= 2]
     found = F.regexp_extract_all(tx.fold(c), F.lit(f"({longest_first_pattern(terms)})"), F.lit(1))
     return F.transform(F.array_distinct(found), lambda key: F.element_at(_labels(terms), key))
 
 
-def counted_skills(c: Column, dictionary: Sequence[str] = lx.DEFAULT_SKILLS) -> Column:
+def counted_skills(c: Column, dictionary: Sequence[str] = lx.SAMPLE_SKILLS) -> Column:
     """Normalised skills that also stand in the text as whole words (phrases: as written)."""
     def verify(text: Column) -> Column:
         return tx.let(
@@ -298,7 +301,7 @@ def counted_skills(c: Column, dictionary: Sequence[str] = lx.DEFAULT_SKILLS) ->
     return tx.let(tx.normalize(c), verify)
 
 
-def split_skill_segment(c: Column, dictionary: Sequence[str] = lx.DEFAULT_SKILLS) -> Column:
+def split_skill_segment(c: Column, dictionary: Sequence[str] = lx.SAMPLE_SKILLS) -> Column:
     """Split a run-on block ("ReactHTMLCSS") into its skills; other segments stay whole."""
     terms = [t for t in dictionary if len(_fold_py(t)) >= 2]
     pattern = longest_first_pattern(terms, raw=True)
@@ -350,7 +353,7 @@ def drop_subsumed(terms: Column) -> Column:
     )
 
 
-def boundary_terms(c: Column, dictionary: Sequence[str] = lx.DEFAULT_SKILLS) -> Column:
+def boundary_terms(c: Column, dictionary: Sequence[str] = lx.SAMPLE_SKILLS) -> Column:
     """Dictionary terms standing alone in the text; overlapping places count, contained terms do not."""
     edge = "[a-z0-9+#.]"
     body = longest_first_pattern(dictionary)
@@ -360,7 +363,7 @@ def boundary_terms(c: Column, dictionary: Sequence[str] = lx.DEFAULT_SKILLS) ->
 
 def listing_terms(
     title: Column, description: Column, requirements: Column, criteria: Column,
-    dictionary: Sequence[str] = lx.DEFAULT_SKILLS, max_skills: int | None = None, max_requirements: int | None = None,
+    dictionary: Sequence[str] = lx.SAMPLE_SKILLS, max_skills: int | None = None, max_requirements: int | None = None,
 ) -> Column:
     """struct(skills, requirements), all of them unless a limit is given"""
     lines = F.concat(requirements, criteria)

@@ -217,7 +217,7 @@ def cleanup_set(listings: DataFrame) -> DataFrame:
 
 
 def cleanup_counts(doomed: DataFrame) -> DataFrame:
-    return doomed.groupBy("reason", F.substring("title", 1, 55).alias("title")).agg(F.count("*").alias("n"))
+    return doomed.groupBy("reason", "title").agg(F.count("*").alias("n"))
 
 
 def without_menu_companies(listings: DataFrame) -> DataFrame:

@@ -234,9 +234,9 @@ def coverage(haystack: Column, terms: Column, whole_words: bool = False) -> Colu
 def technical_components(role: Column, who: Column, listing_keywords: Column) -> Column:
     """Four components, 40 points; a part the listing does not state earns 70 %."""
     required, preferred = role["required_skills"], role["preferred_skills"]
+    stated = F.trim(F.concat_ws(" ", role["required_text"], role["preferred_text"]))
 
-    def part(key: str, maximum: int, lines: Column, terms: Column) -> Column:
-        hay = tx.normalize(F.array_join(lines, " "))
+    def part(key: str, maximum: int, lines: Column, hay: Column, terms: Column) -> Column:
         return tx.let(
             tx.let(hay, lambda h: coverage(h, terms)),
             lambda ratio: F.struct(
@@ -249,10 +249,10 @@ def technical_components(role: Column, who: Column, listing_keywords: Column) ->
         )
 
     return F.array(
-        part("required-skills", 15, required, who["skills"]),
-        part("preferred-skills", 10, preferred, who["skills"]),
-        part("experience-relation", 10, F.concat(required, preferred), who["keywords"]),
-        part("listing-keywords", 5, listing_keywords, who["skills"]),
+        part("required-skills", 15, required, role["required_text"], who["skills"]),
+        part("preferred-skills", 10, preferred, role["preferred_text"], who["skills"]),
+        part("experience-relation", 10, F.concat(required, preferred), stated, who["keywords"]),
+        part("listing-keywords", 5, listing_keywords, tx.normalize(F.array_join(listing_keywords, " ")), who["skills"]),
     )
 
 

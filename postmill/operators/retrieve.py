@@ -15,10 +15,23 @@ from postmill.functions import text as tx
 from postmill.session import cut
 
 
-def newest(df: DataFrame, key: str, limit: int) -> DataFrame:
-    """Newest rows per key; the rank filter also runs map-side, so hot keys never travel whole."""
-    by = Window.partitionBy(key).orderBy(F.desc("last_seen"), F.desc("listing_id"))
-    return df.withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= limit).drop("_rank")
+POSTING_SALTS = 16
+
+
+def newest(df: DataFrame, key: str, limit: int, salts: int = 1) -> DataFrame:
+    """Newest rows per key; the rank filter also runs map-side, so hot keys never travel whole.
+
+    With `salts` a key is first ranked in that many parts, so that the rows that very many tasks send of a
+    common key don't meet in one.
+    """
+    order = [F.desc("last_seen"), F.desc("listing_id")]
+
+    def top(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_rank") <= limit).drop("_rank")
+
+    if salts > 1:
+        df = top(df.withColumn("_salt", F.pmod(F.xxhash64("listing_id"), F.lit(salts))), key, "_salt").drop("_salt")
+    return top(df, key)
 
 
 def fulltext_tokens(c: Column) -> Column:
@@ -28,27 +41,44 @@ def fulltext_tokens(c: Column) -> Column:
     )
 
 
-def fulltext_query(target_role: Column, titles: Column, variations: Column, skills: Column, keywords: Column) -> Column:
+def fulltext_query(
+    target_role: Column, titles: Column, variations: Column, skills: Column, keywords: Column, max_titles: int | None = None,
+    max_variations: int | None = None, max_skills: int | None = None, max_keywords: int | None = None,
+) -> Column:
+    """What a profile is searched by: all its terms, unless a limit keeps the first of a kind."""
     terms = F.concat(
-        F.array(target_role), F.slice(titles, 1, 4), F.slice(variations, 1, 6), F.slice(skills, 1, 8),
-        F.slice(keywords, 1, 8),
+        F.array(target_role), tx.first(titles, max_titles), tx.first(variations, max_variations), tx.first(skills, max_skills),
+        tx.first(keywords, max_keywords),
     )
     usable = F.filter(F.transform(terms, lambda t: F.trim(t)), lambda t: F.length(t) >= 2)
     return F.array_join(tx.distinct_ignore_case(usable), " ")
 
 
-def like_terms(target_role: Column, titles: Column, variations: Column, skills: Column) -> Column:
-    terms = F.concat(F.array(target_role), F.slice(titles, 1, 3), F.slice(variations, 1, 3), F.slice(skills, 1, 6))
+def like_terms(
+    target_role: Column, titles: Column, variations: Column, skills: Column, max_titles: int | None = None,
+    max_variations: int | None = None, max_skills: int | None = None, limit: int | None = None,
+) -> Column:
+    """Terms a listing may hold as they are: all, unless limits are given."""
+    terms = F.concat(F.array(target_role), tx.first(titles, max_titles), tx.first(variations, max_variations), tx.first(skills, max_skills))
     usable = F.filter(F.transform(terms, lambda t: F.trim(t)), lambda t: F.length(t) >= 2)
-    return F.slice(F.filter(tx.distinct_ignore_case(usable), lambda t: F.length(t) >= 3), 1, 8)
+    return tx.first(F.filter(tx.distinct_ignore_case(usable), lambda t: F.length(t) >= 3), limit)
 
 
 def containing_texts(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Exact substring join: (term, listing_id) with `term` contained in the normalised `text`.
+    """Exact substring join: (term, listing_id) with `term` contained in the normalised `text`."""
+    candidates = candidate_texts(texts, terms)
+    verified = (
+        candidates.filter("n > 1").join(texts, "listing_id").filter(F.contains("text", "term")).select("term", "listing_id")
+    )
+    return candidates.filter("n = 1").select("term", "listing_id").unionByName(verified)
+
+
+def candidate_texts(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n, listing_id): every text that holds the term of `n` words, and for n > 1 a few that don't.
 
     No text meets a term it shares nothing with: words of a term are looked up in the vocabulary
     (through short character grams, because the first and last word may stand inside longer
-    words), the rarest word of each term leads to its texts, and only those are verified.
+    words), and the rarest word of each term leads to its texts.
     """
     tokens = texts.select("listing_id", F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
     vocabulary = tokens.groupBy("token").agg(F.count("*").alias("texts")).filter("token <> ''")
@@ -100,16 +130,12 @@ def containing_texts(texts: DataFrame, terms: DataFrame) -> DataFrame:
         .filter("matched = n")
         .select("term", "n", F.col("rarest.word").alias("word"), F.col("rarest.kind").alias("kind"))
     )
-    candidates = (
+    return (
         anchors.join(found.select("word", "kind", "token"), ["word", "kind"])
         .join(tokens, "token")
         .select("term", "n", "listing_id")
         .distinct()
     )
-    verified = (
-        candidates.filter("n > 1").join(texts, "listing_id").filter(F.contains("text", "term")).select("term", "listing_id")
-    )
-    return candidates.filter("n = 1").select("term", "listing_id").unionByName(verified)
 
 
 def retrieve(profiles: DataFrame, listings: DataFrame, limit: int = lx.RETRIEVAL_LIMIT, top_up: int = lx.TOP_UP_LIMIT) -> DataFrame:
@@ -123,11 +149,13 @@ def retrieve(profiles: DataFrame, listings: DataFrame, limit: int = lx.RETRIEVAL
     c = F.col
     active = listings.filter("status = 'active'")
     text = F.concat_ws(" ", "title", "company", "description")
-    postings = newest(
-        active.select("listing_id", "last_seen", F.explode(fulltext_tokens(text)).alias("token")), "token", limit
-    )
     query = fulltext_query(c("target_role"), c("titles"), c("query_variations"), c("skills"), c("keywords"))
     wanted = profiles.select("profile_id", F.explode(fulltext_tokens(query)).alias("token"))
+    # tokens that nobody asks for end right after the scan
+    asked = active.select("listing_id", "last_seen", F.explode(fulltext_tokens(text)).alias("token")).join(
+        wanted.select("token").distinct(), "token", "left_semi"
+    )
+    postings = newest(asked, "token", limit, salts=POSTING_SALTS)
     hits = wanted.join(postings, "token").select("profile_id", "listing_id", "last_seen").distinct()
     first = cut(newest(hits, "profile_id", limit).select("profile_id", "listing_id", F.lit(1).alias("tier"), "last_seen"))
 

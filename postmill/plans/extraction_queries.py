@@ -64,8 +64,8 @@ _BOUND = " || ".join(
 
 
 @query("listing_terms", s.with_(s.FULL_LISTINGS) + f"""
-SELECT listing_id, array_to_string(list_filter(f, lambda x: len(list_filter(f, lambda y: length(y) > length(x) AND contains(y, x))) = 0)[1:25], '|') AS skills,
-  array_to_string(list_filter({ordered_distinct('requirements')}, lambda x: length(x) BETWEEN 12 AND 160)[1:15], '|') AS requirements
+SELECT listing_id, array_to_string(list_filter(f, lambda x: len(list_filter(f, lambda y: length(y) > length(x) AND contains(y, x))) = 0), '|') AS skills,
+  array_to_string(list_filter({ordered_distinct('requirements')}, lambda x: length(x) BETWEEN 12 AND 160), '|') AS requirements
 FROM (SELECT listing_id, requirements, {_BOUND} AS f FROM (
   SELECT listing_id, requirements, {s.fold("title || chr(10) || array_to_string(requirements, chr(10)) || chr(10) || coalesce(description, '')")} AS t FROM listings))
 """)
@@ -91,7 +91,7 @@ evidence AS (SELECT profile_id, keywords AS terms, skills AS declared, {s.norm("
 
 
 @query("keyword_alignment", s.with_(s.PROFILES, _EVIDENCE) + f"""
-SELECT profile_id, term, CASE WHEN {_evidence_sql('term')} THEN 'covered' ELSE 'missing' END AS status FROM (SELECT *, unnest(terms[1:25]) AS term FROM evidence)
+SELECT profile_id, term, CASE WHEN {_evidence_sql('term')} THEN 'covered' ELSE 'missing' END AS status FROM (SELECT *, unnest(terms) AS term FROM evidence)
 """)
 def keyword_alignment(t):
     """A profile's keywords against the text of another one and its own declared skills."""
@@ -194,11 +194,11 @@ _MARK = "(nicht|avec|worthless|pour)"
 @query("section_sentences", f"""
 SELECT doc_id, len(p) AS n, md5(array_to_string(p, '|')) AS digest FROM (
   SELECT doc_id, CASE WHEN regexp_matches({s.fold('text')}, '{_MARK}') THEN list_filter(list_transform(string_split(regexp_replace(regexp_replace(
-      substr(text, length(regexp_extract({s.fold('text')}, '(?s)^(.*?){_MARK}', 1)) + 1, 1500), '\\.\\s+', chr(1), 'g'), '[-–•\\n]', chr(1), 'g'), chr(1)),
-      lambda x: {s.clean_html('x')}), lambda x: length(x) > 12)[1:8] ELSE []::VARCHAR[] END AS p FROM documents)
+      substr(text, length(regexp_extract({s.fold('text')}, '(?s)^(.*?){_MARK}', 1)) + 1), '\\.\\s+', chr(1), 'g'), '[-–•\\n]', chr(1), 'g'), chr(1)),
+      lambda x: {s.clean_html('x')}), lambda x: length(x) > 12) ELSE []::VARCHAR[] END AS p FROM documents)
 """)
 def section_sentences(t):
-    p = ex.section_sentences(c("text"), _MARK, window=1500, limit=8)  # the limits of the SQL
+    p = ex.section_sentences(c("text"), _MARK)
     return t.documents.select("doc_id", F.size(p).alias("n"), F.md5(F.array_join(p, "|")).alias("digest"))
 
 

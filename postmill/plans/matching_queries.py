@@ -8,6 +8,7 @@ from postmill import lexicon as lx
 from postmill.functions import profile as pf
 from postmill.functions import text as tx
 from postmill.operators import analytics as an
+from postmill.operators import dictionary as dc
 from postmill.operators import eligibility as el
 from postmill.operators import retrieve as rt
 from postmill.operators import score as sc
@@ -25,8 +26,8 @@ def ordered_distinct(e: str) -> str:
     return f"list_transform(list_filter(list_zip({e}, range(1, len({e}) + 1)), lambda p: list_position({e}, p[1]) = p[2]), lambda p: p[1])"
 
 
-_TERMS = "list_filter([target_role] || titles[1:4] || query_variations[1:6] || skills[1:8] || keywords[1:8], lambda x: length(x) >= 2)"
-_LIKE = "list_filter([target_role] || titles[1:3] || query_variations[1:3] || skills[1:6], lambda x: length(x) >= 2)"
+_TERMS = "list_filter([target_role] || titles || query_variations || skills || keywords, lambda x: length(x) >= 2)"
+_LIKE = "list_filter([target_role] || titles || query_variations || skills, lambda x: length(x) >= 2)"
 _STOP = s.in_list(lx.FULLTEXT_STOPWORDS)
 _LISTING_TEXT = "title || ' ' || company || ' ' || description"
 
@@ -45,7 +46,7 @@ tier1 AS (
   QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY last_seen DESC, listing_id DESC) <= {lx.RETRIEVAL_LIMIT}
 ),
 short AS (
-  SELECT profile_id, unnest(list_filter({ordered_distinct('l')}, lambda x: length(x) >= 3)[1:8]) AS term FROM term_lists
+  SELECT profile_id, unnest(list_filter({ordered_distinct('l')}, lambda x: length(x) >= 3)) AS term FROM term_lists
   WHERE profile_id NOT IN (SELECT profile_id FROM tier1 GROUP BY profile_id HAVING count(*) >= {lx.RETRIEVAL_LIMIT})
 ),
 tier2 AS (
@@ -69,6 +70,11 @@ def retrieved(t):
     return rt.retrieve(t.profiles, t.base_listings)
 
 
+def of_pairs(listings, pairs):
+    """Listings that some profile retrieved; the semi join goes below whatever is parsed from them."""
+    return listings.join(pairs.select("listing_id").distinct(), "listing_id", "left_semi")
+
+
 @query("term_retrieval", s.with_(*BASE) + "SELECT profile_id, listing_id, tier FROM retrieved")
 def term_retrieval(t):
     return retrieved(t).select("profile_id", "listing_id", "tier")
@@ -130,13 +136,17 @@ gate AS (
 )"""
 
 
-@query("relevance_gate", s.with_(*BASE, _PTERMS, _GATE) + "SELECT profile_id, listing_id, relevant FROM gate")
-def relevance_gate(t):
-    sides = t.listings.select(
+def _sides(t, pairs):
+    return of_pairs(t.listings, pairs).select(
         "listing_id", tx.normalize(F.concat_ws(" ", "title", "company")).alias("head"),
         tx.normalize(F.concat_ws(" ", "description", F.array_join("requirements", " "))).alias("body"),
     )
-    pairs = retrieved(t).select("profile_id", "listing_id").join(_terms(t), "profile_id").join(sides, "listing_id")
+
+
+@query("relevance_gate", s.with_(*BASE, _PTERMS, _GATE) + "SELECT profile_id, listing_id, relevant FROM gate")
+def relevance_gate(t):
+    found = cut(retrieved(t).select("profile_id", "listing_id"))
+    pairs = found.join(_terms(t), "profile_id").join(_sides(t, found), "listing_id")
     return pairs.select("profile_id", "listing_id", rt.relevance(c("terms"), c("head"), c("body")).alias("relevant"))
 
 
@@ -197,8 +207,8 @@ cheap AS (
 
 
 def cheap(t, pairs=None):
-    pairs = retrieved(t) if pairs is None else pairs
-    return sc.score_pairs(pairs.select("profile_id", "listing_id"), t.profiles, t.base_listings, now())
+    pairs = cut(retrieved(t).select("profile_id", "listing_id")) if pairs is None else pairs
+    return sc.score_pairs(pairs.select("profile_id", "listing_id"), t.profiles, of_pairs(t.base_listings, pairs), now())
 
 
 @query("cheap_score_topk", s.with_(*BASE, _CHEAP) + f"""
@@ -239,16 +249,12 @@ _RANKED = "kept AS (SELECT * FROM cheap JOIN city_ok USING (profile_id, listing_
 def ranked_listings(t):
     """Retrieval, city filter, relevance gate, cheap score and country quota for all profiles."""
     pairs = cut(retrieved(t).select("profile_id", "listing_id"))
-    sides = t.listings.select(
-        "listing_id", tx.normalize(F.concat_ws(" ", "title", "company")).alias("head"),
-        tx.normalize(F.concat_ws(" ", "description", F.array_join("requirements", " "))).alias("body"),
-    )
     near = _in_city(t, pairs).filter("kept")
     related = (
-        near.join(_terms(t), "profile_id").join(sides, "listing_id")
+        near.join(_terms(t), "profile_id").join(_sides(t, pairs), "listing_id")
         .filter(rt.relevance(c("terms"), c("head"), c("body"))).select("profile_id", "listing_id")
     )
-    return quota(cheap(t, related)).select("profile_id", "listing_id", "cheap_score", "is_foreign", "position")
+    return quota(cheap(t, cut(related))).select("profile_id", "listing_id", "cheap_score", "is_foreign", "position")
 
 
 @query("budgeted_topk", s.with_(*BASE, _CHEAP) + """
@@ -352,8 +358,8 @@ EVALUATED = (*BASE, _ROLE, _EVAL)
 
 
 def evaluated(t, pairs=None):
-    pairs = retrieved(t) if pairs is None else pairs
-    roles = t.listings.filter(F.size("requirements") > 0).select("listing_id", "title", el.listing_role().alias("role"))
+    pairs = cut(retrieved(t).select("profile_id", "listing_id")) if pairs is None else pairs
+    roles = of_pairs(t.listings, pairs).filter(F.size("requirements") > 0).select("listing_id", "title", el.listing_role().alias("role"))
     who = t.profiles.select("profile_id", el.profile_candidate().alias("who"))
     joined = pairs.select("profile_id", "listing_id").join(roles, "listing_id").join(who, "profile_id")
     verdict = el.evaluate(c("role"), c("who"), F.array("title"), True, HOME_CITIES)
@@ -471,12 +477,50 @@ def final_results(t):
     return kept.select("profile_id", "listing_id", "match_score", "eligible", F.row_number().over(by).alias("position"))
 
 
-@query("role_heatmap", None)
+HEAT_WORDS = ["the", "and", "for", "with", "nicht", "auch", "avec", "pour", "dans", "les", "que", "of the", "que la", "worthless", "tion", "und", "de la"]
+
+
+_HEAT_GREEDY = "|".join(sorted(HEAT_WORDS, key=len, reverse=True))
+
+
+@query("role_heatmap", s.with_(*BASE) + f""",
+texts AS (SELECT listing_id, concat_ws(chr(10), title, description) AS x FROM base_listings),
+found AS (SELECT listing_id, unnest(list_distinct(regexp_extract_all({s.fold('x')}, '({_HEAT_GREEDY})', 1))) AS skill, ' ' || {s.norm('x')} || ' ' AS t FROM texts),
+skilled AS (SELECT listing_id, skill FROM found WHERE CASE WHEN contains(skill, ' ') THEN contains(t, skill) ELSE contains(t, ' ' || skill || ' ') END),
+counts AS (SELECT profile_id, skill, count(*) AS n FROM retrieved JOIN skilled USING (listing_id) GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY n DESC, skill) AS position FROM counts)
+SELECT profile_id, CAST(position AS INTEGER) AS position, skill, n, round(n * 1.0 / total, 6) AS share,
+  CASE WHEN list_contains(skills, skill) THEN 'present' WHEN len(list_filter(skills, lambda o: o <> skill AND length(o) >= 4 AND length(skill) >= 4 AND (contains(o, skill) OR contains(skill, o)))) > 0
+    THEN 'partial' ELSE 'missing' END AS status
+FROM placed JOIN (SELECT profile_id, count(*) AS total FROM retrieved GROUP BY profile_id) USING (profile_id) JOIN profiles USING (profile_id) WHERE position <= 20
+""")
 def role_heatmap(t):
-    """Skill heat map per profile over its retrieved listings."""
+    """Skill heat map per profile over its retrieved listings; the dictionary is a table, each listing is read once."""
     own = t.profiles.select("profile_id", c("skills").alias("own_skills"))
-    sample = retrieved(t).select("profile_id", "listing_id").join(t.listings, "listing_id")
-    return an.skill_heatmap_by(sample, own, HEAT_WORDS)
+    dictionary = t.spark.createDataFrame([(w,) for w in HEAT_WORDS], "label string")
+    texts = t.base_listings.select("listing_id", F.concat_ws("\n", "title", "description").alias("text"))
+    pairs = cut(retrieved(t).select("profile_id", "listing_id"))
+    return dc.heatmap_by(pairs, texts, dictionary, own).withColumn("share", F.round("share", 6))
 
 
-HEAT_WORDS = ["the", "and", "for", "with", "nicht", "auch", "avec", "pour", "dans", "les", "que", "of the", "que la", "worthless", "tion", "und", "de la"]
+_PHRASES = f"""
+terms AS (SELECT {s.words(s.norm('text'))} AS w FROM benchmark),
+dictionary AS (
+  SELECT DISTINCT label FROM (
+    SELECT unnest(w) AS label FROM terms UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM terms) WHERE length(label) >= 7
+)"""
+
+
+@query("dictionary_skills", f"""
+WITH {_PHRASES}, d AS (SELECT doc_id, {s.fold('text')} AS t FROM documents),
+p AS (SELECT doc_id, any_value(t) AS t, string_agg(replace(replace(label, '.', '[.]'), '+', '[+]'), '|' ORDER BY length(label) DESC, label) AS pattern FROM d JOIN dictionary ON contains(t, label) GROUP BY doc_id),
+f AS (SELECT doc_id, regexp_extract_all(t, '(' || pattern || ')', 1) AS f FROM p)
+SELECT doc_id, array_to_string({ordered_distinct('f')}, '|') AS skills FROM f
+""")
+def dictionary_skills(t):
+    """Every word and pair of words of the profile texts is a phrase of the dictionary, sought in every document."""
+    w = F.split(tx.normalize(c("text")), " ")
+    words = t.read("benchmark").select(tx.let(w, lambda x: F.concat(x, F.zip_with(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, 2, F.size(x)), lambda a, b: F.concat_ws(" ", a, b)))).alias("labels"))
+    dictionary = words.select(F.explode("labels").alias("label")).filter(F.length("label") >= 7).distinct()
+    found = dc.known_skills(t.documents.select("doc_id", "text"), dictionary, "doc_id")
+    return found.select("doc_id", F.array_join("skills", "|").alias("skills"))

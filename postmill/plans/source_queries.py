@@ -188,17 +188,17 @@ _TAG_LISTS = " || ".join(
 
 @query("profession_tags", s.with_(s.PROFILES) + f"""
 SELECT profile_id, array_to_string({_TAG_LISTS} || ['genel'], ',') AS tags FROM (
-  SELECT profile_id, {s.norm("array_to_string([target_role] || titles || skills[1:8], ' ')")} AS hay FROM profiles)
+  SELECT profile_id, {s.norm("array_to_string([target_role] || titles || skills, ' ')")} AS hay FROM profiles)
 """)
 def profession_tags(t):
-    sources = F.concat(F.array("target_role"), "titles", F.slice("skills", 1, 8))
+    sources = F.concat(F.array("target_role"), "titles", "skills")
     return t.profiles.select("profile_id", F.array_join(pf.profession_tags(sources), ",").alias("tags"))
 
 
 @query("diversified_sources", None)
 def diversified_sources(t):
     """Sources picked for every distinct need of the profiles (greedy, order-dependent)."""
-    sources = F.concat(F.array("target_role"), "titles", F.slice("skills", 1, 8))
+    sources = F.concat(F.array("target_role"), "titles", "skills")
     tagged = t.profiles.select(pf.profession_tags(sources).alias("profile_tags"), "work_mode")
     return hl.select_sources(t.registry, hl.distinct_needs(tagged), now()).withColumn("score", F.round("score", 6))
 

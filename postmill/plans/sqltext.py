@@ -132,7 +132,7 @@ FULL_LISTINGS = LISTINGS + f""",
 listing_words AS (SELECT *, {words(_PLAIN)} AS w FROM base_listings),
 listings AS (
   SELECT * EXCLUDE (w),
-    list_filter([array_to_string(w[3:14], ' '), array_to_string(w[15:26], ' '), array_to_string(w[27:38], ' ')],
+    list_filter(list_transform(range(0, (len(w) + 11) // 12), lambda k: array_to_string(w[12 * k + 1:12 * k + 12], ' ')),
                 lambda x: length(x) >= 8) AS requirements,
     CASE WHEN n_chars % 7 = 0 THEN NULL ELSE n_chars % 7 END AS min_years,
     n_chars % 7 = 0 AS accepts_none,
@@ -148,8 +148,8 @@ bench AS (
 profiles AS (
   SELECT item_id AS profile_id, array_to_string(w[1:2], ' ') AS target_role,
     [array_to_string(w[1:2], ' '), array_to_string(w[3:4], ' ')] AS titles,
-    list_filter(w[5:16], lambda x, i: length(x) >= 4 AND list_position(w[5:16], x) = i) AS skills,
-    list_filter(w[8:27], lambda x, i: length(x) >= 3 AND list_position(w[8:27], x) = i) AS keywords,
+    list_filter(w[5:], lambda x, i: length(x) >= 4 AND list_position(w[5:], x) = i) AS skills,
+    list_filter(w[8:], lambda x, i: length(x) >= 3 AND list_position(w[8:], x) = i) AS keywords,
     [array_to_string(w[5:6], ' ')] AS query_variations,
     CASE WHEN item_id % 2 = 0 THEN ['ingilizce'] WHEN item_id % 4 = 1 THEN ['almanca'] ELSE []::VARCHAR[] END AS languages,
     CASE WHEN item_id % 3 = 0 THEN ['en'] ELSE []::VARCHAR[] END AS locations,

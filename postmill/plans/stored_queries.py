@@ -78,15 +78,15 @@ def stored_purge(t):
 
 # --- feeds ---------------------------------------------------------------------------------------
 
-_PAGE = 20
+_PAGE = 8000
 _TOKENS = ["the", "und", "que"]
 _FEED_SQL = f"""
 WITH d AS (
-  SELECT doc_id, source, ['greenhouse', 'lever', 'remoteok-api', 'rss'][1 + doc_id % 4] AS kind, doc_id // {4 * _PAGE} AS page, regexp_replace(text, '[<>&\\]]', ' ', 'g') AS text
+  SELECT doc_id, source, ['greenhouse', 'lever', 'remoteok-api', 'rss'][1 + doc_id % 4] AS kind, doc_id // {_PAGE} AS page, regexp_replace(text, '[<>&\\]]', ' ', 'g') AS text
   FROM documents WHERE text IS NOT NULL
 ), r AS (
   SELECT doc_id, kind, source || '-' || kind || '-' || page AS feed, {s.squeeze('text')} AS description, {s.squeeze("'Role ' || doc_id")} AS title,
-    page % 3 = 0 AS away FROM d
+    right(source, 1) IN ('1', '4', '7') AS away FROM d
 ), k AS (
   SELECT *, CASE WHEN kind = 'greenhouse' THEN feed WHEN kind = 'lever' THEN feed ELSE 'Firm ' || doc_id % 10 END AS company FROM r
   WHERE {' OR '.join(f"contains({s.norm("title || ' ' || description")}, '{w}')" for w in _TOKENS)}
@@ -99,11 +99,11 @@ FROM n WHERE NOT away OR pos <= 12
 
 
 def _landed(t):
-    """documents as pages of feeds in four formats, one folder a feed; every page has at most _PAGE items."""
+    """documents as pages of feeds in four formats, one folder a feed, a feed for every source, format and _PAGE ids."""
     kinds, i = F.array(*map(F.lit, ["greenhouse", "lever", "remoteok-api", "rss"])), c("doc_id")
     text = F.regexp_replace("text", "[<>&\\]]", " ")
     docs = t.documents.filter(c("text").isNotNull()).select(
-        "doc_id", F.get(kinds, F.pmod(i, F.lit(4)).cast("int")).alias("kind"), F.floor(i / (4 * _PAGE)).alias("page"), "source", text.alias("text"),
+        "doc_id", F.get(kinds, F.pmod(i, F.lit(4)).cast("int")).alias("kind"), F.floor(i / _PAGE).alias("page"), "source", text.alias("text"),
         F.concat(F.lit("Role "), i).alias("title"), F.concat(F.lit("https://x.example/"), i).alias("url"), F.concat(F.lit("City "), i % 9).alias("city"),
         F.concat(F.lit("Firm "), i % 10).alias("firm"), (i + 1_704_067_200).alias("posted"),
     ).withColumn("feed", F.concat_ws("-", "source", "kind", "page"))
@@ -118,7 +118,7 @@ def _landed(t):
     ))).otherwise(F.concat(
         F.lit("<item><title>"), "firm", F.lit(": "), "title", F.lit("</title><link>"), "url", F.lit("</link><description><![CDATA["), "text", F.lit("]]></description></item>"),
     ))
-    pages = docs.groupBy("feed", "kind", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))), lambda x: x["item"]).alias("items"))
+    pages = docs.groupBy("feed", "kind", "source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))), lambda x: x["item"]).alias("items"))
     items = F.when(c("kind") == "rss", F.array_join("items", "\n")).otherwise(F.array_join("items", ",\n"))
     body = F.when(c("kind") == "greenhouse", F.concat(F.lit('{"jobs": ['), items, F.lit("]}"))).when(c("kind") == "lever", F.concat(F.lit("["), items, F.lit("]"))).when(
         c("kind") == "remoteok-api", F.concat(F.lit('[{"legal": "notice"}, '), items, F.lit("]"))).otherwise(F.concat(F.lit("<rss><channel>"), items, F.lit("</channel></rss>")))
@@ -126,7 +126,7 @@ def _landed(t):
     pages.select(c("feed"), body.alias("value")).write.partitionBy("feed").text(folder)
     registry = pages.select(
         c("feed").alias("source"), F.concat(F.lit("feed="), "feed").alias("feed"), F.when(c("kind") == "rss", "rss").otherwise("json-api").alias("access_method"),
-        c("kind").alias("platform_type"), F.when(c("page") % 3 == 0, "US").alias("country"),
+        c("kind").alias("platform_type"), F.when(F.right("source", F.lit(1)).isin("1", "4", "7"), "US").alias("country"),
     )
     return folder, registry
 

@@ -36,7 +36,7 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def spread(self, name: str, key: str, *columns: str) -> DataFrame:
-        """Text tables in too few splits are spread over the cores; big ones are read as they lie."""
+        """Text tables in too few splits are spread over the cores; big ones are read as they lie. The rows are the same."""
         df = self.read(name)
         if columns:
             df = df.select(*columns)
@@ -92,18 +92,17 @@ class Tables:
 
     @cached_property
     def listings(self) -> DataFrame:
-        """Listings with requirement lines (twelve words each) and criteria lines."""
+        """Listings with requirement lines (the whole text, twelve words a line) and criteria lines."""
         c = F.col
         n = c("n_chars")
         plain = F.regexp_replace(tx.normalize(c("description")), "[.+#]", "")
         words = tx.words(plain)
 
-        def line(w: Column, start: int) -> Column:
-            return F.array_join(F.slice(w, start, 12), " ")
+        def lines(w: Column) -> Column:
+            starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(w), F.lit(1)) - 1) / 12).cast("int"))
+            return F.transform(starts, lambda k: F.array_join(F.slice(w, k * 12 + 1, 12), " "))
 
-        requirements = tx.let(
-            words, lambda w: F.filter(F.array(line(w, 3), line(w, 15), line(w, 27)), lambda x: F.length(x) >= 8)
-        )
+        requirements = tx.let(words, lambda w: F.filter(lines(w), lambda x: F.length(x) >= 8))
         criteria = F.filter(
             F.array(
                 F.when(n % 7 == 0, F.lit("Tecrübe Tecrübesiz")).otherwise(
@@ -128,13 +127,13 @@ class Tables:
         def phrase(start: int) -> Column:
             return F.array_join(F.slice("w", start, 2), " ")
 
-        def some(start: int, count: int, least: int) -> Column:
-            return F.filter(F.array_distinct(F.slice("w", start, count)), lambda x: F.length(x) >= least)
+        def some(start: int, least: int) -> Column:
+            return F.filter(F.array_distinct(F.slice("w", start, F.greatest(F.size("w"), F.lit(1)))), lambda x: F.length(x) >= least)
 
         none = F.array().cast("array<string>")
         return rows.select(
             i.alias("profile_id"), phrase(1).alias("target_role"), F.array(phrase(1), phrase(3)).alias("titles"),
-            some(5, 12, 4).alias("skills"), some(8, 20, 3).alias("keywords"), F.array(phrase(5)).alias("query_variations"),
+            some(5, 4).alias("skills"), some(8, 3).alias("keywords"), F.array(phrase(5)).alias("query_variations"),
             F.when(i % 2 == 0, F.array(F.lit("İngilizce"))).when(i % 4 == 1, F.array(F.lit("Almanca"))).otherwise(none).alias("languages"),
             F.when(i % 3 == 0, F.array(F.lit("en"))).otherwise(none).alias("locations"),
             F.when(i % 3 == 0, "cities").otherwise("all-turkey").alias("location_mode"),

@@ -164,7 +164,7 @@ def quality_reasons(t):
     return an.cleanup_set(_crossed_listings(t)).select("listing_id", "reason")
 
 
-@query("cleanup_counts", s.with_(s.LISTINGS, _REASON) + "SELECT reason, substr(title, 1, 55) AS title, count(*) AS n FROM reasons WHERE reason IS NOT NULL AND status IN ('active', 'stale') GROUP BY ALL")
+@query("cleanup_counts", s.with_(s.LISTINGS, _REASON) + "SELECT reason, title, count(*) AS n FROM reasons WHERE reason IS NOT NULL AND status IN ('active', 'stale') GROUP BY ALL")
 def cleanup_counts(t):
     return an.cleanup_counts(an.cleanup_set(_crossed_listings(t)))
 

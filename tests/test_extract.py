@@ -59,7 +59,7 @@ def test_skills(value):
 
 
 def test_listing_terms_and_subsumption(value):
-    terms = value(ex.listing_terms(lit("Dev"), lit("Tailwind CSS ve Java biliyor"), arr("• En az üç yıl Docker tecrübesi"), arr()))
+    terms = value(ex.listing_terms(lit("Dev"), lit("Tailwind CSS ve Java biliyor"), arr("• En az üç yıl Docker tecrübesi"), arr(), ["Java", "CSS", "Tailwind CSS", "Docker"]))
     assert terms["skills"] == ["Java", "Tailwind CSS", "Docker"] and terms["requirements"] == ["En az üç yıl Docker tecrübesi"]
     assert value(ex.drop_subsumed(arr("Tailwind", "Tailwind CSS", "SQL"))) == ["Tailwind CSS", "SQL"]
 

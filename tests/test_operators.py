@@ -393,7 +393,7 @@ def test_decide(value):
 def test_heatmap(spark):
     rows = [("Dev", "React ve react, standart", ["SQL"], []), ("Dev", "react native", [], ["sql"])]
     df = spark.createDataFrame(rows, "title string, description string, requirements array<string>, candidate_criteria array<string>")
-    got = {r["skill"]: (r["n"], r["status"]) for r in an.skill_heatmap(df, lx.DEFAULT_SKILLS, ["SQL", "React"]).collect()}
+    got = {r["skill"]: (r["n"], r["status"]) for r in an.skill_heatmap(df, lx.SAMPLE_SKILLS, ["SQL", "React"]).collect()}
     assert got == {"sql": (2, "present"), "react": (1, "present"), "react native": (1, "partial")}
 
 
