@@ -5,7 +5,6 @@ Crawl log columns: source, ts, event_id (tie-break), status, parsed, discovered,
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,9 +176,9 @@ def select_sources(sources: DataFrame, needs: DataFrame, now: Column, limit: int
     """Diversified sources per need: top priority always, one explorer, at most three per type.
 
     `needs`: need_id, profile_tags, home_only (at most two foreign sources instead of five). Many
-    profiles share a need; callers deduplicate first. Only the best four per (type, home/foreign)
-    can ever be picked besides the fixed ones and the explorer, so each need's greedy pass sees
-    a bounded number of rows whatever the size of the registry.
+    profiles share a need; callers deduplicate first. The fixed sources pass by; only their number counts. Of the
+    others only the best four per (type, home/foreign) and the explorer can ever be picked, so the greedy pass is a fold
+    over one short array per need, whatever the size of the registry.
     """
     c = F.col
     active = sources.filter("status = 'active'").withColumn("tags", F.split("profession_tags", r"\s*,\s*"))
@@ -190,43 +189,34 @@ def select_sources(sources: DataFrame, needs: DataFrame, now: Column, limit: int
             c("new_jobs"), c("relevant_jobs"), c("duplicate_jobs"), c("priority"),
         ),
     ).withColumn("fixed", c("priority") <= 5).withColumn("is_foreign", c("country") != "TR")
-    by_type = Window.partitionBy("need_id", "fixed", "source_type", "is_foreign").orderBy(F.desc("score"), "name")
-    oldest = Window.partitionBy("need_id", "fixed").orderBy(F.asc_nulls_first("last_scanned_at"), "priority", "name")
-    slim = scored.select(
-        "need_id", "home_only", "name", "source_type", "priority", "is_foreign", "fixed", "score", "last_scanned_at",
-    )
-    best = slim.withColumn("_r", F.row_number().over(by_type)).filter(c("fixed") | (c("_r") <= 4)).drop("_r")
-    explorer = slim.withColumn("_r", F.row_number().over(oldest)).filter(~c("fixed") & (c("_r") == 1)).drop("_r")
-    pool = best.withColumn("explorer", F.lit(False)).unionByName(explorer.withColumn("explorer", F.lit(True))).groupBy(
-        "need_id", "home_only", "name", "source_type", "priority", "is_foreign", "fixed", "score"
-    ).agg(F.bool_or("explorer").alias("explorer"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["score", "name"], ascending=[False, True])
-        picked = list(rows[rows["fixed"]]["name"])
-        types: dict[str, int] = {}
-        foreign, cap = 0, 2 if bool(rows["home_only"].iloc[0]) else 5
-        first = rows[rows["explorer"]]
-        if len(first) and len(picked) < limit:
-            picked.append(first["name"].iloc[0])
-            types[first["source_type"].iloc[0]] = 1
-        for row in rows[~rows["fixed"]].itertuples():
-            if len(picked) >= limit:
-                break
-            if row.name in picked or row.score < -5 or types.get(row.source_type, 0) >= 3:
-                continue
-            if row.is_foreign:
-                if foreign >= cap:
-                    continue
-                foreign += 1
-            picked.append(row.name)
-            types[row.source_type] = types.get(row.source_type, 0) + 1
-        out = rows[rows["name"].isin(picked)]
-        return out[["need_id", "name", "source_type", "priority", "score"]]
-
-    schema = "need_id string, name string, source_type string, priority int, score double"
-    chosen = pool.groupBy("need_id").applyInPandas(greedy, schema)
-    return chosen.withColumn("wave", wave(c("priority")))
+    slim = scored.select("need_id", "home_only", "name", "source_type", "priority", "is_foreign", "fixed", "score", "last_scanned_at")
+    rest = slim.filter(~c("fixed"))
+    taken = c("_taken")
+
+    by_type = Window.partitionBy("need_id", "source_type", "is_foreign").orderBy(F.desc("score"), "name")
+    best = rest.withColumn("_r", F.row_number().over(by_type)).filter(c("_r") <= 4)
+    row = F.struct((-c("score")).alias("down"), "name", "source_type", "priority", "score", "is_foreign")
+    # a minimum per need, so the longest waiting source needs no window
+    oldest = F.min(F.struct(F.coalesce(F.unix_micros("last_scanned_at"), F.lit(-(1 << 63))).alias("at"), "priority", "name", row.alias("row")))
+    pool = best.groupBy("need_id", "home_only").agg(F.sort_array(F.collect_list(row)).alias("ranked")).join(
+        rest.groupBy("need_id").agg(oldest["row"].alias("explorer")), "need_id"
+    ).withColumn("_taken", active.agg(F.count_if(c("priority") <= 5)).scalar())
+    start = F.struct(F.when(taken < limit, F.array("explorer")).otherwise(F.slice(F.array("explorer"), 1, 0)).alias("picked"), F.lit(0).alias("foreign"))
+
+    def step(state: Column, x: Column) -> Column:
+        fits = (
+            (F.size(state["picked"]) + taken < limit) & (x["score"] >= -5) & ~F.exists(state["picked"], lambda p: p["name"] == x["name"])
+            & (F.size(F.filter(state["picked"], lambda p: p["source_type"] == x["source_type"])) < 3)
+            & (~x["is_foreign"] | (state["foreign"] < F.when(c("home_only"), 2).otherwise(5)))
+        )
+        return F.when(fits, F.struct(
+            F.concat(state["picked"], F.array(x)).alias("picked"), (state["foreign"] + x["is_foreign"].cast("int")).alias("foreign")
+        )).otherwise(state)
+
+    chosen = pool.select("need_id", F.explode(F.aggregate("ranked", start, step)["picked"]).alias("p"))
+    names = ["need_id", "name", "source_type", "priority", "score"]
+    picked = chosen.select("need_id", "p.name", "p.source_type", "p.priority", "p.score")
+    return slim.filter("fixed").select(*names).unionByName(picked).withColumn("wave", wave(c("priority")))
 
 
 # --- life cycle --------------------------------------------------------------------------

@@ -195,7 +195,36 @@ def profession_tags(t):
     return t.profiles.select("profile_id", F.array_join(pf.profession_tags(sources), ",").alias("tags"))
 
 
-@query("diversified_sources", None)
+_NEED_SCORE = _SELECT_SCORE.replace("['tech', 'finans', 'genel']", "profile_tags")
+_DIVERSE = f"""
+hay AS (SELECT work_mode, {s.norm("array_to_string([target_role] || titles || skills, ' ')")} AS hay FROM profiles),
+needs AS (
+  SELECT DISTINCT array_to_string(tags, ',') || '|' || home::VARCHAR AS need_id, tags AS profile_tags, home FROM (
+    SELECT list_sort(list_distinct({_TAG_LISTS} || ['genel'])) AS tags, work_mode <> 'remote' AS home FROM hay)
+),
+open_sources AS (SELECT *, string_split(profession_tags, ',') AS tags, priority <= 5 AS fixed, country <> 'TR' AS away FROM registry WHERE status = 'active'),
+scored AS (SELECT need_id, home, name, source_type, priority, last_scanned_s, fixed, away, {_NEED_SCORE} AS score FROM open_sources, needs),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY need_id ORDER BY score DESC, name) AS i, row_number() OVER (PARTITION BY need_id ORDER BY last_scanned_s NULLS FIRST, priority, name) AS e
+  FROM scored WHERE NOT fixed
+),
+taken AS (SELECT count(*) AS n FROM open_sources WHERE fixed),
+fold(need_id, i, names, kinds, away_n) AS (
+  SELECT need_id, 0::BIGINT, CASE WHEN n < 14 THEN [name] ELSE []::VARCHAR[] END, CASE WHEN n < 14 THEN [source_type] ELSE []::VARCHAR[] END, 0 FROM ordered, taken WHERE e = 1
+  UNION ALL
+  SELECT f.need_id, o.i, CASE WHEN ok THEN list_append(f.names, o.name) ELSE f.names END, CASE WHEN ok THEN list_append(f.kinds, o.source_type) ELSE f.kinds END,
+    f.away_n + CASE WHEN ok AND o.away THEN 1 ELSE 0 END
+  FROM fold f JOIN ordered o ON o.need_id = f.need_id AND o.i = f.i + 1, taken,
+    LATERAL (SELECT n + len(f.names) < 14 AND o.score >= -5 AND NOT list_contains(f.names, o.name) AND len(list_filter(f.kinds, lambda k: k = o.source_type)) < 3
+      AND (NOT o.away OR f.away_n < CASE WHEN o.home THEN 2 ELSE 5 END) AS ok) AS x
+),
+last AS (SELECT need_id, arg_max(names, i) AS names FROM fold GROUP BY need_id)"""
+
+
+@query("diversified_sources", s.with_(s.PROFILES, s.REGISTRY, _DIVERSE).replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT need_id, name, source_type, priority, round(score, 6) AS score, CASE WHEN priority <= 5 THEN 1 WHEN priority <= 19 THEN 2 WHEN priority <= 39 THEN 3 ELSE 4 END AS wave
+FROM scored LEFT JOIN last USING (need_id) WHERE fixed OR list_contains(names, name)
+""")
 def diversified_sources(t):
     """Sources picked for every distinct need of the profiles (greedy, order-dependent)."""
     sources = F.concat(F.array("target_role"), "titles", "skills")

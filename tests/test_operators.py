@@ -353,6 +353,44 @@ def test_select_sources(spark):
         assert all(sum(r["source_type"] == kind for r in rest) <= 3 for kind in {r["source_type"] for r in rest})
 
 
+def test_select_sources_equals_a_loop(spark):
+    """The greedy pass over every source, source by source, on registries with few and many fixed ones."""
+    import random
+
+    rng = random.Random(9)
+    kinds, tags = ["ats", "niche-board", "remote-board", "general-board", "aggregator"], ["tech,genel", "saglik", "finans", "genel", "tech"]
+    schema = ("name string, country string, source_type string, status string, priority int, reliability double, last_scanned_at timestamp, total_scans int, "
+              "successful_scans int, new_jobs int, relevant_jobs int, duplicate_jobs int, profession_tags string")
+    for n, low in ((300, 4), (60, 1), (40, 60)):
+        rows = [(f"s{i:03d}", rng.choice(["US", "TR", "TR"]), rng.choice(kinds), rng.choice(["active", "active", "candidate"]), rng.randint(low, 60) if i > 20 else rng.randint(1, 6),
+                 rng.choice([0.0, 0.5, 1.0]), rng.choice([None, ts(rng.randint(0, 90))]), rng.randint(0, 5), 1, rng.randint(0, 9), rng.randint(0, 5), rng.randint(0, 5), rng.choice(tags)) for i in range(n)]
+        sources = spark.createDataFrame(rows, schema)
+        profiles = spark.createDataFrame([(["tech", "genel"], "any"), (["genel"], "remote"), (["saglik", "genel"], "remote")], "profile_tags array<string>, work_mode string")
+        needs = hl.distinct_needs(profiles)
+        got = {}
+        for r in hl.select_sources(sources, needs, F.lit(ts(100))).collect():
+            got.setdefault(r.need_id, set()).add(r.name)
+        for need in needs.collect():
+            scores = {r.name: r.s for r in sources.select("name", hl.selection_score(
+                F.split("profession_tags", ","), F.array(*map(F.lit, need.profile_tags)), c("reliability"), c("last_scanned_at"), F.lit(ts(100)), c("total_scans"), c("new_jobs"),
+                c("relevant_jobs"), c("duplicate_jobs"), c("priority")).alias("s")).collect()}
+            active = [r for r in rows if r[3] == "active"]
+            picked, types, foreign, rest = [r[0] for r in active if r[4] <= 5], {}, 0, [r for r in active if r[4] > 5]
+            first = min(rest, key=lambda r: (r[6] is not None, r[6] or ts(0), r[4], r[0]), default=None)
+            if first and len(picked) < 14:
+                picked.append(first[0])
+                types[first[2]] = 1
+            for r in sorted(rest, key=lambda r: (-scores[r[0]], r[0])):
+                if len(picked) >= 14:
+                    break
+                if r[0] in picked or scores[r[0]] < -5 or types.get(r[2], 0) >= 3 or (r[1] != "TR" and foreign >= (2 if need.home_only else 5)):
+                    continue
+                foreign += r[1] != "TR"
+                picked.append(r[0])
+                types[r[2]] = types.get(r[2], 0) + 1
+            assert got[need.need_id] == set(picked)
+
+
 def test_reuse(spark):
     rows = [
         (1, 7, "f", ts(0), True, False, 3), (2, 7, "f", ts(3), True, True, 3), (3, 7, "f", ts(5), True, False, 0), (4, 7, "f", ts(5.5), False, False, 0),
