@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections import Counter, defaultdict
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,86 +11,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.common import bound_batches, fresh, join_small, ranked
+from postmill.llm.tokens import chunks, encoded, word_ids
 from postmill.session import cut
 
 CAPACITY = 2048
 END_ID = 0
 EPSILON = 0.15
 MAX_PHASES = 200
-END_BYTES = END_ID.to_bytes(4, "little")
-CACHED_WORDS = 400_000
-SIGNS = ".,;:!?#$%&*"
-LATIN_END = "\u0100"
 
 # --- tokens ------------------------------------------------------------------------------
 
 
-class _WordIds(dict):
-    """Ids, as little-endian bytes, by blank-separated word.
-
-    This tokenizer drops white space, lower-cases and parts letters from other signs, so words are
-    independent, a capital Latin-1 word has its lower-case word's ids, and a run of signs after a letter its own. All
-    else is left to the tokenizer. At CACHED_WORDS the older half goes.
-    """
-
-    def __init__(self, tokenizer):
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        super().__init__()
-        self.encode, self.model, self.older = tokenizer.encode, tokenizer.model, {}
-        self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-
-    def _letters(self, word: str) -> bytes:
-        """A word of lower-case Latin-1 letters is one unit of the model; this skips the steps that keep it as it is."""
-        unit = word if word.isascii() else self.as_bytes(word)[0][0]
-        return array("I", [token.id for token in self.model.tokenize(unit)]).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if 2 * len(self) >= CACHED_WORDS:
-            self.older = dict(self)
-            self.clear()
-        if word in self.older:
-            ids = self.older[word]
-        elif (core := word.rstrip(SIGNS)) != word and core[-1:].isalpha() and core[-1] < LATIN_END:
-            ids = self[core] + self[word[len(core) :]]
-        elif word.isalpha() and max(word) < LATIN_END:
-            low = word.lower()
-            ids = self[low] if low != word else self._letters(word)
-        else:
-            ids = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
-
-@lru_cache(maxsize=2)
-def _word_ids(tokenizer_file: str) -> _WordIds:
-    """One per Python worker, so later tasks find the words of earlier ones."""
-    from tokenizers import Tokenizer
-
-    return _WordIds(Tokenizer.from_file(tokenizer_file))
-
-
-def token_ids(words: _WordIds, text: str | None) -> np.ndarray:
-    return np.frombuffer(b"".join(map(words.__getitem__, (text or "").split(" "))) + END_BYTES, "<u4")
-
-
 def tokenized_pieces(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): only documents over `capacity` ids are cut, at its multiples."""
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
     def cut_up(stream):
-        words = _word_ids(tokenizer_file)
-        for batch in stream:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = token_ids(words, text.as_py())
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes())))
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        words = word_ids(tokenizer_file)
+        for (doc,), texts in chunks(stream):
+            ids, bounds = encoded(words, texts, END_ID)
+            lengths = np.diff(bounds)
+            pieces = -(-lengths // capacity)
+            of = np.repeat(np.arange(len(lengths)), pieces)
+            piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(capacity, lengths[of] - start)
+            first = bounds[of] + start
+            data = ids.astype("<u4", copy=False)
+            sums = [zlib.crc32(data[a : a + n]) for a, n in zip(first.tolist(), length.tolist())]
+            columns = [doc.take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(sums, pa.int64())]
+            yield pa.record_batch(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return bound_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut_up, schema)
 
