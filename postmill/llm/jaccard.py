@@ -5,7 +5,7 @@ The global order is the order of 64-bit n-gram hashes, so a fragment is a range
 has an even share of its n-grams in each. Steps:
 
 1. Documents become sets; equal sets are one node, however many copies there are.
-2. In each fragment of the order's lower half, n-grams that only one set holds are counted. A set whose own
+2. In each fragment of the order's first three eighths, n-grams that only one set holds are counted. A set whose own
    n-grams are more than it may miss with any partner links with nothing and leaves; that is nearly all text
    that is no near copy, however many passages it shares.
 3. For the rest, sets that may link hold an equal non-empty fragment: with at most D differences and the first
@@ -28,8 +28,10 @@ from postmill.session import cut
 WORDS = 4
 PERCENT = 85
 CACHED_WORDS = 300_000
-FLUSH = 1_000_000
+FLUSH = 500_000
+LONE_EIGHTHS = 3
 FRAGMENT_POSTINGS = 1_000_000
+SHARED = 2**64 - 1
 CHUNK_SETS, CHUNK_POSTINGS = 256, 300_000
 COLUMN_BLOCK = 4_096
 
@@ -102,10 +104,14 @@ def set_keys(docs: DataFrame, text_col: str, size: int = WORDS) -> DataFrame:
 
 
 def lone_counts(docs: DataFrame, text_col: str, fragments: int, size: int = WORDS) -> DataFrame:
-    """(s1, lone): how many n-grams of the order's lower half each set holds alone, one task per fragment.
+    """(s1, lone): how many n-grams of the order's first LONE_EIGHTHS eighths each set holds alone, one task per fragment.
 
-    A batch of documents sends each fragment one row of packed hashes; copies count once, by their set.
+    A mapper sends each fragment one row for FLUSH n-grams: 32 bits of each hash, which are enough within a fragment of bounded
+    size as an n-gram that only seems shared keeps its set, and the set's key. An n-gram that several sets of the
+    mapper hold travels once, without a set. Fragments answer with packed counts per bucket of sets, so rows grow neither with the
+    number of sets in a fragment nor with the copies of a frequent n-gram.
     """
+    end = np.uint64(LONE_EIGHTHS << 61)
 
     def split(stream):
         import xxhash
@@ -113,14 +119,13 @@ def lone_counts(docs: DataFrame, text_col: str, fragments: int, size: int = WORD
         words, seen, parts, owners, held = _WordHashes(), {}, [], [], 0
 
         def flush():
-            h, own = np.concatenate(parts), np.concatenate(owners)
-            where = ((h >> np.uint64(31)) * np.uint64(fragments)) >> np.uint64(32)
-            order = np.argsort(where, kind="stable")
-            h, own, where = h[order], own[order], where[order]
-            cuts = np.flatnonzero(np.diff(where)) + 1
-            starts = np.concatenate([[0], cuts]).astype(int)
-            sets = np.array(list(seen), np.uint64)
-            rows = [(int(where[a]), h[a:b].tobytes(), sets[own[a:b]].tobytes()) for a, b in zip(starts, [*cuts, len(h)])]
+            h, first, times = np.unique(np.concatenate(parts), return_index=True, return_counts=True)
+            sets = np.array([SHARED, *seen], np.uint64)
+            own = sets[np.where(times == 1, np.concatenate(owners)[first] + 1, 0)]
+            where = (h >> np.uint64(32)) * np.uint64(fragments) // np.uint64(LONE_EIGHTHS << 29)
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1]).tolist()
+            low = h.astype(np.uint32)
+            rows = [(int(where[a]), low[a:b].tobytes(), own[a:b].tobytes()) for a, b in zip(starts, [*starts[1:], len(h)])]
             kinds = (pa.int64(), pa.binary(), pa.binary())
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["fragment", "hashes", "sets"])
 
@@ -130,10 +135,10 @@ def lone_counts(docs: DataFrame, text_col: str, fragments: int, size: int = WORD
                 key = xxhash.xxh3_64_intdigest(h.tobytes())
                 if key in seen:
                     continue
-                h = h[h < np.uint64(1 << 63)]
+                h = h[h < end]
                 if len(h):
                     parts.append(h)
-                    owners.append(np.full(len(h), len(seen), np.uint32))
+                    owners.append(np.full(len(h), len(seen), np.int64))
                     seen[key] = True
                     held += len(h)
                 if held >= FLUSH:
@@ -143,19 +148,32 @@ def lone_counts(docs: DataFrame, text_col: str, fragments: int, size: int = WORD
             yield flush()
 
     def count(table: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")])
+        h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("hashes")])
         own = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("sets")])
         order = np.argsort(h, kind="stable")
         h, own = h[order], own[order]
         # alone: all postings of the hash come from one set
         starts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
-        alone = np.minimum.reduceat(own, starts) == np.maximum.reduceat(own, starts)
-        sets, n = np.unique(own[starts[alone]], return_counts=True)
-        return pa.table({"s1": sets.view(np.int64), "n": n.astype(np.int64)})
+        least = np.minimum.reduceat(own, starts)
+        alone = (least == np.maximum.reduceat(own, starts)) & (least != np.uint64(SHARED))
+        sets, n = np.unique(least[alone], return_counts=True)
+        bucket = sets % np.uint64(fragments // 4 + 1)
+        order = np.argsort(bucket, kind="stable")
+        sets, n, bucket = sets[order], n[order].astype(np.uint32), bucket[order]
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1]).tolist() if len(sets) else []
+        rows = [(int(bucket[a]), sets[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(starts, [*starts[1:], len(sets)])]
+        kinds = (pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([], [], []), kinds)], names=["bucket", "sets", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        own = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("sets")])
+        n = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")])
+        sets, place = np.unique(own, return_inverse=True)
+        return pa.table({"s1": sets.view(np.int64), "lone": np.bincount(place, n, len(sets)).astype(np.int64)})
 
     packed = docs.select(F.col(text_col).cast("string")).mapInArrow(split, "fragment long, hashes binary, sets binary")
-    counted = packed.groupBy("fragment").applyInArrow(count, "s1 long, n long")
-    return counted.groupBy("s1").agg(F.sum("n").alias("lone"))
+    counted = packed.groupBy("fragment").applyInArrow(count, "bucket long, sets binary, counts binary")
+    return counted.groupBy("bucket").applyInArrow(add, "s1 long, lone long")
 
 
 def _need_bits(h: np.ndarray, wanted: int, least: int) -> int:
@@ -334,7 +352,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     )
     numbered = cut(grouped.withColumn("node", F.monotonically_increasing_id()))
     total = numbered.agg(F.sum("n_shingles")).first()[0] or 0
-    fragments = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // (2 * FRAGMENT_POSTINGS)))
+    fragments = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total * LONE_EIGHTHS // (8 * FRAGMENT_POSTINGS)))
     lone = lone_counts(own, "text", int(fragments), size)
     n = F.col("n_shingles")
     kept = cut(
