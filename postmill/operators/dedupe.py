@@ -117,15 +117,25 @@ def similar_pairs(groups: DataFrame, threshold: float = lx.SIMILARITY_THRESHOLD)
     Prefix filter: words are ordered from rare to frequent in their block, and two sets that reach
     the threshold must share one of the first |s| - ceil(t|s|) + 1 words. Size bands split the
     frequent words further: sets whose sizes differ by more than 1/t cannot match, so each set
-    meets only its own and the next band. Nothing is capped.
+    meets only its own and the next band. Nothing is capped. With a column `fresh`, pairs of two sets that aren't
+    are left out, and never met.
     """
-    sized = groups.withColumn("size", F.size("words")).filter("size > 0")
-    exploded = sized.select("block", "rep_id", "size", F.explode("words").alias("word"))
+    if "fresh" in groups.columns:
+        # the smaller set of a pair may be either side, so fresh sets meet the band below as well
+        return _meetings(groups, threshold, F.array_distinct(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)), F.col("fresh"), F.lit(True))
+    ahead = (F.col("own_band") < F.col("band")) | (F.col("a") < F.col("b"))
+    return _meetings(groups, threshold, F.array(F.col("band"), F.col("band") + 1), F.lit(True), ahead)
+
+
+def _meetings(groups: DataFrame, threshold: float, bands: Column, leads: Column, ahead: Column) -> DataFrame:
+    fresh = F.col("fresh") if "fresh" in groups.columns else F.lit(True)
+    sized = groups.withColumn("size", F.size("words")).filter("size > 0").withColumn("fresh", fresh)
+    exploded = sized.select("block", "rep_id", "size", "fresh", F.explode("words").alias("word"))
     frequency = exploded.groupBy("block", "word").agg(F.count("*").alias("frequency"))
     ranked = (
         exploded.join(frequency, ["block", "word"])
         .filter("frequency > 1")
-        .groupBy("block", "rep_id", "size")
+        .groupBy("block", "rep_id", "size", "fresh")
         .agg(F.sort_array(F.collect_list(F.struct("frequency", "word"))).alias("shared"))
     )
     # words nobody else has come first in the order and only use up prefix places
@@ -136,11 +146,11 @@ def similar_pairs(groups: DataFrame, threshold: float = lx.SIMILARITY_THRESHOLD)
     prefix = (
         ranked.withColumn("keep", prefix_length.cast("int"))
         .filter("keep > 0")
-        .select("block", "rep_id", "size", band.alias("band"), F.explode(F.slice("shared", 1, F.col("keep"))).alias("p"))
-        .select("block", "rep_id", "size", "band", F.col("p.word").alias("word"))
+        .select("block", "rep_id", "size", "fresh", band.alias("band"), F.explode(F.slice("shared", 1, F.col("keep"))).alias("p"))
+        .select("block", "rep_id", "size", "fresh", "band", F.col("p.word").alias("word"))
     )
-    left = prefix.select(
-        "block", "word", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"),
+    left = prefix.filter(leads).select(
+        "block", "word", F.explode(bands).alias("band"),
         F.col("band").alias("own_band"), F.col("rep_id").alias("a"), F.col("size").alias("size_a"),
     )
     right = prefix.select("block", "word", "band", F.col("rep_id").alias("b"), F.col("size").alias("size_b"))
@@ -148,7 +158,7 @@ def similar_pairs(groups: DataFrame, threshold: float = lx.SIMILARITY_THRESHOLD)
         left.join(right, ["block", "word", "band"])
         .filter(
             (F.col("a") != F.col("b"))
-            & ((F.col("own_band") < F.col("band")) | (F.col("a") < F.col("b")))
+            & ahead
             & (F.least("size_a", "size_b") >= F.lit(threshold) * F.greatest("size_a", "size_b") - F.lit(1e-9))
         )
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from postmill.functions import text as tx
 from postmill.operators.analytics import skill_status
-from postmill.operators.retrieve import candidate_texts
+from postmill.operators.retrieve import met_texts
+from postmill.session import cut, small
 
 SHORTEST = 2
 
@@ -40,11 +41,11 @@ def known_skills(texts: DataFrame, dictionary: DataFrame, key: str = "listing_id
     """
     c = F.col
     rows = texts.filter(c(text).isNotNull()).select(c(key).alias("listing_id"), c(text).alias("_raw"))
-    index = phrase_index(dictionary)
+    index = cut(phrase_index(dictionary))
     worded, signs = index.filter("term <> ''"), index.filter("term = ''")
-    met = candidate_texts(rows.select("listing_id", tx.normalize(c("_raw")).alias("text")), worded.select("term"))
-    # a phrase that many texts hold makes as many rows, but each is a term and a number
-    phrases = met.join(worded, "term").groupBy("listing_id").agg(F.collect_set(F.struct("key", "label")).alias("_met"))
+    met = met_texts(rows.select("listing_id", tx.normalize(c("_raw")).alias("text")), worded.select("term"))
+    # the words of a text are still together, so its phrases are one row before they are shuffled
+    phrases = met.join(small(worded), "term").groupBy("listing_id").agg(F.collect_set(F.struct("key", "label")).alias("_met"))
     # the few phrases without words, one short array
     always = signs.agg(F.collect_list(F.struct("key", "label"))).scalar()
     found = rows.join(phrases, "listing_id", "left").withColumn("_met", F.concat(F.coalesce("_met", F.array().cast("array<struct<key:string,label:string>>")), always))

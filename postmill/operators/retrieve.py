@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from postmill import lexicon as lx
 from postmill.functions import profile as pf
 from postmill.functions import text as tx
-from postmill.session import cut
+from postmill.session import cut, small
 
 
 POSTING_SALTS = 16
@@ -80,6 +80,14 @@ def candidate_texts(texts: DataFrame, terms: DataFrame) -> DataFrame:
     (through short character grams, because the first and last word may stand inside longer
     words), and the rarest word of each term leads to its texts.
     """
+    return met_texts(texts, terms).distinct()
+
+
+def met_texts(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """`candidate_texts` without the last step: a pair may come more than once, all times from one row of `texts`.
+
+    What the terms are looked up by is small beside the texts; where it is counted to be, no word of a text is shuffled.
+    """
     tokens = texts.select("listing_id", F.explode(F.array_distinct(F.split("text", " "))).alias("token"))
     vocabulary = tokens.groupBy("token").agg(F.count("*").alias("texts")).filter("token <> ''")
     n = F.size("words")
@@ -105,15 +113,14 @@ def candidate_texts(texts: DataFrame, terms: DataFrame) -> DataFrame:
         F.array_distinct(F.transform(lengths, lambda g: F.concat(F.lit("end "), F.right(F.col("token"), g)))),
         F.transform(inside, lambda g: F.concat(F.lit("inside "), g)),
     )
-    lookup = vocabulary.select("token", "texts", F.explode(keys).alias("key"))
     word = F.col("word")
     key = F.concat_ws(
         " ", "kind",
         F.when(F.col("kind") == "whole", word).when(F.col("kind") == "end", F.right(word, F.lit(3))).otherwise(F.left(word, F.lit(3))),
     )
-    found = (
-        parts.select("word", "kind").distinct().withColumn("key", key)
-        .join(lookup, "key")
+    asked = cut(parts.select("word", "kind").distinct().withColumn("key", key))
+    found = cut(
+        vocabulary.select("token", "texts", F.explode(keys).alias("key")).join(small(asked), "key")
         .filter(
             F.when(F.col("kind") == "inside", F.contains("token", "word"))
             .when(F.col("kind") == "end", F.endswith("token", "word"))
@@ -130,12 +137,8 @@ def candidate_texts(texts: DataFrame, terms: DataFrame) -> DataFrame:
         .filter("matched = n")
         .select("term", "n", F.col("rarest.word").alias("word"), F.col("rarest.kind").alias("kind"))
     )
-    return (
-        anchors.join(found.select("word", "kind", "token"), ["word", "kind"])
-        .join(tokens, "token")
-        .select("term", "n", "listing_id")
-        .distinct()
-    )
+    places = cut(anchors.join(found.select("word", "kind", "token"), ["word", "kind"]).select("term", "n", "token"))
+    return tokens.join(small(places), "token").select("term", "n", "listing_id")
 
 
 def retrieve(profiles: DataFrame, listings: DataFrame, limit: int = lx.RETRIEVAL_LIMIT, top_up: int = lx.TOP_UP_LIMIT) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "postmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,6 +45,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def small(side: DataFrame, rows: int = 200_000) -> DataFrame:
+    """`side` (cheap to count), marked for broadcast if it has at most `rows` rows; else as it is, for a shuffled join."""
+    return F.broadcast(side) if side.count() <= rows else side
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage through the reliable checkpoint folder, so that lost executors do not matter."""
     ensure_checkpoint_dir(df.sparkSession)
