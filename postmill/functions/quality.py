@@ -9,8 +9,14 @@ from postmill import lexicon as lx
 from postmill.functions import text as tx
 
 
-def is_blocked_page(title: Column, description: Column) -> Column:
-    return tx.fold(F.concat_ws(" ", title, F.coalesce(description, F.lit("")))).rlike(lx.BLOCK_PAGE)
+BLOCK_HEAD = 300
+
+
+def is_blocked_page(title: Column, description: Column, head: int | None = BLOCK_HEAD) -> Column:
+    """A wall instead of a listing says so at once: in its title or the first `head` characters (None: anywhere)."""
+    start = F.coalesce(description, F.lit(""))
+    start = start if head is None else F.substring(start, 1, head)
+    return tx.fold(F.concat_ws(" ", title, start)).rlike(lx.BLOCK_PAGE)
 
 
 def is_non_listing_page(

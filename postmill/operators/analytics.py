@@ -190,22 +190,31 @@ def bad_listing_rate(listings: DataFrame) -> DataFrame:
     c = F.col
     blocked = ql.is_blocked_page(c("title"), c("description"))
     crossed = ~blocked & ~ql.title_matches_url(c("title"), c("url"))
+    return bad_listing_verdict(
+        listings.agg(F.count("*").alias("total"), F.count_if(blocked).alias("blocked"), F.count_if(crossed).alias("crossed"))
+    )
+
+
+def bad_listing_verdict(counts: DataFrame) -> DataFrame:
+    c = F.col
     rate = c("bad_percent")
     return (
-        listings.agg(F.count("*").alias("total"), F.count_if(blocked).alias("blocked"), F.count_if(crossed).alias("crossed"))
-        .withColumn("bad_percent", F.when(c("total") > 0, (c("blocked") + c("crossed")) / c("total") * 100).otherwise(0.0))
+        counts.withColumn("bad_percent", F.when(c("total") > 0, (c("blocked") + c("crossed")) / c("total") * 100).otherwise(0.0))
         .withColumn("verdict", level(rate, rate < 2, rate < 5))
     )
 
 
 def duplicate_rate(grouped: DataFrame) -> DataFrame:
     """From `dedupe.duplicate_groups`: rows beyond the first of each group."""
+    sizes = grouped.groupBy("group_id").agg(F.count("*").alias("n"))
+    return duplicate_verdict(sizes.agg(F.sum("n").alias("total"), F.sum(F.col("n") - 1).alias("removed")))
+
+
+def duplicate_verdict(counts: DataFrame) -> DataFrame:
     c = F.col
     rate = c("duplicate_percent")
     return (
-        grouped.groupBy("group_id").agg(F.count("*").alias("n"))
-        .agg(F.sum("n").alias("total"), F.sum(c("n") - 1).alias("removed"))
-        .withColumn("duplicate_percent", F.when(c("total") > 0, c("removed") / c("total") * 100).otherwise(0.0))
+        counts.withColumn("duplicate_percent", F.when(c("total") > 0, c("removed") / c("total") * 100).otherwise(0.0))
         .withColumn("verdict", level(rate, rate < 5, rate < 10))
     )
 

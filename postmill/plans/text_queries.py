@@ -142,17 +142,20 @@ def code_noise_docs(t):
 _OTHER_URL = f"'https://x.example.com/jobs/' || {s.slug('substr(split_part(description, chr(10), 2), 1, 60)')}"
 
 
-def _crossed_listings(t):
+def crossed_urls(listings):
     second = F.substring(F.get(F.split("description", "\n"), F.lit(1)), 1, 60)
-    url = F.concat(F.lit("https://x.example.com/jobs/"), F.coalesce(tx.slugify(second), F.lit("")))
-    return t.base_listings.withColumn("url", url)
+    return listings.withColumn("url", F.concat(F.lit("https://x.example.com/jobs/"), F.coalesce(tx.slugify(second), F.lit(""))))
+
+
+def _crossed_listings(t):
+    return crossed_urls(t.base_listings)
 
 
 _REASON = f"""
 crossed AS (SELECT * REPLACE ({_OTHER_URL} AS url) FROM base_listings),
 reasons AS (
   SELECT *, CASE
-    WHEN regexp_matches({s.fold("title || ' ' || coalesce(description, '')")}, {s.q(lx.BLOCK_PAGE)}) THEN 'blocked_page'
+    WHEN regexp_matches({s.fold("title || ' ' || substr(coalesce(description, ''), 1, 300)")}, {s.q(lx.BLOCK_PAGE)}) THEN 'blocked_page'
     WHEN regexp_matches({s.fold('title')}, {s.q(lx.NON_LISTING_TITLE)}) OR regexp_matches(lower(url), {s.q(lx.NON_LISTING_URL)}) THEN 'not_a_listing'
     WHEN NOT {_matches('title', 'url')} THEN 'title_url_mismatch' END AS reason
   FROM crossed
@@ -169,11 +172,17 @@ def cleanup_counts(t):
     return an.cleanup_counts(an.cleanup_set(_crossed_listings(t)))
 
 
+GATE_SQL = f"""
+crossed AS (SELECT * REPLACE ({_OTHER_URL} AS url) FROM base_listings),
+gated AS (SELECT count(*) AS total, count(*) FILTER (b) + count(*) FILTER (NOT b AND NOT m) AS bad FROM (
+  SELECT regexp_matches({s.fold("title || ' ' || substr(coalesce(description, ''), 1, 300)")}, {s.q(lx.BLOCK_PAGE)}) AS b, {_matches('title', 'url')} AS m FROM crossed))"""
+
+
 @query("bad_listing_rate", s.with_(s.LISTINGS, _REASON) + f"""
 SELECT total, blocked, crossed, round((blocked + crossed) * 100.0 / total, 6) AS bad_percent,
   CASE WHEN (blocked + crossed) * 100.0 / total < 2 THEN 'ok' WHEN (blocked + crossed) * 100.0 / total < 5 THEN 'warn' ELSE 'fail' END AS verdict
 FROM (SELECT count(*) AS total, count(*) FILTER (b) AS blocked, count(*) FILTER (NOT b AND NOT m) AS crossed FROM (
-  SELECT regexp_matches({s.fold("title || ' ' || coalesce(description, '')")}, {s.q(lx.BLOCK_PAGE)}) AS b, {_matches('title', 'url')} AS m FROM crossed))
+  SELECT regexp_matches({s.fold("title || ' ' || substr(coalesce(description, ''), 1, 300)")}, {s.q(lx.BLOCK_PAGE)}) AS b, {_matches('title', 'url')} AS m FROM crossed))
 """)
 def bad_listing_rate(t):
     return an.bad_listing_rate(_crossed_listings(t)).withColumn("bad_percent", F.round("bad_percent", 6))
