@@ -5,7 +5,7 @@ The global order is the order of 64-bit n-gram hashes, so a fragment is a range
 has an even share of its n-grams in each. Steps:
 
 1. Documents become sets; equal sets are one node, however many copies there are.
-2. In each fragment of the order's first three eighths, n-grams that only one set holds are counted. A set whose own
+2. In each fragment of the order's lower half, n-grams that only one set holds are counted. A set whose own
    n-grams are more than it may miss with any partner links with nothing and leaves; that is nearly all text
    that is no near copy, however many passages it shares.
 3. For the rest, sets that may link hold an equal non-empty fragment: with at most D differences and the first
@@ -29,10 +29,10 @@ WORDS = 4
 PERCENT = 85
 CACHED_WORDS = 300_000
 FLUSH = 500_000
-LONE_EIGHTHS = 3
+LONE_EIGHTHS = 4
 FRAGMENT_POSTINGS = 1_000_000
 SHARED = 2**64 - 1
-CHUNK_SETS, CHUNK_POSTINGS = 256, 300_000
+CHUNK_SETS, CHUNK_POSTINGS = 1024, 600_000
 COLUMN_BLOCK = 4_096
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
