@@ -300,6 +300,58 @@ def evaluate(
     )
 
 
+COMPONENT_LABELS = {
+    "experience": "Deneyim", "role-type": "Kıdem", "education": "Eğitim", "location": "Yer", "language": "Dil", "required-skills": "Aranan beceriler",
+    "preferred-skills": "Tercih edilen beceriler", "experience-relation": "Deneyimin ilgisi", "listing-keywords": "Başlıktaki beceriler",
+}
+
+
+def explained(components: Column, role: Column, who: Column, listing_keywords: Column) -> Column:
+    """`components` of `evaluate` with a label and what was compared: the listing's side, then the profile's.
+
+    Skills that a part's text holds are named, all of them. The detail is never empty, also where a side says nothing.
+    """
+    def told(c: Column) -> Column:
+        return F.when(F.coalesce(c.cast("string"), F.lit("")) != "", c.cast("string")).otherwise("belirtilmemiş")
+
+    def listed(items: Column) -> Column:
+        return told(F.array_join(items, ", "))
+
+    def sides(asked: Column, given: Column) -> Column:
+        return F.concat(F.lit("ilan: "), asked, F.lit("; profil: "), given)
+
+    def years(c: Column) -> Column:
+        return told(F.when(c.isNotNull(), F.concat(c.cast("string"), F.lit(" yıl"))))
+
+    def held(hay: Column, terms: Column) -> Column:
+        found = F.filter(terms, lambda t: (F.length(t) >= 2) & F.contains(hay, t))
+        none = F.concat(F.lit("bulunan yok; profilde "), F.size(terms).cast("string"), F.lit(" beceri"))
+        return F.when(F.size(found) == 0, none).otherwise(F.concat(F.lit("bulunan: "), F.array_join(found, ", ")))
+
+    stated = F.trim(F.concat_ws(" ", role["required_text"], role["preferred_text"]))
+    span = F.when(role["accepts_no_experience"], "deneyimsiz olur").when(
+        role["max_years"].isNotNull(), F.concat_ws("-", role["min_years"], role["max_years"])).otherwise(years(role["min_years"]))
+    details = {
+        "experience": sides(span, years(who["years"])),
+        "role-type": sides(told(role["seniority"]), told(who["seniority"])),
+        "education": sides(listed(F.transform(role["education"], lambda e: e["level"])), told(who["education"])),
+        "location": sides(F.concat_ws(" ", listed(role["locations"]), role["work_mode"]), F.concat_ws(" ", listed(who["locations"]), who["work_mode"])),
+        "language": sides(listed(F.transform(role["languages"], lambda x: F.concat_ws(" ", x["language"], x["level"]))), listed(who["languages"])),
+        "required-skills": held(role["required_text"], who["skills"]),
+        "preferred-skills": held(role["preferred_text"], who["skills"]),
+        "experience-relation": held(stated, who["keywords"]),
+        "listing-keywords": held(tx.normalize(F.array_join(listing_keywords, " ")), who["skills"]),
+    }
+
+    def detail(x: Column) -> Column:
+        return F.coalesce(*[F.when(x["key"] == key, text) for key, text in details.items()])
+
+    return F.transform(components, lambda x: F.struct(
+        x["key"].alias("key"), _lookup(COMPONENT_LABELS, x["key"]).alias("label"), x["earned"].alias("earned"), x["max"].alias("max"),
+        x["status"].alias("status"), detail(x).alias("detail"),
+    ))
+
+
 def listing_role() -> Column:
     """`role` of a listing table with the standard columns."""
     c = F.col

@@ -378,6 +378,31 @@ def eligibility(t):
     )
 
 
+_PARTS = {
+    "experience": ("p_experience", 20), "role-type": ("p_type", 15), "education": ("p_education", 10), "location": ("p_location", 10), "language": ("p_language", 5),
+    "required-skills": ("t_required", 15), "preferred-skills": ("t_preferred", 10), "experience-relation": ("t_relation", 10), "listing-keywords": ("t_keywords", 5),
+}
+_PART_ROWS = " UNION ALL ".join(
+    f"SELECT profile_id, listing_id, {s.q(k)} AS key, round({column}, 4) AS earned, {most} AS max, length({s.q(el.COMPONENT_LABELS[k])}) AS label_chars, true AS told FROM scored"
+    for k, (column, most) in _PARTS.items()
+)
+
+
+@query("score_components", s.with_(*EVALUATED) + _PART_ROWS)
+def score_components(t):
+    """Every part of every pair's score with its label and what was compared."""
+    pairs = cut(retrieved(t).select("profile_id", "listing_id"))
+    roles = of_pairs(t.listings, pairs).filter(F.size("requirements") > 0).select("listing_id", "title", el.listing_role().alias("role"))
+    who = t.profiles.select("profile_id", el.profile_candidate().alias("who"))
+    joined = pairs.join(roles, "listing_id").join(who, "profile_id")
+    parts = F.concat(el.role_components(c("role"), c("who")), el.technical_components(c("role"), c("who"), F.array("title")))
+    told = joined.select("profile_id", "listing_id", F.explode(el.explained(parts, c("role"), c("who"), F.array("title"))).alias("x"))
+    return told.select(
+        "profile_id", "listing_id", "x.key", F.round("x.earned", 4).alias("earned"), "x.max", F.length("x.label").alias("label_chars"),
+        (F.length("x.detail") > 5).alias("told"),
+    )
+
+
 @query("eligibility_audit", s.with_(*EVALUATED) + """
 SELECT profile_id, count(*) AS listings, count(*) FILTER (eligible) AS eligible, CAST(floor(avg(CASE WHEN eligible THEN 1.0 ELSE 0.0 END) * 100 + 0.5) AS INTEGER) AS pass_percent,
   floor(avg(CASE WHEN eligible THEN 1.0 ELSE 0.0 END) * 100 + 0.5) < 10 AS over_rejected FROM evaluated GROUP BY profile_id

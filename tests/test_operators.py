@@ -339,6 +339,27 @@ def test_verdicts(value, blocked, total, empty, failures, want):
     assert value(hl.verdict(*[F.lit(x) for x in (blocked, total, empty, failures)])) == want
 
 
+def test_explained_components(spark):
+    """Each part names both sides and the terms that were found; nothing known still gives a sentence."""
+    listing = spark.createDataFrame(
+        [("Kıdemli Aşçı", "Mutfakta en az 3 yıl deneyim.", ["SQL bilen", "Tercihen Excel bilen"], ["Tecrübe En az 3 yıl tecrübeli"], "Ankara", "onsite"), ("", "", [], [], None, None)],
+        "title string, description string, requirements array<string>, candidate_criteria array<string>, location string, work_mode string")
+    profile = spark.createDataFrame([("senior", None, 5, "lisans", ["İngilizce"], ["Ankara"], "cities", "onsite", ["sql", "excel"], ["aşçı"])],
+        "seniority string, desired_seniority string, years_of_experience int, education_level string, languages array<string>, locations array<string>, location_mode string, "
+        "wanted_mode string, skills array<string>, keywords array<string>")
+    role = listing.select("title", el.listing_role().alias("role"))
+    who = profile.withColumnRenamed("wanted_mode", "work_mode").select(el.profile_candidate().alias("who"))
+    parts = F.concat(el.role_components(c("role"), c("who")), el.technical_components(c("role"), c("who"), F.array("title")))
+    rows = role.crossJoin(who).select("title", el.explained(parts, c("role"), c("who"), F.array("title")).alias("x")).collect()
+    full = {x.key: x for x in next(r for r in rows if r.title).x}
+    assert set(full) == set(el.COMPONENT_LABELS) and all(x.label == el.COMPONENT_LABELS[k] for k, x in full.items())
+    assert full["experience"].detail == "ilan: 3 yıl; profil: 5 yıl" and full["experience"].status == "met"
+    assert full["required-skills"].detail == "bulunan: sql" and full["preferred-skills"].detail == "bulunan: excel"
+    assert "Ankara" in full["location"].detail and "belirtilmemiş" in full["language"].detail
+    bare = next(r for r in rows if not r.title).x
+    assert all(len(x.detail) > 5 for x in bare) and len(bare) == 9
+
+
 def test_select_sources(spark):
     rows = [(f"s{i:02d}", "US" if i % 3 == 0 else "TR", ["ats", "niche-board", "remote-board", "general-board"][i % 4], "active", i + 1, 0.5, ts(i), 1, 1, 2, 1, 0, "tech,genel" if i % 2 else "saglik") for i in range(40)]
     sources = spark.createDataFrame(rows, "name string, country string, source_type string, status string, priority int, reliability double, last_scanned_at timestamp, total_scans int, successful_scans int, new_jobs int, relevant_jobs int, duplicate_jobs int, profession_tags string")
