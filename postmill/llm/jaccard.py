@@ -27,7 +27,7 @@ from postmill.session import cut
 
 WORDS = 4
 PERCENT = 85
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 FLUSH = 500_000
 LONE_EIGHTHS = 4
 FRAGMENT_POSTINGS = 1_000_000
