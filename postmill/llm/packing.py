@@ -18,6 +18,7 @@ CAPACITY = 2048
 END_ID = 0
 EPSILON = 0.15
 MAX_PHASES = 200
+CHUNK_BYTES = 1 << 22
 
 # --- tokens ------------------------------------------------------------------------------
 
@@ -28,7 +29,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id
 
     def cut_up(stream):
         words = word_ids(tokenizer_file)
-        for (doc,), texts in chunks(stream):
+        for (doc,), texts in chunks(stream, size=CHUNK_BYTES):
             ids, bounds = encoded(words, texts, END_ID)
             lengths = np.diff(bounds)
             pieces = -(-lengths // capacity)

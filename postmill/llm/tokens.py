@@ -81,8 +81,8 @@ def encoded(words: WordIds, texts: pa.Array, end_id: int) -> tuple[np.ndarray, n
     return np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
 
 
-def chunks(stream: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[list[pa.Array], pa.Array]]:
-    """(other columns, texts) of about CHUNK_BYTES text each, from batches whose column `text` holds the texts."""
+def chunks(stream: Iterator[pa.RecordBatch], text: int = 1, size: int = CHUNK_BYTES) -> Iterator[tuple[list[pa.Array], pa.Array]]:
+    """(other columns, texts) of about `size` bytes of text each, from batches whose column `text` holds the texts."""
     held, n = [], 0
 
     def joined():
@@ -93,7 +93,7 @@ def chunks(stream: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[li
         if batch.num_rows:
             held.append(batch)
             n += batch.column(text).nbytes
-        if n >= CHUNK_BYTES:
+        if n >= size:
             yield joined()
             held, n = [], 0
     if held:
