@@ -160,6 +160,14 @@ def test_similar_pairs_match_brute_force(spark):
     assert len(want) > 20 and got == want
 
 
+def test_only_the_rarest_words_of_a_set_are_met_by(spark):
+    rows = [(1, "x", [5, 7, 9, 11]), (2, "x", [5, 7, 9, 12]), (3, "x", [5, 9, 20, 21, 22, 23, 24, 25, 26, 27])]
+    sets = spark.createDataFrame(rows, "rep_id long, block string, words array<long>").withColumn("fresh", F.lit(True))
+    got = {r["rep_id"]: r["prefix"].tolist() if hasattr(r["prefix"], "tolist") else list(r["prefix"]) for r in dd._prefixes(sets, 0.72).collect()}
+    # 4 - ceil(2.88) + 1 and 10 - ceil(7.2) + 1 words; those of one set first, then by frequency
+    assert got == {1: [11, 7], 2: [12, 7], 3: [20, 21, 22]}
+
+
 def test_many_copies_emit_no_pairs(spark):
     df = spark.range(1, 3001).select(
         c("id").alias("listing_id"), F.lit("A").alias("platform"), F.lit("Şef").alias("title"), F.lit("Deniz").alias("company"),
