@@ -1,6 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from postmill import lexicon as lx
+from postmill.functions import extract as ex
+from postmill.functions import profile as pf
 from postmill.functions import quality as ql
 from postmill.functions import text as tx
 
@@ -156,3 +159,13 @@ def test_detail_urls(value):
 
     assert check("https://www.x.co/ilan/asci-garson-kurye") and check("https://x.co/abc-12345")
     assert not check("https://x.co/jobs/kurye") and not check("https://x.co/search/abc-def-ghi") and not check("https://y.co/abc-12345")
+
+
+def test_texts_are_normalised_once_for_all_rules(spark):
+    df = spark.createDataFrame([("Ankara, Lisans",)], "t string")
+    for column in (pf.find_location(F.col("t")), pf.normalize_education(F.col("t")), pf.cv_score(F.col("t"), F.lit(1), F.lit(1))["score"]):
+        plan = df.select(column.alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("translate(") == 1
+    rows = spark.createDataFrame([("izmir and Ankara",), ("ankaralar",), (None,)], "t string").coalesce(1)
+    first = next(city for city in lx.CONTACT_CITIES if ex.normalize_py(city) in ("ankara", "izmir"))
+    assert [r[0] for r in rows.select(pf.find_location(F.col("t"))).collect()] == [first, None, None]
