@@ -48,11 +48,15 @@ def known_skills(texts: DataFrame, dictionary: DataFrame, key: str = "listing_id
     phrases = met.join(small(worded), "term").groupBy("listing_id").agg(F.collect_set(F.struct("key", "label")).alias("_met"))
     # the few phrases without words, one short array
     always = signs.agg(F.collect_list(F.struct("key", "label"))).scalar()
-    found = rows.join(phrases, "listing_id", "left").withColumn("_met", F.concat(F.coalesce("_met", F.array().cast("array<struct<key:string,label:string>>")), always))
-    keys = F.array_distinct(F.regexp_extract_all(tx.fold(c("_raw")), _longest_first(c("_met")), F.lit(1)))
-    labels = F.map_from_entries("_met")
-    skills = F.transform(keys, lambda k: F.element_at(labels, k))
-    return found.filter(F.size("_met") > 0).select(c("listing_id").alias(key), skills.alias("skills")).filter(F.size("skills") > 0)
+    every = F.concat(F.coalesce("_met", F.array().cast("array<struct<key:string,label:string>>")), always)
+    # generators run once a row; projections would be computed again by the filters behind them and by every use
+    folded = rows.join(phrases, "listing_id", "left").select("listing_id", F.inline(F.array(F.struct(tx.fold(c("_raw")).alias("_text"), every.alias("_met")))))
+    # most phrases only share a word with the text; what it holds is a short pattern
+    held = folded.select("listing_id", "_text", F.explode(F.array(F.filter("_met", lambda p: F.contains(c("_text"), p["key"])))).alias("_held")).filter(F.size("_held") > 0)
+    keys = F.array_distinct(F.regexp_extract_all("_text", _longest_first(c("_held")), F.lit(1)))
+    read = held.select("listing_id", "_held", F.explode(F.array(keys)).alias("_keys"))
+    labels = F.map_from_entries("_held")
+    return read.select(c("listing_id").alias(key), tx.let(labels, lambda m: F.transform("_keys", lambda k: F.element_at(m, k))).alias("skills"))
 
 
 def counted_skills(texts: DataFrame, dictionary: DataFrame, key: str = "listing_id", text: str = "text") -> DataFrame:
