@@ -128,3 +128,22 @@ def test_texts(value):
     letter = value(pf.cover_letter(lit("D K"), lit("Lezzet"), lit("Aşçı"), none, arr("Excel")))
     assert "(Lezzet)" in letter and "Excel" in letter and "Son görevim" not in letter
     assert value(pf.profile_summary(none, none, lit("Aşçı"), F.array().cast("array<string>"), none)) == "Hedef: Aşçı."
+
+
+def test_split_sides_of_a_noisy_text(spark):
+    """Markers at the start stay, later ones cut; every sentence is on one side."""
+    text = ["Yapay zeka bilen aranıyor; Java tercihen bilinmeli, Yan Haklar sunulur"]
+    row = spark.createDataFrame([(text,)], "x array<string>").select(ex.split_requirements(F.col("x")).alias("s")).first().s
+    assert row.required == ["Yapay zeka bilen aranıyor;"] and row.preferred == ["Java tercihen bilinmeli,"]
+
+
+def test_requirement_lines_of_signs_and_empty_texts(spark, tmp_path):
+    from postmill.plans.tables import Tables
+
+    long = " ".join(f"word{i}" for i in range(25))
+    texts = ["a.b + # c++ long enough here", long, None, "", "."]
+    docs = [(i, text, "en", "src0", 1) for i, text in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.listing_id: r.requirements for r in Tables(spark, str(tmp_path)).listings.select("listing_id", "requirements").collect()}
+    want = long.split()
+    assert got == {0: ["ab c long enough here"], 1: [" ".join(want[:12]), " ".join(want[12:24])], 2: [], 3: [], 4: []}

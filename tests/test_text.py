@@ -169,3 +169,11 @@ def test_texts_are_normalised_once_for_all_rules(spark):
     rows = spark.createDataFrame([("izmir and Ankara",), ("ankaralar",), (None,)], "t string").coalesce(1)
     first = next(city for city in lx.CONTACT_CITIES if ex.normalize_py(city) in ("ankara", "izmir"))
     assert [r[0] for r in rows.select(pf.find_location(F.col("t"))).collect()] == [first, None, None]
+
+
+def test_repeated_lines_are_told_in_one_pass(spark):
+    """40,000 lines of 20,000 texts: comparing every line with all before it would not end in time."""
+    lines = [f"İlan {i % 20000}" if i % 2 else f"ilan {i % 20000}" for i in range(40000)]
+    rows = spark.createDataFrame([(lines,), ([],), (None,), (["b", None, "A", "", "a", "B"],)], "x array<string>").repartition(1)
+    got = [r[0] for r in rows.select(tx.distinct_ignore_case(F.col("x"))).collect()]
+    assert sorted(got, key=lambda x: -1 if x is None else len(x)) == [None, [], ["b", "A"], lines[:20000]]
