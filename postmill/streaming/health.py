@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,19 +30,29 @@ NEVER = (-(1 << 63), -(1 << 63))
 
 def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Runs to one row per source; a success takes back the failures before it at once."""
+    names = [part.split()[0] for part in SUMMARY.split(", ")]
     for runs in batches:
-        rows = []
-        for source, own in runs.sort_values(["us", "event_id"]).groupby("source", sort=False, dropna=False):
-            ok = own["parsed"].to_numpy() > 0
-            places = list(zip(own["us"].tolist(), own["event_id"].tolist()))
-            success = max((p for p, good in zip(places, ok) if good), default=NEVER)
-            failed = [p for p, good in zip(places, ok) if not good and p > success]
-            last = own.iloc[-1]
-            rows.append((
-                source, last["ts"], len(own), int((~ok).sum()), bool((~ok & (own["discovered"] == 0) & (own["searched"] > 0)).any()), *success, *places[-1],
-                last["status"], int(last["parsed"]), int(last["discovered"]), bool(last["blocked"]), [p[0] for p in failed], [p[1] for p in failed],
-            ))
-        yield pd.DataFrame(rows, columns=[part.split()[0] for part in SUMMARY.split(", ")])
+        if runs.empty:
+            continue
+        code, _ = pd.factorize(runs["source"], use_na_sentinel=False)
+        order = np.lexsort((runs["event_id"].to_numpy(), runs["us"].to_numpy(), code))
+        runs, code = runs.iloc[order], code[order]
+        us, ids, ok, at = runs["us"].to_numpy(), runs["event_id"].to_numpy(), runs["parsed"].to_numpy() > 0, np.arange(len(runs))
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        sizes = np.diff(np.r_[first, len(runs)])
+        last = runs.iloc[first + sizes - 1]
+        success = np.maximum.reduceat(np.where(ok, at, -1), first)
+        never, each = success < 0, np.repeat(success, sizes)
+        # after the last success, not in its very place
+        failed = ~ok & (at > each) & ((each < 0) | (us != us[each]) | (ids != ids[each]))
+        cuts = np.cumsum(np.add.reduceat(failed.astype("int64"), first))[:-1]
+        javascript = ~ok & (runs["discovered"].to_numpy() == 0) & (runs["searched"].to_numpy() > 0)
+        columns = (
+            last["source"], last["ts"], sizes, np.add.reduceat((~ok).astype("int64"), first), np.logical_or.reduceat(javascript, first),
+            np.where(never, NEVER[0], us[success]), np.where(never, NEVER[1], ids[success]), last["us"], last["event_id"],
+            last["status"], last["parsed"], last["discovered"], last["blocked"], np.split(us[failed], cuts), np.split(ids[failed], cuts),
+        )
+        yield pd.DataFrame({n: x.array if isinstance(x, pd.Series) else x for n, x in zip(names, columns)})
 
 
 class SourceHealth(StatefulProcessor):
@@ -57,11 +68,13 @@ class SourceHealth(StatefulProcessor):
         self.failed = handle.getListState("failed", "us long, id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = self.counters.get() if self.counters.exists() else None
+        old = self.counters.get()
         total, empty, javascript, *place = (*old[:3], *old[3:7]) if old else (0, 0, False, *NEVER, *NEVER)
         success, newest = tuple(place[:2]), tuple(place[2:])
         last, settled = (old[7:11], old[11]) if old else ((None, 0, 0, False), 0)
-        failed = [tuple(x) for x in self.failed.get()] if self.failed.exists() else []
+        # every question to the state is a message to the JVM: a new source has asked one
+        failed = [tuple(x) for x in self.failed.get()] if old else []
+        kept = bool(failed)
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         before = success
         for batch in rows:
@@ -82,7 +95,7 @@ class SourceHealth(StatefulProcessor):
         ))
         if failed:
             self.failed.put(failed)
-        else:
+        elif kept:
             self.failed.clear()
         moment = lambda place: None if place == NEVER else pd.Timestamp(place[0], unit="us")
         yield pd.DataFrame({
