@@ -1,6 +1,8 @@
+import time
 import uuid
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +183,40 @@ def test_reused_searches_equal_the_batch_job(spark, log, tmp_path):
     got = {r.search_id: r.reused_id for r in spark.read.parquet(path).filter(c("ts") <= F.lit(mark)).collect()}
     batch = ru.reusable_results(searches(log[0])).filter(c("reused_id").isNotNull() & (c("ts") <= F.lit(mark)))
     assert got == {r.search_id: r.reused_id for r in batch.collect()} and len(got) > 100
+
+
+def test_reuse_of_one_very_common_search(spark, tmp_path):
+    """300,000 searches of one fingerprint within nine hours: ten thousand million pairs, none of them is made."""
+    rows = spark.range(300_000).select(
+        c("id").alias("search_id"), F.lit("f").alias("fingerprint"), F.lit(None).cast("long").alias("user_id"), F.timestamp_seconds(1_704_067_200 + F.floor(c("id") / 9)).alias("ts"),
+        F.lit(True).alias("completed"), (c("id") % 3 > 0).alias("is_copy"), F.lit(1).alias("result_count"),
+    )
+    rows.unionByName(rows.filter("search_id = 0").withColumn("search_id", F.lit(-1).cast("long")).withColumn("ts", c("ts") + F.expr("INTERVAL 2 DAYS"))).write.parquet(str(tmp_path / "in"))
+    path = str(tmp_path / "out")
+    st.run_to_table(st.reused_searches(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))), path)
+    got = spark.read.parquet(path)
+    assert got.count() == 299_999 and got.filter("reused_id <> search_id - 1 - (search_id + 2) % 3").isEmpty()
+
+
+def test_reuse_without_ids(spark):
+    """Within a moment an id without value is neither before nor after another."""
+    import pyarrow as pa
+
+    rows = [dict(us=5, id=None, asked=True, usable=True), dict(us=5, id=3, asked=True, usable=True), dict(us=5, id=4, asked=True, usable=False),
+            dict(us=7, id=None, asked=True, usable=True), dict(us=9, id=1, asked=True, usable=False), dict(us=9, id=1, asked=True, usable=False)]
+    batch = pa.RecordBatch.from_pylist([{"rows": rows}, {"rows": rows[2:3]}], pa.schema([("rows", pa.list_(pa.struct([("us", pa.int64()), ("id", pa.int64()), ("asked", pa.bool_()), ("usable", pa.bool_())])))]))
+    [out] = st._newest_before(iter([batch]))
+    assert sorted((r["us"], str(r["search_id"]), r["reused_id"], r["done_us"]) for r in out.to_pylist()) == [(5, "4", 3, 5), (7, "None", 3, 5), (9, "1", None, 7)]
+
+
+def test_runs_of_very_many_sources_shrink_at_once():
+    n = 60_000
+    runs = pd.DataFrame({
+        "source": [i % 20_000 for i in range(n)], "ts": pd.to_datetime(range(n), unit="s"), "us": range(n), "event_id": range(n), "status": "x",
+        "parsed": [int(i // 20_000 == 1) for i in range(n)], "discovered": 0, "searched": 1, "blocked": False,
+    })
+    started = time.monotonic()
+    [out] = sh._summaries(iter([runs]))
+    assert time.monotonic() - started < 8
+    one = out[out["source"] == 7].iloc[0]
+    assert len(out) == 20_000 and (one.total_runs, one.empty_runs, one.ok_us, one.at_id) == (3, 2, 20_007, 40_007) and list(one.failed_us) == [40_007]
