@@ -42,11 +42,13 @@ def new_matches(
     c = F.col
     recent = listings.filter(F.unix_micros(now) - F.unix_micros("first_seen_at") <= window_hours * 3_600_000_000)
     groups = dd.duplicate_groups(recent, with_similarity).select("listing_id", "group_id")
-    roles = recent.select(
+    retrieved = rt.retrieve(profiles, listings) if retrieved is None else retrieved
+    # only what some profile retrieved is parsed, however many listings are new
+    asked = recent.join(retrieved.select("listing_id").distinct(), "listing_id", "left_semi")
+    roles = asked.select(
         "listing_id", "title", canonical_key().alias("canonical_key"), el.listing_role().alias("role"),
         dd.listing_richness().alias("richness"),
     ).join(groups, "listing_id")
-    retrieved = rt.retrieve(profiles, listings) if retrieved is None else retrieved
     pairs = retrieved.select("profile_id", "listing_id").join(roles, "listing_id")
     one = Window.partitionBy("profile_id", "group_id").orderBy(F.desc("richness"), "listing_id")
     fresh = (
@@ -56,7 +58,8 @@ def new_matches(
     who = profiles.select("profile_id", el.profile_candidate().alias("who")).join(thresholds, "profile_id")
     verdict = el.evaluate(c("role"), c("who"), F.array("title"), True, home_cities)
     good = (
-        fresh.join(who, "profile_id").withColumn("v", verdict)
+        # a generator, so that the filter doesn't evaluate every pair again
+        fresh.join(who, "profile_id").select("profile_id", "listing_id", "canonical_key", "match_min", F.explode(F.array(verdict)).alias("v"))
         .filter(c("v.eligible") & (c("v.total") >= F.greatest(c("match_min"), F.lit(lx.DIGEST_FLOOR))))
         .select("profile_id", "listing_id", "canonical_key", c("v.total").alias("total"))
     )
