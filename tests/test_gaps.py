@@ -50,3 +50,13 @@ def test_gap_report_meets_all_retrieved_pairs(spark):
         skills = [w for w in held[i] if not any(len(o) > len(w) and w in o for o in held[i])]
         want |= {(p, i, w) for w in skills if not proven(p, w)}
     assert got == want and len({i for _, i, _ in got}) > len(declared)
+
+
+def test_lines_of_a_long_listing_meet_what_is_missing_once(spark):
+    """20,000 distinct lines: a gap is looked up by sorting, not by comparing all with all."""
+    lines = [f"Go gerekli {i}" for i in range(20_000)] + ["go GEREKLI 3 zorunlu", "Go gerekli: 3"]
+    rows = spark.createDataFrame([(["go", "sql"], lines)], "skills array<string>, requirements array<string>")
+    terms = F.struct(F.col("skills"), F.col("requirements"))
+    found = rows.select(pf.gaps(terms, F.lit("sql"), F.array(F.lit("sql"))).alias("g")).first().g
+    assert len(found) == 20_002 and [(g.requirement, g.severity, g.missing) for g in found[:2]] == [("go", "critical", ["go"]), ("Go gerekli 0", "nice-to-have", ["go"])]
+    assert found[-1].requirement == "go GEREKLI 3 zorunlu" and found[-1].severity == "critical"
