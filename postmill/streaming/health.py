@@ -37,14 +37,17 @@ def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code, _ = pd.factorize(runs["source"], use_na_sentinel=False)
         order = np.lexsort((runs["event_id"].to_numpy(), runs["us"].to_numpy(), code))
         runs, code = runs.iloc[order], code[order]
-        us, ids, ok, at = runs["us"].to_numpy(), runs["event_id"].to_numpy(), runs["parsed"].to_numpy() > 0, np.arange(len(runs))
+        # a run without time has no place: it counts in the totals, but is no success and no failure of a streak
+        timed = runs["us"].notna().to_numpy()
+        us, ids, ok, at = runs["us"].fillna(0).to_numpy("int64"), runs["event_id"].to_numpy(), runs["parsed"].to_numpy() > 0, np.arange(len(runs))
         first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
         sizes = np.diff(np.r_[first, len(runs)])
         last = runs.iloc[first + sizes - 1]
-        success = np.maximum.reduceat(np.where(ok, at, -1), first)
+        success = np.maximum.reduceat(np.where(ok & timed, at, -1), first)
         never, each = success < 0, np.repeat(success, sizes)
-        # after the last success, not in its very place
-        failed = ~ok & (at > each) & ((each < 0) | (us != us[each]) | (ids != ids[each]))
+        lost = np.repeat(never & np.logical_or.reduceat(ok & ~timed, first), sizes)
+        # after the last success, not in its very place; where all successes are without time, no failure is known to follow
+        failed = ~ok & timed & ~lost & (at > each) & ((each < 0) | (us != us[each]) | (ids != ids[each]))
         cuts = np.cumsum(np.add.reduceat(failed.astype("int64"), first))[:-1]
         javascript = ~ok & (runs["discovered"].to_numpy() == 0) & (runs["searched"].to_numpy() > 0)
         columns = (

@@ -220,3 +220,14 @@ def test_runs_of_very_many_sources_shrink_at_once():
     assert time.monotonic() - started < 8
     one = out[out["source"] == 7].iloc[0]
     assert len(out) == 20_000 and (one.total_runs, one.empty_runs, one.ok_us, one.at_id) == (3, 2, 20_007, 40_007) and list(one.failed_us) == [40_007]
+
+
+def test_runs_without_time_count_in_the_totals_only():
+    runs = pd.DataFrame({
+        "source": [1, 1, 1, 2, 2, 3], "ts": pd.to_datetime([1, 2, None, None, 3, 4], unit="s"), "us": [1e6, 2e6, None, None, 3e6, 4e6], "event_id": range(6), "status": "x",
+        "parsed": [1, 0, 0, 1, 0, 0], "discovered": 0, "searched": 1, "blocked": False,
+    })
+    [out] = sh._summaries(iter([runs]))
+    assert [(r.total_runs, r.empty_runs, r.ok_us, list(r.failed_us)) for r in out.itertuples()] == [
+        (3, 2, 10**6, [2 * 10**6]), (2, 1, sh.NEVER[0], []), (1, 1, sh.NEVER[0], [4 * 10**6])]
+    assert out["at_us"].isna().tolist() == [True, True, False]
