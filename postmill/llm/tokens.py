@@ -42,12 +42,19 @@ class WordIds(dict):
         letters = word.isalpha() and max(word) < LATIN_END
         if letters and (low := word.lower()) != word:
             return self[low]
+        return self._kept(word, letters)
+
+    def letters(self, word: str) -> bytes:
+        """Ids of a word known to be lower-case Latin-1 letters."""
+        ids = self.get(word)
+        return self._kept(word, True) if ids is None else ids
+
+    def _kept(self, word: str, letters: bool) -> bytes:
         if 2 * len(self) >= CACHED_WORDS:
             self.older = dict(self)
             self.clear()
-        if word in self.older:
-            ids = self.older[word]
-        else:
+        ids = self.older.get(word)
+        if ids is None:
             ids = self._letters(word) if letters else array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
         if len(word) <= 64:
             self[word] = ids
@@ -62,21 +69,51 @@ def word_ids(tokenizer_file: str) -> WordIds:
     return WordIds(Tokenizer.from_file(tokenizer_file))
 
 
+#: White space that parts words beside the blank.
+BREAKS = "\n"
+#: What `str.isalpha` takes below LATIN_END.
+LATIN = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+
+
+def _gather(table: np.ndarray, sizes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, ends): the pieces `of` of a table whose k-th piece has sizes[k] entries."""
+    first = np.cumsum(sizes) - sizes
+    size = sizes[of]
+    ends = np.cumsum(size)
+    return table[np.repeat(first[of] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+def _distinct_ids(words: WordIds, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(table, sizes): ids of every word. Words of Latin-1 letters with signs behind them, nearly all, are parted in Arrow."""
+    core = pc.utf8_rtrim(distinct, SIGNS)
+    plain = pc.match_substring_regex(core, LATIN).to_numpy(zero_copy_only=False)
+    mask = pa.array(plain)
+    cores = core.filter(mask)
+    lows = pc.utf8_lower(cores).dictionary_encode()
+    behind = [word[n:] for word, n in zip(distinct.filter(mask).to_pylist(), pc.utf8_length(cores).to_pylist())]
+    tails = pa.array(behind, pa.string()).dictionary_encode()
+    others = distinct.filter(pa.array(~plain)).to_pylist()
+    own = [words.letters(low) for low in lows.dictionary.to_pylist()]
+    after = [words[tail] if tail else b"" for tail in tails.dictionary.to_pylist()]
+    pieces = own + after + [words[word] for word in others] + [b""]
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+    of = np.full((len(distinct), 2), len(pieces) - 1)
+    of[plain, 0] = lows.indices.to_numpy()
+    of[plain, 1] = tails.indices.to_numpy() + len(own)
+    of[~plain, 0] = np.arange(len(others)) + len(own) + len(after)
+    table, _ = _gather(np.frombuffer(b"".join(pieces), "<u4"), sizes, of.ravel())
+    return table, sizes[of].sum(axis=1)
+
+
 def encoded(words: WordIds, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, bounds): text k has ids[bounds[k]:bounds[k + 1]], the end id last; null is empty.
 
     Arrow splits the texts and numbers the distinct words, so Python touches each distinct word once.
     """
-    parts = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), BREAKS, " "), " ")
     coded = parts.flatten().dictionary_encode()
-    own = [words[word] for word in coded.dictionary.to_pylist()]
-    table = np.frombuffer(b"".join(own), "<u4")
-    sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
-    first = np.cumsum(sizes) - sizes
-    word = coded.indices.to_numpy()
-    size = sizes[word]
-    ends = np.cumsum(size)
-    ids = table[np.repeat(first[word] - (ends - size), size) + np.arange(len(word) and ends[-1])]
+    table, sizes = _distinct_ids(words, coded.dictionary)
+    ids, ends = _gather(table, sizes, coded.indices.to_numpy())
     bounds = np.concatenate(([0], ends))[parts.offsets.to_numpy()]
     return np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
 
