@@ -157,11 +157,11 @@ class _Elements(HTMLParser):
 _STEP = re.compile(r'^(\w+)?(?:\.([\w-]+))?(?:\[([\w-]+)(?:(\*?=)"([^"]*)")?\])?$')
 
 
-def _fits(element: dict, step: str) -> bool:
-    tag, cls, name, op, value = _STEP.match(step).groups()
-    attrs = element["attrs"]
+def _fits(element: dict, step: tuple) -> bool:
+    tag, cls, name, op, value = step
     if tag and element["tag"] != tag:
         return False
+    attrs = element["attrs"]
     if cls and cls not in (attrs.get("class") or "").split():
         return False
     if name:
@@ -171,9 +171,8 @@ def _fits(element: dict, step: str) -> bool:
     return True
 
 
-def _first_text(elements: list[dict], selectors: list[str]) -> str | None:
-    for selector in selectors:
-        *above, last = selector.split()
+def _first_text(elements: list[dict], selectors: list[list[tuple]]) -> str | None:
+    for *above, last in selectors:
         for element in elements:
             if _fits(element, last) and all(any(_fits(up, s) for up in element["up"]) for s in above):
                 attrs = element["attrs"]
@@ -189,6 +188,7 @@ def select_fields(pages: DataFrame, selectors: dict[str, list[str]] = lx.FIELD_S
     """Pages with one `sel_<field>` column per selector list; runs in Arrow batches."""
     fields = list(selectors)
     names = pages.columns
+    steps = {f: [[_STEP.match(step).groups() for step in selector.split()] for selector in selectors[f]] for f in fields}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -197,7 +197,7 @@ def select_fields(pages: DataFrame, selectors: dict[str, list[str]] = lx.FIELD_S
                 parser = _Elements()
                 parser.feed(html or "")
                 for f in fields:
-                    found[f].append(_first_text(parser.elements, selectors[f]))
+                    found[f].append(_first_text(parser.elements, steps[f]))
             yield batch.assign(**{f"sel_{f}": pd.Series(v, index=batch.index, dtype=object) for f, v in found.items()})
 
     schema = ", ".join([f"`{x}` {t}" for x, t in pages.dtypes] + [f"sel_{f} string" for f in fields])
@@ -207,9 +207,10 @@ def select_fields(pages: DataFrame, selectors: dict[str, list[str]] = lx.FIELD_S
 def pages_to_listings(pages: DataFrame, selectors: dict[str, list[str]] = lx.FIELD_SELECTORS) -> DataFrame:
     """Usable listings: JSON-LD first, then selectors with meta title and page text as fallback."""
     c = F.col
-    rows = select_fields(pages, selectors).withColumn("ld", json_ld_posting(c("html"))).withColumn(
-        "page_text", tx.clean_html(F.regexp_replace("html", r"(?is)^.*?<body\b", "<body"))
-    )
+    # generators run once a page; projections would be computed again by the filter on usable pages and by every use
+    page_text = tx.clean_html(F.regexp_replace("html", r"(?is)^.*?<body\b", "<body"))
+    read = F.struct(json_ld_posting(c("html")).alias("ld"), page_text.alias("page_text"))
+    rows = select_fields(pages, selectors).select("*", F.inline(F.array(read)))
     ld_title, ld_text = tx.cleanup_title(c("ld.title")), tx.clean_html(tx.clean_html(c("ld.description")))
     use_ld = c("ld").isNotNull() & ql.is_usable_detail(ld_title, ld_text, c("url"))
     own = tx.cleanup_title(c("sel_title"))
@@ -217,7 +218,7 @@ def pages_to_listings(pages: DataFrame, selectors: dict[str, list[str]] = lx.FIE
     title = F.when(trusted, own).otherwise(F.coalesce(tx.cleanup_title(meta_title(c("html"))), own))
     block = tx.clean_html(c("sel_description"))
     body = F.when(F.length(block) > 120, block).otherwise(c("page_text"))
-    basis = rows.select(
+    basis = rows.select(F.inline(F.array(F.struct(
         *[x for x in ("platform", "category", "source_query") if x in rows.columns], "url",
         F.when(use_ld, ld_title).otherwise(title).alias("title"),
         F.when(use_ld, tx.cleanup_company(c("ld.hiringOrganization.name"))).otherwise(tx.cleanup_company(c("sel_company"))).alias("company"),
@@ -229,7 +230,7 @@ def pages_to_listings(pages: DataFrame, selectors: dict[str, list[str]] = lx.FIE
         F.when(use_ld, ld_text).otherwise(body).alias("description"),
         F.when(use_ld, ld_text).otherwise(c("page_text")).alias("section_text"),
         F.when(use_ld, c("ld.datePosted")).otherwise(c("sel_date")).alias("posted_text"),
-    )
+    ))))
     usable = basis.filter(ql.is_usable_detail(c("title"), c("description"), c("url")))
     shaped = usable.select(
         *[c(x) if x in basis.columns else F.lit(None).cast("string").alias(x) for x in ("platform", "category")],
