@@ -112,15 +112,17 @@ def read_feeds(spark: SparkSession, folder: str, registry: DataFrame, tokens: li
     name = F.trim(F.regexp_replace("source", "(?i)^(greenhouse|lever):\\s*", ""))
     tags = F.when(board == "remoteok-api", F.array_join(F.coalesce(F.try_variant_get(c("item")["json"], "$.tags", "array<string>"), F.array().cast("array<string>")), " "))
     none = F.array().cast("array<string>")
-    rows = items.select("*", title.alias("_title")).select(
+    # generators run once an item; projections would be computed again by the filters on what they give
+    made = F.struct(
         c("source").alias("platform"), F.lit("tech").alias("category"), _field("id").alias("external_id"),
         F.when(two_part, F.trim(F.substring("_title", cut + 1, F.length("_title")))).otherwise(c("_title")).alias("title"),
         F.when(two_part, F.trim(F.substring("_title", F.lit(1), cut - 1))).when(board == "remoteok-api", _optional(_text(_field("company"))))
         .when(board != RSS, name).alias("company"),
         F.coalesce(_optional(_text(_field("location"))), F.when(remote, "Remote")).alias("location"), F.when(remote, "remote").alias("work_mode"),
         _text(F.coalesce(_field("description"), _field("other_description"))).alias("_description"), none.alias("requirements"), none.alias("candidate_criteria"),
-        _text(_field("url")).alias("url"), F.lit(" ".join(tokens[:3])).alias("source_query"), _posted().alias("posted_at"), tags.alias("_tags"), "pos", "country",
+        _text(_field("url")).alias("url"), F.lit(" ".join(tokens[:3])).alias("source_query"), _posted().alias("posted_at"), tags.alias("_tags"),
     )
+    rows = items.select("*", F.explode(F.array(title)).alias("_title")).select("pos", "country", F.inline(F.array(made)))
     complete = (F.coalesce("title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != "")
     wanted = ql.matches_any_token(F.concat_ws(" ", "title", "_tags", "_description"), tx.lit_array(tokens))
     kept = rows.filter(complete & wanted).withColumn("description", F.when(c("_description") != "", c("_description")).otherwise(c("title")))
