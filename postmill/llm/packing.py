@@ -11,37 +11,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.common import bound_batches, fresh, join_small, ranked
-from postmill.llm.tokens import chunks, encoded, word_ids
+from postmill.llm.tokens import WordIds, chunks, encoded, word_ids
 from postmill.session import cut
 
 CAPACITY = 2048
 END_ID = 0
 EPSILON = 0.15
 MAX_PHASES = 200
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
 
 # --- tokens ------------------------------------------------------------------------------
 
 
+def cut_pieces(stream, words: WordIds, capacity: int):
+    """Batches of pieces from batches of (id, text).
+
+    Little text at a time, and Arrow's free memory goes back after each: Python workers live on, and what one still holds
+    counts beside everything that its executor runs later.
+    """
+    for (doc,), texts in chunks(stream, size=CHUNK_BYTES):
+        ids, bounds = encoded(words, texts, END_ID)
+        lengths = np.diff(bounds)
+        pieces = -(-lengths // capacity)
+        of = np.repeat(np.arange(len(lengths)), pieces)
+        piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = piece * capacity
+        length = np.minimum(capacity, lengths[of] - start)
+        first = bounds[of] + start
+        data = ids.astype("<u4", copy=False)
+        sums = [zlib.crc32(data[a : a + n]) for a, n in zip(first.tolist(), length.tolist())]
+        columns = [doc.take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(sums, pa.int64())]
+        yield pa.record_batch(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        del ids, bounds, data, columns
+        pa.default_memory_pool().release_unused()
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): only documents over `capacity` ids are cut, at its multiples."""
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
     def cut_up(stream):
-        words = word_ids(tokenizer_file)
-        for (doc,), texts in chunks(stream, size=CHUNK_BYTES):
-            ids, bounds = encoded(words, texts, END_ID)
-            lengths = np.diff(bounds)
-            pieces = -(-lengths // capacity)
-            of = np.repeat(np.arange(len(lengths)), pieces)
-            piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            start = piece * capacity
-            length = np.minimum(capacity, lengths[of] - start)
-            first = bounds[of] + start
-            data = ids.astype("<u4", copy=False)
-            sums = [zlib.crc32(data[a : a + n]) for a, n in zip(first.tolist(), length.tolist())]
-            columns = [doc.take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(sums, pa.int64())]
-            yield pa.record_batch(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        yield from cut_pieces(stream, word_ids(tokenizer_file), capacity)
 
     return bound_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut_up, schema)
 
