@@ -147,3 +147,8 @@ def test_requirement_lines_of_signs_and_empty_texts(spark, tmp_path):
     got = {r.listing_id: r.requirements for r in Tables(spark, str(tmp_path)).listings.select("listing_id", "requirements").collect()}
     want = long.split()
     assert got == {0: ["ab c long enough here"], 1: [" ".join(want[:12]), " ".join(want[12:24])], 2: [], 3: [], 4: []}
+
+
+def test_all_profile_links_are_kept(value):
+    links = [f"github.com/person{k}" for k in range(9)]
+    assert value(pf.contact_fields(lit("\n".join(links)))).links == links
