@@ -152,3 +152,14 @@ def test_requirement_lines_of_signs_and_empty_texts(spark, tmp_path):
 def test_all_profile_links_are_kept(value):
     links = [f"github.com/person{k}" for k in range(9)]
     assert value(pf.contact_fields(lit("\n".join(links)))).links == links
+
+
+def test_structured_cv_keeps_every_entry(value):
+    jobs = [line for k in range(15) for line in (f"Uzman{k} - Firma{k} 2001 - 2002", *([f"• Madde {k} {j}" for j in range(14)] if k == 14 else []))]
+    many = {"DENEYİM": jobs, "EĞİTİM": [f"Bölüm{k} - Okul{k} 2001 - 2002" for k in range(11)], "BECERİLER": [", ".join(f"beceri{k}" for k in range(70))],
+            "DİLLER": [f"Dil{k} (B2)" for k in range(13)], "PROJELER": [f"Proje{k}: ayrıntı" for k in range(13)], "ÖZET": ["kelime " * 300],
+            "SERTİFİKALAR": [f"Belge {k}" for k in range(25)], "HOBİLER": [f"İlgi {k}" for k in range(18)]}
+    cv = value(pf.structured_cv(lit("\n".join(x for head, body in many.items() for x in (head, *body)))))
+    assert [e["role"] for e in cv["experience"]] == [f"Uzman{k}" for k in range(15)] and len(cv["experience"][14]["bullets"]) == 14
+    assert [len(cv[n]) for n in ("education", "skills", "languages", "projects", "certifications", "extras")] == [11, 70, 13, 13, 25, 18]
+    assert len(cv["summary"]) > 900
