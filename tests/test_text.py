@@ -177,3 +177,25 @@ def test_repeated_lines_are_told_in_one_pass(spark):
     rows = spark.createDataFrame([(lines,), ([],), (None,), (["b", None, "A", "", "a", "B"],)], "x array<string>").repartition(1)
     got = [r[0] for r in rows.select(tx.distinct_ignore_case(F.col("x"))).collect()]
     assert sorted(got, key=lambda x: -1 if x is None else len(x)) == [None, [], ["b", "A"], lines[:20000]]
+
+
+RULES = [p for rules in (lx.PROFILE_EDUCATION_PATTERNS, lx.LANGUAGE_NAMES, lx.TITLE_RULES, lx.INDUSTRY_RULES, lx.CV_SENIORITY_PATTERNS) for p, _ in rules]
+
+
+def test_found_equals_rlike(spark):
+    """Every rule, and patterns of other shapes, on texts that hold their strings whole, cut and run together."""
+    shapes = [r"[^\s@]+@[^\s@]+\.[^\s@]+", "a|b*", "ab?c|x", "(ab|c)d", "ab+c", r"\bcd\b", "^abc", "(?i)cd", "a{2}b", "[|]x|y", r"\Qa|b\E", "x(?=y)"]
+    words = sorted({w for p in RULES for w in (tx.needles(p) or ([], False))[0]})
+    texts = [None, "", "a b@c.de x", "abc acd cd xcdx", "aab |x y xy", "CD a|b", "on yuz onyuz full stack eticaret e-ticaret", "  \t", *words,
+             *[f"x{w}x" for w in words], *[w[:-1] for w in words], *[f"{a} {b}" for a, b in zip(words, words[1:])]]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in RULES + shapes:
+        different = rows.filter(~tx.found(F.col("t"), pattern).eqNullSafe(F.col("t").rlike(pattern)))
+        assert different.count() == 0, pattern
+
+
+def test_a_cv_is_searched_by_few_patterns(spark):
+    """A text is normalised once and years are sought once; rules of plain words alone need no pattern."""
+    plan = spark.range(1).select(pf.heuristic_profile(F.col("id").cast("string")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(yil|year)") == 1 and plan.count("[a-z0-9+#.]+") == 1
+    assert "RLIKE doktora" not in plan and "RLIKE react native" not in plan
