@@ -5,15 +5,22 @@ Dictionary: label (spelling to return) and, optionally, `place` (smaller wins wh
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postmill.functions import extract as ex
 from postmill.functions import text as tx
 from postmill.operators.analytics import skill_status
 from postmill.operators.retrieve import met_texts
 from postmill.session import cut, small
 
 SHORTEST = 2
+#: Phrases up to which a text is searched for all of them at once, by a tree of their letters.
+TREE_PHRASES = 50_000
 
 
 def phrase_index(dictionary: DataFrame) -> DataFrame:
@@ -34,14 +41,51 @@ def _longest_first(phrases: Column) -> Column:
 def known_skills(texts: DataFrame, dictionary: DataFrame, key: str = "listing_id", text: str = "text") -> DataFrame:
     """(key, skills): phrases found reading each text left to right, longest first, each once, in order of appearance.
 
-    Equal to `functions.extract.known_skills`, which holds its dictionary in the plan. Here words of the texts meet words of
-    the phrases in joins, which leave every text the few phrases that can stand in it; only those are searched for, so the
-    cost of a text doesn't grow with the dictionary. Texts without any phrase, null texts included, give no row; keys are unique.
-    Phrases of signs alone have no words to be looked up by; every text is searched for them.
+    Equal to `functions.extract.known_skills`, which holds its dictionary in the plan. Phrases that are counted to be few enough
+    are one tree of letters, which a text is read along where it lies: nothing is shuffled, and a place costs the letters that
+    phrases share with it, however many they are. A larger dictionary meets the texts word by word.
+    Texts without any phrase, null texts included, give no row; keys are unique. A text without key is searched for phrases
+    of signs alone.
     """
     c = F.col
     rows = texts.filter(c(text).isNotNull()).select(c(key).alias("listing_id"), c(text).alias("_raw"))
     index = cut(phrase_index(dictionary))
+    few = index.count() <= TREE_PHRASES
+    return (_read_along_tree if few else _meet_words)(rows, index).select(c("listing_id").alias(key), "skills")
+
+
+def _read_along_tree(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """`known_skills` by one pattern for all phrases; it is a row of a table, not a part of the plan."""
+    c, phrases = F.col, index.collect()
+    trees = [ex.tree_pattern([p.key for p in some]) for some in (phrases, [p for p in phrases if not p.term])]
+    every, signs = rows.sparkSession.createDataFrame([tuple(t or None for t in trees)], "every string, signs string"), F.lit(None)
+    if trees[1]:
+        signs = every.select("signs").scalar()
+    pattern = F.when(c("listing_id").isNotNull(), every.select("every").scalar()).otherwise(signs)
+    # generators run once a row; projections would be computed again by the filter behind them
+    keys = F.array_distinct(F.regexp_extract_all(tx.fold(c("_raw")), pattern, F.lit(0)))
+    read = rows.select("listing_id", F.explode(F.array(keys)).alias("skills")).filter(F.size("skills") > 0)
+    spellings = {p.key: p.label for p in phrases if p.key != p.label}
+    if not spellings:
+        return read
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, labels = pa.array(list(spellings), pa.string()), pa.array(list(spellings.values()), pa.string())
+        for batch in batches:
+            found = batch.column("skills")
+            words = found.flatten()
+            words = pc.coalesce(labels.take(pc.index_in(words, value_set=known)), words)
+            starts = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(pc.list_value_length(found)).cast(pa.int32())])
+            yield pa.RecordBatch.from_arrays([batch.column("listing_id"), pa.ListArray.from_arrays(starts, words)], names=["listing_id", "skills"])
+
+    return read.mapInArrow(spelled, read.schema)
+
+
+def _meet_words(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """`known_skills` by joins of the words of texts and phrases, which leave every text the few phrases that can stand in it;
+    only those are searched for, so the cost of a text doesn't grow with the dictionary. Phrases of signs alone have no words
+    to be looked up by; every text is searched for them."""
+    c = F.col
     worded, signs = index.filter("term <> ''"), index.filter("term = ''")
     met = met_texts(rows.select("listing_id", tx.normalize(c("_raw")).alias("text")), worded.select("term"))
     # the words of a text are still together, so its phrases are one row before they are shuffled
@@ -56,7 +100,7 @@ def known_skills(texts: DataFrame, dictionary: DataFrame, key: str = "listing_id
     keys = F.array_distinct(F.regexp_extract_all("_text", _longest_first(c("_held")), F.lit(1)))
     read = held.select("listing_id", "_held", F.explode(F.array(keys)).alias("_keys"))
     labels = F.map_from_entries("_held")
-    return read.select(c("listing_id").alias(key), tx.let(labels, lambda m: F.transform("_keys", lambda k: F.element_at(m, k))).alias("skills"))
+    return read.select("listing_id", tx.let(labels, lambda m: F.transform("_keys", lambda k: F.element_at(m, k))).alias("skills"))
 
 
 def counted_skills(texts: DataFrame, dictionary: DataFrame, key: str = "listing_id", text: str = "text") -> DataFrame:

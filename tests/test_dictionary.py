@@ -8,6 +8,8 @@ from postmill.functions import extract as ex
 from postmill.functions import text as tx
 from postmill.operators import analytics as an
 from postmill.operators import dictionary as dc
+from postmill.plans.matching_queries import dictionary_skills
+from postmill.plans.tables import Tables
 
 c = F.col
 
@@ -82,3 +84,23 @@ def test_empty_sides(spark):
     assert dc.known_skills(texts, table(spark, [])).count() == 0
     assert dc.known_skills(texts.limit(0), table(spark, ["SQL"])).count() == 0
     assert texts.select(tx.normalize(c("text"))).count() == 1
+
+
+def test_words_meet_where_the_dictionary_is_large(spark, monkeypatch):
+    """The tree and the joins find the same, texts without key and keys that repeat included."""
+    texts = sample(spark, TERMS).unionByName(spark.createDataFrame([(None, "sql && react"), (3, "sql %%"), (3, "sql %%"), (5, "nothing")], "listing_id long, text string"))
+    by_tree = dc.known_skills(texts, table(spark, TERMS))
+    assert "Exchange" not in by_tree._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(dc, "TREE_PHRASES", 3)
+    by_words = dc.known_skills(texts, table(spark, TERMS))
+    assert sorted(map(str, by_tree.collect())) == sorted(map(str, by_words.collect()))
+    assert [r.skills for r in by_tree.collect() if r.listing_id is None] == [["&&"]]
+
+
+def test_every_word_of_the_profiles_is_sought(spark, tmp_path):
+    """Words of two letters and more, not only long ones."""
+    spark.createDataFrame([(1, "Go und die Arbeitswelt x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, "Go!"), (2, "die Arbeitswelt, und"), (3, "x"), (4, None)]
+    spark.createDataFrame([(k, t, "de", "src1", len(t or "")) for k, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.skills for r in dictionary_skills(Tables(spark, str(tmp_path))).collect()}
+    assert found == {1: "go", 2: "die arbeitswelt|und"}
