@@ -160,6 +160,48 @@ def test_similar_pairs_match_brute_force(spark):
     assert len(want) > 20 and got == want
 
 
+def near_copies(spark, n, seed=4):
+    """Texts that share most words with their like, some alone; every fifth row comes twice."""
+    rng = random.Random(seed)
+    vocabulary, rows = [f"sozcuk{i:03d}" for i in range(400)], []
+    bases = [rng.sample(vocabulary, 60) for _ in range(4)]
+    for k in range(n):
+        words = list(rng.choice(bases)) if rng.random() < 0.9 else rng.sample(vocabulary, rng.randrange(40, 80))
+        for _ in range(rng.randrange(7)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        rows.append(("A", "x", rng.choice(["Deniz", "Lezzet"]), rng.choice(["Bursa", "İzmir", None]), " ".join(words), f"https://a/{k}"))
+    df = listings(spark, *rows)
+    return df.unionByName(df.filter("listing_id % 5 = 0"))
+
+
+def test_pairs_do_not_depend_on_cells_tiles_and_broadcasts(spark, monkeypatch):
+    df = near_copies(spark, 70)
+    keys = dd.content_keys(df)
+    want = sorted(map(tuple, dd.similar_pairs(dd.content_groups(df, keys)).collect()))
+    for name, value in (("CELL_PLACES", 300), ("HELD_PAIRS", 50), ("TILE_SETS", 12), ("SMALL_REPS", 20)):
+        monkeypatch.setattr(dd, name, value)
+    groups = dd.content_groups(df, keys)
+    assert sorted(map(tuple, dd.similar_pairs(groups).collect())) == want and len(want) > 100
+    fresh = groups.withColumn("fresh", c("rep_id") % 3 == 0)
+    assert {r[:2] for r in map(tuple, dd.similar_pairs(fresh).collect())} == {p[:2] for p in want if p[0] % 3 == 0 or p[1] % 3 == 0}
+    linked = lambda edges: {frozenset(x) for x in _members(edges)}
+    assert linked(dd.similar_edges(groups)) == linked(spark.createDataFrame([p[:2] for p in want], "a long, b long"))
+
+
+def _members(edges):
+    groups = {}
+    for r in dd.connected_components(edges).collect():
+        groups.setdefault(r["component"], []).append(r["node"])
+    return groups.values()
+
+
+def test_near_copies_give_edges_instead_of_pairs(spark):
+    """Grouping needs what holds a group together, not the pairs of all its near copies."""
+    df = near_copies(spark, 200).dropDuplicates(["listing_id"])
+    assert dd.similar_pairs(dd.content_groups(df)).count() > 1_000
+    assert dd.similar_edges(dd.content_groups(df)).count() < 200
+
+
 def test_only_the_rarest_words_of_a_set_are_met_by(spark):
     rows = [(1, "x", [5, 7, 9, 11]), (2, "x", [5, 7, 9, 12]), (3, "x", [5, 9, 20, 21, 22, 23, 24, 25, 26, 27])]
     sets = spark.createDataFrame(rows, "rep_id long, block string, words array<long>").withColumn("fresh", F.lit(True))
