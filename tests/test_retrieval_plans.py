@@ -1,3 +1,5 @@
+import random
+
 from postmill.operators import retrieve as rt
 from postmill.plans.matching_queries import required
 from postmill.plans.tables import Tables
@@ -35,3 +37,21 @@ def test_only_retrieved_listings_are_parsed(spark):
     assert "regexp_extract_all" not in optimized(kept).split("Join LeftSemi")[1]
     lines = [(1, ["wanted python skills"]), (2, ["needed java skills"]), (2, ["needed java skills"])]
     assert sorted((r.listing_id, r.requirements) for r in kept.collect()) == lines
+
+
+def test_all_relevant_pairs_are_found_where_the_texts_lie(spark, monkeypatch):
+    """What joins over all hits find, with ids that repeat or are null; texts and pairs of other ids are not shuffled."""
+    rng = random.Random(3)
+    words = ["data", "big", "dat", "lake", "engineer", "ata", "go", "c++", "qqq"]
+    text = lambda n: rng.choice([None, *[" ".join(rng.choice(words) + rng.choice(["", "", "x"]) for _ in range(n))] * 8])
+    rows = [(k, text(2) or "", text(5)) for k in range(150)] + [(k % 7, text(2) or "", text(4)) for k in range(20)] + [(None, "data", "big data"), (None, "", "dat lake")]
+    texts = spark.createDataFrame(rows, "listing_id long, head string, body string")
+    wanted = [(k, t) for k in range(6) for t in rng.sample(["data", "big data", "dat", "lake engineer", "ata", "c++", "go big data", "never", "engineer"], 2)]
+    terms = cut(spark.createDataFrame([*wanted, wanted[0], (None, "lake")], "profile_id int, term string"))
+    found = rt.relevant_everywhere(terms, texts)
+    got = sorted(map(str, found.collect()))
+    monkeypatch.setattr(rt, "LOOKED_UP", 0)
+    assert got == sorted(map(str, rt.relevant_everywhere(terms, texts).collect())) and len(got) > 200
+    monkeypatch.undo()
+    assert "Exchange hashpartitioning" not in rt.relevant_everywhere(terms, texts.filter("listing_id BETWEEN 20 AND 140"))._jdf.queryExecution().executedPlan().toString()
+    assert rt.relevant_everywhere(terms.limit(0), texts).count() == 0
