@@ -189,8 +189,10 @@ def similar_edges(groups: DataFrame, threshold: float = lx.SIMILARITY_THRESHOLD)
 
 #: Places of one block that a task meets in one go; the words of a larger block are dealt to several.
 CELL_PLACES = 1_000_000
-#: Sets of a tile, in which pairs are verified; pairs made or held at once.
-TILE_SETS, HELD_PAIRS = 1_000, 2_000_000
+#: Sets of a tile, in which pairs are verified, and partners of a set that are compared with it at once.
+TILE_SETS, PARTNERS = 1_000, 4_096
+#: Pairs that a task makes and holds at once.
+HELD_PAIRS = 400_000
 
 
 def _tasks(df: DataFrame) -> int:
@@ -248,8 +250,16 @@ def _candidates(groups: DataFrame, threshold: float) -> DataFrame:
     met = places.select(key.alias("key"), "rep_id", packed.alias("packed")).withColumns({"company": F.count("*").over(by), "leads": F.max(c("packed") % 2).over(by)})
     shared = met.filter("company > 1 AND leads = 1").select("key", "rep_id", "packed", home.alias("home"))
     sizes = groups.select(F.xxhash64("block").bitwiseAND(F.lit(half)).alias("home"), F.ceil((1 - threshold) * F.size("words")).alias("n"))
-    large = sizes.groupBy("home").agg(F.ceil(F.sum("n") / CELL_PLACES).alias("parts")).filter("parts > 1")
-    dealt = shared.join(small(cut(large)), "home", "left").select(
+    return meeting(shared, sizes.groupBy("home").agg(F.ceil(F.sum("n") / CELL_PLACES).alias("parts")), threshold)
+
+
+def meeting(shared: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of sets that share a key, as sizes and places allow. Worth a `cut`, which it has.
+
+    `shared`: home, key, rep_id, packed (size << 33 | place << 1 | fresh). Keys of one `home` are met in one task; `parts` (home, parts)
+    says into how many it is dealt.
+    """
+    dealt = shared.join(small(cut(parts.filter("parts > 1"))), "home", "left").select(
         F.xxhash64("home", F.pmod("key", F.coalesce("parts", F.lit(1)))).alias("cell"), "key", "rep_id", "packed"
     )
 
@@ -291,6 +301,23 @@ def _candidates(groups: DataFrame, threshold: float) -> DataFrame:
     return cut(found.distinct())
 
 
+def shared_counts(x: np.ndarray, y: np.ndarray, ids: np.ndarray, lengths: np.ndarray, partners: int) -> np.ndarray:
+    """How many elements the sets x and y of each pair share; `ids` are the small numbers of all sets' elements, pairs lie by x."""
+    starts = np.cumsum(lengths) - lengths
+    shared, held = np.zeros(len(x), "int64"), np.zeros(len(ids) and int(ids.max()) + 1, bool)
+    edges = np.flatnonzero(np.diff(x, prepend=-1))
+    for first, last in zip(edges, np.append(edges[1:], len(x))):
+        own = ids[starts[x[first]]: starts[x[first]] + lengths[x[first]]]
+        held[own] = True
+        for lower in range(first, last, partners):
+            others = y[lower: min(lower + partners, last)]
+            n = lengths[others]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[others], n)
+            shared[lower: lower + len(others)] = np.add.reduceat(held[ids[at]], np.cumsum(n) - n, dtype="int64")
+        held[own] = False
+    return shared
+
+
 def _overlaps(tile: tuple[pd.DataFrame, pa.Table, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, similarity) of the pairs of a tile that reach the threshold."""
     pairs, sets, t = tile
@@ -298,7 +325,7 @@ def _overlaps(tile: tuple[pd.DataFrame, pa.Table, float]) -> tuple[np.ndarray, n
     blank = {name: (sets.column(name).to_pandas() == "").to_numpy() for name in ("city", "marker")}
     words = sets.column("words").combine_chunks()
     lengths = pc.list_value_length(words).to_numpy()
-    ids, starts = np.unique(words.flatten().to_numpy(), return_inverse=True)[1], np.cumsum(lengths) - lengths
+    ids = np.unique(words.flatten().to_numpy(), return_inverse=True)[1]
     row = pd.DataFrame({"id": sets.column("rep_id").to_numpy(), "row": np.arange(len(lengths))})
     # an id that comes twice gives its pairs twice
     met = pairs.merge(row, left_on="a", right_on="id").merge(row, left_on="b", right_on="id", suffixes=("_a", "_b"))
@@ -308,24 +335,14 @@ def _overlaps(tile: tuple[pd.DataFrame, pa.Table, float]) -> tuple[np.ndarray, n
     for name in ("city", "marker"):
         fit &= blank[name][x] | blank[name][y] | (codes[name][x] == codes[name][y])
     a, b, x, y = met["a"].to_numpy()[fit], met["b"].to_numpy()[fit], x[fit], y[fit]
-    shared, held = np.zeros(len(x), "int64"), np.zeros(len(ids) and int(ids.max()) + 1, bool)
-    edges = np.flatnonzero(np.diff(x, prepend=-1))
-    for first, last in zip(edges, np.append(edges[1:], len(x))):
-        own = ids[starts[x[first]]: starts[x[first]] + lengths[x[first]]]
-        held[own] = True
-        for lower in range(first, last, 4_096):
-            others = y[lower: min(lower + 4_096, last)]
-            n = lengths[others]
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[others], n)
-            shared[lower: lower + len(others)] = np.add.reduceat(held[ids[at]], np.cumsum(n) - n, dtype="int64")
-        held[own] = False
+    shared = shared_counts(x, y, ids, lengths, PARTNERS)
     similarity = shared / (lengths[x] + lengths[y] - shared)
     kept = similarity >= t
     return a[kept], b[kept], similarity[kept]
 
 
-def _stars_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An edge from every node of the pairs to the smallest that it is connected with."""
+def hubs_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes of the pairs, the smallest node that each is connected with, and the number of its pairs."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = ends[: len(a)], ends[len(a):]
     label = np.arange(len(nodes))
@@ -338,31 +355,48 @@ def _stars_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         if (least == label).all():
             break
         label = least
-    far = label != np.arange(len(nodes))
-    return nodes[far], nodes[label[far]], np.ones(int(far.sum()))
+    return nodes, nodes[label], np.bincount(ends, minlength=len(nodes))
 
 
-def _verified(groups: DataFrame, threshold: float, result: Callable) -> DataFrame:
-    """`result` of the candidates, tile by tile.
+def _stars_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An edge from every node of the pairs to the smallest that it is connected with."""
+    nodes, hubs, _ = hubs_of(a, b)
+    far = nodes != hubs
+    return nodes[far], hubs[far], np.ones(int(far.sum()))
 
-    A set that is met by many travels once a tile, not once a pair. Sets are dealt into tiles by the smallest set that they
-    are met with, so the copies of one text lie together; a pair between two of them has a tile of its own grid.
-    """
-    c = F.col
+
+def _verified(groups: DataFrame, threshold: float, result: Callable) -> DataFrame:
+    """(a, b, similarity) as `result` gives it of the candidates in each tile."""
     if "fresh" not in groups.columns:
         groups = groups.withColumn("fresh", F.lit(True))
-    candidates = _candidates(groups, threshold)
+    sets = groups.filter(F.size("words") > 0).select("rep_id", "block", "city", "marker", "words")
+
+    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = result((left.select(["a", "b"]).to_pandas(), right, threshold))
+        return pa.Table.from_arrays([pa.array(x) for x in found], names=["a", "b", "similarity"])
+
+    return tiled(_candidates(groups, threshold), sets, verify, "a long, b long, similarity double", TILE_SETS)
+
+
+def tiled(candidates: DataFrame, sets: DataFrame, verify: Callable, schema: str, tile_sets: int, known: int | None = None) -> DataFrame:
+    """`verify` of every tile's pairs (tile, a, b) and sets (tile, then the columns of `sets`, rep_id among them).
+
+    Every pair is in one tile. A set that is met by many travels once a tile, not once a pair. Sets are dealt into tiles by the
+    smallest set that they are met with, so the copies of one text lie together; a pair between two of them has a tile of a grid.
+    Up to `known` rows that say where a set goes are broadcast, SMALL_REPS by default.
+    """
+    c, known = F.col, SMALL_REPS if known is None else known
     ends = candidates.select(c("a").alias("rep_id"), c("a").alias("leader")).unionByName(candidates.select(c("b").alias("rep_id"), c("a").alias("leader")))
     led = cut(ends.groupBy("rep_id").agg(F.min("leader").alias("leader")))
-    tiles = max(1, led.count() // TILE_SETS)
-    grid = max(1, tiles // 16)
-    crowds = small(cut(led.groupBy("leader").agg(F.ceil(F.count("*") / (2 * TILE_SETS)).alias("parts")).filter("parts > 1")))
+    tiles = max(1, led.count() // tile_sets)
+    grid = max(1, tiles // 4)
+    crowds = small(cut(led.groupBy("leader").agg(F.ceil(F.count("*") / (2 * tile_sets)).alias("parts")).filter("parts > 1")))
     home = led.join(crowds, "leader", "left").select(
         "rep_id", F.when(c("parts") > 1, c("leader")).alias("crowd"), F.pmod(F.xxhash64("rep_id"), F.coalesce("parts", F.lit(1))).alias("part"),
         F.pmod(F.xxhash64("leader"), F.lit(tiles)).alias("home"),
     )
     home = cut(home)
-    a, b = (small(home.select(*[c(x).alias(f"{x}_{n}") for x in home.columns]), SMALL_REPS) for n in "ab")
+    a, b = (small(home.select(*[c(x).alias(f"{x}_{n}") for x in home.columns]), known) for n in "ab")
 
     def between(name: str, x: Column, y: Column) -> Column:
         return F.concat_ws(" ", F.lit(name), F.least(x, y), F.greatest(x, y))
@@ -377,13 +411,8 @@ def _verified(groups: DataFrame, threshold: float, result: Callable) -> DataFram
     pairs = cut(pairs)
     asked = pairs.select("tile", c("a").alias("rep_id")).unionByName(pairs.select("tile", c("b").alias("rep_id")))
     where = cut(asked.groupBy("rep_id").agg(F.collect_set("tile").alias("tiles")))
-    sets = groups.filter(F.size("words") > 0).join(small(where, SMALL_REPS), "rep_id").select(F.explode("tiles").alias("tile"), "rep_id", "block", "city", "marker", "words")
-
-    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = result((left.select(["a", "b"]).to_pandas(), right, threshold))
-        return pa.Table.from_arrays([pa.array(x) for x in found], names=["a", "b", "similarity"])
-
-    return pairs.groupBy("tile").cogroup(sets.groupBy("tile")).applyInArrow(verify, "a long, b long, similarity double")
+    sent = sets.join(small(where, known), "rep_id").select(F.explode("tiles").alias("tile"), *sets.columns)
+    return pairs.groupBy("tile").cogroup(sent.groupBy("tile")).applyInArrow(verify, schema)
 
 
 # --- grouping ----------------------------------------------------------------------------
