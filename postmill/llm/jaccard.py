@@ -9,10 +9,10 @@ has an even share of its n-grams in each. Steps:
    n-grams are more than it may miss with any partner links with nothing and leaves; that is nearly all text
    that is no near copy, however many passages it shares.
 3. For the rest, sets that may link hold an equal non-empty fragment: with at most D differences and the first
-   D + 1 non-empty fragments of each set compared, one of them must agree. Sets that do are met, each two once.
-4. Met sets are dealt into tiles; a tile counts what its pairs share and gives every set one edge to the smallest set
-   it is connected with there, not its pairs. A set travels to the tiles that it has pairs in: what fragments chain
-   together grows much faster than the input and is never compared, or sent, all with all.
+   D + 1 non-empty fragments of each set compared, one of them must agree. Equal fragments form blocks, named by
+   their smallest set; a set is in few of them.
+4. Blocks are cut into chunks of bounded size; each pair of chunks sums partial overlaps over the fragments and
+   gives every set one edge to the smallest set it is connected with there, not its pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.common import bound_batches, fresh, join_small
-from postmill.operators import dedupe
 from postmill.operators.dedupe import connected_components
 from postmill.session import cut, small
 
@@ -34,7 +33,7 @@ FLUSH = 500_000
 LONE_EIGHTHS = 4
 FRAGMENT_POSTINGS = 1_000_000
 SHARED = 2**64 - 1
-CHUNK_SETS = 1024
+CHUNK_SETS, CHUNK_POSTINGS = 1024, 600_000
 COLUMN_BLOCK = 4_096
 #: Rows of a few numbers that say where a set is wanted, up to which they are broadcast and texts stay where they are.
 KNOWN_SETS = 500_000
@@ -214,11 +213,11 @@ def fragment_bits(sets: DataFrame, percent: int) -> dict[int, int]:
 
 
 def fragment_keys(sets: DataFrame, bits: dict[int, int], percent: int) -> DataFrame:
-    """(key, node, packed): the first D + 1 non-empty fragments of each set, each as one hash of class and content, and its size."""
+    """(key, node): the first D + 1 non-empty fragments of each set, each as one hash of class and content."""
 
     def keys(stream):
         for batch in stream:
-            found, nodes, sizes = [], [], []
+            found, nodes = [], []
             for node, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 h = np.frombuffer(blob.as_buffer(), np.uint64)
                 mixed = _mixed(h ^ _ODD[7])
@@ -229,40 +228,131 @@ def fragment_keys(sets: DataFrame, bits: dict[int, int], percent: int) -> DataFr
                     own = np.add.reduceat(mixed, starts)[:wanted]
                     found.append(_mixed(own + np.full(1, c + 1, np.uint64) * _ODD[6]))
                     nodes.append(np.full(len(own), node, np.int64))
-                    sizes.append(np.full(len(own), len(h) << 33 | 1, np.int64))
             if found:
-                own = [pa.array(np.concatenate(x).view(np.int64)) for x in (found, nodes, sizes)]
-                yield pa.record_batch(own, names=["key", "node", "packed"])
-
-    return sets.select("node", "hashes").mapInArrow(keys, "key long, node long, packed long")
-
-
-def set_links(sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
-    """(node, hub, links) of the linked sets of every tile; the hub is the smallest node that one is connected with there."""
-    # the keys of near copies mostly have one smallest node
-    by_key = keys.groupBy("key").agg(F.min("node").alias("home"), F.max("node").alias("last"), F.count("*").alias("n"))
-    hubs = cut(by_key.filter("home < last").drop("last"))
-    shared = keys.join(hubs, "key").select("home", "key", F.col("node").alias("rep_id"), "packed")
-    parts = hubs.groupBy("home").agg(F.ceil(F.sum("n") / dedupe.CELL_PLACES).alias("parts"))
-
-    def links(pairs: pa.Table, own: pa.Table) -> pa.Table:
-        # rows of equal id and text bring a set more than once
-        nodes, first = np.unique(own.column("rep_id").to_numpy(), return_index=True)
-        blobs = own.column("hashes").take(pa.array(first))
-        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in blobs]
-        lengths = np.array([len(x) for x in found], np.int64)
-        ids = np.unique(np.concatenate(found), return_inverse=True)[1] if found else np.empty(0, np.int64)
-        a, b = (pairs.column(n).to_numpy() for n in "ab")
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
-        x, y = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
-        common = dedupe.shared_counts(x, y, ids, lengths, COLUMN_BLOCK)
-        linked = 100 * common >= percent * (lengths[x] + lengths[y] - common)
-        return pa.table(dict(zip(("node", "hub", "links"), dedupe.hubs_of(a[linked], b[linked]))))
-
-    pairs = dedupe.meeting(shared, parts, percent / 100)
-    wanted = sets.select(F.col("node").alias("rep_id"), "hashes")
-    return dedupe.tiled(pairs, wanted, links, "node long, hub long, links long", CHUNK_SETS, KNOWN_SETS)
+                yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+
+    return sets.select("node", "hashes").mapInArrow(keys, "key long, node long")
+
+
+def hub_blocks(keys: DataFrame) -> DataFrame:
+    """(node, block): the sets of every key, under the smallest of them. Sets that share a key share a block.
+
+    Near copies share most keys and so few blocks, and a block grows with what is like its smallest set. What keys chain together
+    grows much faster than the input; it is no block, as a block is compared all with all.
+    """
+    hubs = keys.groupBy("key").agg(F.min("node").alias("block"), F.max("node").alias("last")).filter("block < last").drop("last")
+    return cut(keys.join(hubs, "key").select("node", "block").distinct())
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
+    """How many elements the sets of each pair share: partial overlaps of each fragment are added to the pairs' sums."""
+    sides = [a] if b is None else [a, b]
+    flat = [np.concatenate(s) for s in sides]
+    rows = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in sides]
+    if b is None:
+        values, counts = np.unique(flat[0], return_counts=True)
+        shared = values[counts > 1]
+    else:
+        shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    overlap = np.zeros((len(a), len(sides[-1])), np.float32)
+    for at in range(0, len(shared), COLUMN_BLOCK):
+        fragment = shared[at : at + COLUMN_BLOCK]
+        dense = []
+        for f, r, s in zip(flat, rows, sides):
+            place = np.searchsorted(fragment, f)
+            place[place == len(fragment)] = 0
+            hit = fragment[place] == f
+            m = np.zeros((len(s), len(fragment)), np.float32)
+            m[r[hit], place[hit]] = 1
+            dense.append(m)
+        overlap += dense[0] @ dense[-1].T
+    return overlap.astype(np.int64)
+
+
+def _tile_links(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> np.ndarray:
+    """Which pairs reach the threshold."""
+    sizes = [np.array([len(x) for x in s]) for s in ([a, a] if b is None else [a, b])]
+    common = _common(a, b)
+    return 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+
+
+def _tile_rows(nodes: np.ndarray, linked: np.ndarray, split: int | None) -> list[tuple]:
+    """(node, hub, links) of every linked node; the hub is the smallest node it is connected with in the tile."""
+    if split is None:
+        full = linked.copy()
+        np.fill_diagonal(full, False)
+    else:
+        full = np.zeros((len(nodes), len(nodes)), bool)
+        full[:split, split:] = linked
+        full[split:, :split] = linked.T
+    degree, seen, out = full.sum(axis=1), np.zeros(len(nodes), bool), []
+    for start in np.argsort(nodes):
+        if seen[start] or not degree[start]:
+            continue
+        reached = np.zeros(len(nodes), bool)
+        edge = reached.copy()
+        reached[start] = edge[start] = True
+        while edge.any():
+            edge = full[edge].any(axis=0) & ~reached
+            reached |= edge
+        seen |= reached
+        out += [(int(nodes[k]), int(nodes[start]), int(degree[k])) for k in np.flatnonzero(reached)]
+    return out
+
+
+def block_links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """(node, hub, links) per pair of chunks of a block; blocks of any size, chunks of bounded size.
+
+    `blocks`: (node, block), a set may be in several. Two sets that meet in more than one block link in the first of them.
+    """
+    # all but the last step handles numbers only; the hashes travel twice, to their tiles' rows and to the tiles
+    own = blocks.groupBy("node").agg(F.sort_array(F.collect_set("block")).alias("homes"))
+    sized = sets.select("node", (F.octet_length("hashes") / 8).cast("long").alias("n")).distinct().join(blocks, "node")
+    shape = sized.groupBy("block").agg(F.count("*").alias("sets"), F.sum("n").alias("postings"))
+    chunks = F.ceil(F.greatest(F.col("sets") / CHUNK_SETS, F.col("postings") / CHUNK_POSTINGS)).cast("int").alias("chunks")
+    chunked = sized.join(shape.filter("sets > 1").select("block", chunks), "block").withColumn(
+        "chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    )
+    tiles = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node"
+    )
+    tiles = tiles.join(sets.join(own, "node"), "node").select(
+        "block", "i", "j", "chunk", "node", "hashes", F.filter("homes", lambda x: x < F.col("block")).alias("before")
+    )
+    dealt = tiles.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "node")
+
+    def compare(stream):
+        def finish(key, held):
+            _, i, j = key
+            first = [x for x in held if x[0] == i]
+            second = [x for x in held if x[0] == j] if i != j else []
+            if not second and (i != j or len(first) < 2):
+                return []
+            sides = [[x[k] for x in first] for k in (2, 3)], [[x[k] for x in second] or None for k in (2, 3)]
+            linked = _tile_links(sides[0][0], sides[1][0], percent)
+            if linked.any():
+                linked &= _common(sides[0][1], sides[1][1]) == 0
+            return _tile_rows(np.array([x[1] for x in first + second]), linked, len(first) if second else None)
+
+        def batch_of(rows):
+            names = ["node", "hub", "links"]
+            return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], [], []))], names=names)
+
+        key, held = None, []
+        for batch in stream:
+            ids = zip(*(batch.column(k).to_pylist() for k in range(5)))
+            rows = []
+            for (block, i, j, chunk, node), blob, before in zip(ids, batch.column(5), batch.column(6)):
+                if (block, i, j) != key:
+                    rows += finish(key, held) if held else []
+                    key, held = (block, i, j), []
+                if not held or held[-1][1] != node:  # rows of equal id and text bring a set more than once
+                    held.append((chunk, node, np.frombuffer(blob.as_py(), np.uint64), before.values.to_numpy()))
+            yield batch_of(rows)
+        if held:
+            yield batch_of(finish(key, held))
+
+    return dealt.mapInArrow(compare, "node long, hub long, links long")
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, str, str]:
@@ -305,7 +395,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     texts = own.join(small(kept, KNOWN_SETS), [rid, rtext]).select("node", "text")
     sets = cut(texts.mapInArrow(sets_of, "node long, hashes binary"))
     keys = cut(fragment_keys(sets, fragment_bits(sets, percent), percent))
-    links = cut(set_links(sets, keys, percent))
+    links = cut(block_links(sets, hub_blocks(keys), percent))
     merged = connected_components(links.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     degree = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     labelled = cut(

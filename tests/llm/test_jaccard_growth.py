@@ -2,11 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from postmill.llm import jaccard
-from postmill.operators import dedupe
 
 
 @pytest.fixture
@@ -32,8 +32,8 @@ def sets_and_links(docs, percent=85):
 
 
 def test_links_in_small_cells_and_tiles(spark, docs, monkeypatch):
-    for module, name, most in ((jaccard, "CHUNK_SETS", 12), (jaccard, "COLUMN_BLOCK", 4), (jaccard, "KNOWN_SETS", 10), (dedupe, "CELL_PLACES", 400), (dedupe, "HELD_PAIRS", 60)):
-        monkeypatch.setattr(module, name, most)
+    for name, most in (("CHUNK_SETS", 12), ("COLUMN_BLOCK", 4), ("KNOWN_SETS", 10)):
+        monkeypatch.setattr(jaccard, name, most)
     _, linked = sets_and_links(docs)
     text = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
     degree = {t: sum(a == t for a, _ in linked) for t in text.values()}
@@ -41,18 +41,19 @@ def test_links_in_small_cells_and_tiles(spark, docs, monkeypatch):
     assert got == {k: degree.get(t, 0) for k, t in text.items()} and max(got.values()) > 5
 
 
-def test_a_chain_is_met_link_by_link(spark):
-    """Sets that share a fragment with the next one only are no block to be compared all with all."""
-    n, packed = 300, 50 << 33 | 1
-    rows = [(k, node, packed) for k in range(n - 1) for node in (k, k + 1)]
-    keys = spark.createDataFrame(rows, "key long, node long, packed long")
-    met = []
-    own, dedupe.tiled = dedupe.tiled, lambda pairs, *_: met.append(pairs.count())
-    try:
-        jaccard.set_links(spark.createDataFrame([(k, b"") for k in range(n)], "node long, hashes binary"), keys, 85)
-    finally:
-        dedupe.tiled = own
-    assert met == [n - 1]
+def test_a_chain_is_no_block(spark):
+    """Sets that share a fragment with the next one only are not compared all with all."""
+    rows = [(k, node) for k in range(299) for node in (k, k + 1)]
+    blocks = jaccard.hub_blocks(spark.createDataFrame(rows, "key long, node long"))
+    assert max(r["count"] for r in blocks.groupBy("block").count().collect()) == 2 and blocks.count() == 2 * 299
+
+
+def test_sets_that_meet_in_several_blocks_link_once(spark):
+    hashes = [np.arange(k, 100 + k, dtype=np.uint64).tobytes() for k in range(4)]
+    sets = spark.createDataFrame(list(enumerate(hashes)), "node long, hashes binary")
+    blocks = spark.createDataFrame([(n, b) for b, nodes in ((0, (0, 1, 2)), (1, (1, 2, 3)), (7, (0, 1, 2, 3))) for n in nodes], "node long, block long")
+    links = jaccard.block_links(sets, blocks, 90).groupBy("node").agg(F.sum("links").alias("n"))
+    assert {r.node: r.n for r in links.collect()} == {k: 3 for k in range(4)}
 
 
 def test_copies_count_for_the_size_of_a_fragment(spark, monkeypatch):
